@@ -1,9 +1,14 @@
 """Registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import queries_simhash
+from . import queries_mixing, queries_sharding, queries_simhash
 
 QUERIES = {
+    "op6_extendible_hash_shards": queries_sharding.op6_extendible_hash_shards,
+    "op9_weighted_fair_mix": queries_mixing.op9_weighted_fair_mix,
     "op10_simhash_bk_tree": queries_simhash.op10_simhash_bk_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_extendible_hash_shards": queries_sharding.OP6_SQL,
+    "op9_weighted_fair_mix": queries_mixing.OP9_SQL,
+}
