@@ -1,9 +1,10 @@
 """Registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import queries_mixing, queries_sharding, queries_simhash
+from . import queries_mixing, queries_sharding, queries_simhash, queries_toxicity
 
 QUERIES = {
     "op6_extendible_hash_shards": queries_sharding.op6_extendible_hash_shards,
+    "op8_toxic_segments": queries_toxicity.op8_toxic_segments,
     "op9_weighted_fair_mix": queries_mixing.op9_weighted_fair_mix,
     "op10_simhash_bk_tree": queries_simhash.op10_simhash_bk_tree,
 }
