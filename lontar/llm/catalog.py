@@ -1,8 +1,9 @@
 """Registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import queries_mixing, queries_sharding, queries_simhash, queries_toxicity
+from . import queries_decontamination, queries_mixing, queries_sharding, queries_simhash, queries_toxicity
 
 QUERIES = {
+    "op2_template_decontamination": queries_decontamination.op2_template_decontamination,
     "op6_extendible_hash_shards": queries_sharding.op6_extendible_hash_shards,
     "op8_toxic_segments": queries_toxicity.op8_toxic_segments,
     "op9_weighted_fair_mix": queries_mixing.op9_weighted_fair_mix,
@@ -10,6 +11,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_template_decontamination": queries_decontamination.OP2_SQL,
     "op6_extendible_hash_shards": queries_sharding.OP6_SQL,
     "op9_weighted_fair_mix": queries_mixing.OP9_SQL,
 }
