@@ -1,10 +1,11 @@
 """Registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import queries_decontamination, queries_media, queries_mixing, queries_sharding, queries_simhash, queries_substrings, queries_toxicity
+from . import queries_decontamination, queries_media, queries_mixing, queries_sharding, queries_simhash, queries_substrings, queries_tokenids, queries_toxicity
 
 QUERIES = {
     "op2_template_decontamination": queries_decontamination.op2_template_decontamination,
     "op3_iso_media": queries_media.op3_iso_media,
+    "op4_rans_token_ids": queries_tokenids.op4_rans_token_ids,
     "op5_repeated_windows": queries_substrings.op5_repeated_windows,
     "op6_extendible_hash_shards": queries_sharding.op6_extendible_hash_shards,
     "op8_toxic_segments": queries_toxicity.op8_toxic_segments,
