@@ -25,11 +25,11 @@ def surface(text: Column) -> Column:
     """Lower-case tokens. Decimal and grouping marks inside a number join its digits, and a number is split from
     letters that follow it. A name, a capitalised word that follows a word, comma, semicolon or colon on its line, is
     marked. Null: none. Each pattern runs twice as its matches may not overlap."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, _MARK, " ")
+    plain = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
+    t = plain
     for _ in range(2):
         t = F.regexp_replace(t, r"([0-9])[.,]([0-9])", "$1_$2")
-    t = F.regexp_replace(t, r"([0-9])(\p{L})", "$1 $2")
+    t = F.when(plain.rlike("[0-9]"), F.regexp_replace(t, r"([0-9])(\p{L})", "$1 $2")).otherwise(plain)
     for _ in range(2):
         t = F.regexp_replace(t, r"([\p{L}0-9,;:] )(\p{Lu}\p{Ll})", f"$1{_MARK}$2")
     words = F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{_MARK}]+")
@@ -52,15 +52,20 @@ def windows(rows: DataFrame, size: int, *keys: str) -> DataFrame:
     """(keys, n, at, h, slots) for each run of `size` template tokens: h its hash, slots the surface tokens in its
     slots with their places in the window, null without any."""
     slots = (NUM, NAME, UNIT)
-    t = rows.select(*keys, surface(F.col("text")).alias("w")).select(*keys, "w", template(F.col("w")).alias("c"), F.size("w").cast("int").alias("n"))
-    def one(i: Column) -> Column:
+    words = rows.select(*keys, surface(F.col("text")).alias("w")).select(*keys, "w", template(F.col("w")).alias("c"), F.size("w").cast("int").alias("n"))
+    t = words.select(*keys, "w", "c", "n", F.exists("c", lambda c: c < "=").alias("any"))  # placeholders sort before all words
+
+    def plain(i: Column) -> Column:
+        return F.struct(F.xxhash64(F.slice("c", i, size)).alias("h"), F.lit(None).cast("array<string>").alias("slots"))
+
+    def slotted(i: Column) -> Column:
         part = F.slice("c", i, size)
         values = F.filter(F.transform(F.slice("w", i, size), lambda w, k: F.when(F.get(part, k).isin(*slots), F.concat(k.cast("string"), F.lit("="), w))), lambda v: v.isNotNull())
-        # placeholders sort before all words
         return F.struct(F.xxhash64(part).alias("h"), F.when(F.array_min(part) < "=", values).alias("slots"))
 
     starts = F.when(F.col("n") >= size, F.sequence(F.lit(1), F.col("n") - (size - 1)))  # a filter would be pushed down and tokenise twice
-    return t.select(*keys, "n", F.posexplode(F.transform(starts, one)).alias("at", "x")).select(*keys, "n", "at", F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
+    found = F.when(F.col("any"), F.transform(starts, slotted)).otherwise(F.transform(starts, plain))
+    return t.select(*keys, "n", F.posexplode(found).alias("at", "x")).select(*keys, "n", "at", F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
