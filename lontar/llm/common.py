@@ -43,6 +43,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def names(spark: SparkSession, path: str) -> set[str]:
+    """Names of the entries of a folder."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return {str(f.getPath().getName()) for f in found}
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Write a DataFrame as Parquet and read it back: cuts the lineage, survives lost executors."""
     df.write.mode("overwrite").parquet(path)

@@ -21,11 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released_shuffles, remove, scratch, stage
+from .common import names, released_shuffles, remove, scratch, stage
 
 WINDOW = 13
 #: Text bytes of a batch, generations of an ingest, entries of an index bucket, windows a task holds before it sorts.
-BATCH_BYTES, GENERATIONS, BUCKET_ENTRIES, HELD = 8 << 20, 3, 1 << 20, 3_000_000
+BATCH_BYTES, GENERATIONS, BUCKET_ENTRIES, HELD = 4 << 20, 3, 1 << 19, 1_500_000
 _BITS = 48
 
 
@@ -325,10 +325,14 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, generations: int = GENER
                 fresh = fresh.union(run.select(F.lit(-1).alias("kind"), "key", "blob"))
             path = f"{home}/generation{g}"
             fresh.groupBy("key").applyInArrow(_merge, _SCHEMA).write.partitionBy("kind").parquet(path)
-            got = spark.read.schema(_SCHEMA).parquet(path)
-            runs.append(got.where(F.col("kind") == RUN).select("kind", "key", "blob"))
-            asks.append(got.where(F.col("kind") == ASK).select("key", "blob"))
+            runs.append(spark.read.schema("key int, blob binary").parquet(f"{path}/kind={RUN}").select(F.lit(RUN).alias("kind"), "key", "blob") if f"kind={RUN}" in names(spark, path) else spark.createDataFrame([], _SCHEMA))
+            asks.append(spark.read.schema("key int, blob binary").parquet(f"{path}/kind={ASK}") if f"kind={ASK}" in names(spark, path) else spark.createDataFrame([], "key int, blob binary"))
             tier.append(0)
+        # the index has served; only what it asks about is needed now
+        for g in range(len(shares)):
+            remove(spark, f"{home}/generation{g}/kind={RUN}")
+            for depth in range(len(shares)):
+                remove(spark, f"{home}/compact{g}-{depth}")
         ask = asks[0]
         for more in asks[1:]:
             ask = ask.union(more)

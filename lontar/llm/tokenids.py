@@ -30,7 +30,7 @@ END_ID = 2
 SCALE_BITS, LOW = 20, 1 << 31
 BLOCK_IDS, LANES, FILE_BYTES = 1 << 20, 2048, 32 << 20
 #: Words the coder of a task remembers.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 400_000
 _HEAD = struct.Struct("<4sIQIIIIQ")
 _MAGIC = b"RNSB"
 
@@ -135,8 +135,10 @@ def read_block(block: bytes, table: Table, symbols: np.ndarray) -> tuple[list, n
 
 
 class WordCoder:
-    """Encodes texts word by word, remembering words. Right for tokenizers in which no token reaches across ASCII white
-    space, which itself gives no token; many new words go through the tokenizer at once, parted by a special token."""
+    """Encodes texts word by word, remembering words. Right for tokenizers that ignore the case of ASCII letters and in
+    which no token reaches across ASCII white space, which itself gives no token. Many new words go through the
+    tokenizer at once: words of letters as one text, cut after the tokens that end words, others parted by a special
+    token. Words not met for a while are forgotten."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -147,40 +149,78 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.part, self.mark = next(iter(special.items()), (None, None))
-        self.specials = [s.encode() for s in special.values()]
+        self.starts = {s[:2].encode() for s in special.values()}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {}
-            new = list(words)
-        plain = [w for w in new if self.mark and b"<" not in w] if self.mark else []
-        odd = [w for w in new if not self.mark or b"<" in w]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(w.decode() for w in some)], add_special_tokens=False)[0].ids, self.kind)
+        self.before: dict[bytes, bytes] = {}
+        self.marks = {m: self._ids(chr(m)).tobytes() for m in _MARKS}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _ask(self, words: list[bytes]) -> None:
+        if not words:
+            return
+        texts = b" ".join(words).decode().split(" ")
+        plain = list(map(str.isalpha, texts)) if self.ends.any() else [False] * len(words)
+        letters = [(w, s) for w, s, p in zip(words, texts, plain) if p]
+        odd = [w for w, p in zip(words, plain) if not p]
+        width = self.kind.itemsize
+        for at in range(0, len(letters), 5000):
+            some, parts = zip(*letters[at : at + 5000])
+            ids = self._ids(" ".join(parts))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                odd += some
+                continue
+            raw, ends = ids.tobytes(), (cuts * width).tolist()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+        single = [w for w in odd if self.mark is None or any(s in w for s in self.starts)]
+        for w, e in zip(single, self.tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False) if single else []):
+            self.known[w] = np.array(e.ids, self.kind).tobytes()
+        odd = [w for w in odd if w not in self.known] if single else odd
+        for at in range(0, len(odd), 5000):
+            some = odd[at : at + 5000]
+            ids = self._ids(self.mark.join(b" ".join(some).decode().split(" ")))
             cuts = np.flatnonzero(ids == self.part)
             if len(cuts) != len(some) - 1:
                 raise ValueError("the special token does not part words")
-            self.known.update(zip(some, (x.tobytes() for x in (ids[a:b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])))))
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False) if odd else []):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
+            raw, ends = ids.tobytes(), (cuts * width).tolist()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *(e + width for e in ends)], [*ends, len(raw)]))))
+
+    def _take(self, words: set[bytes]) -> set[bytes]:
+        """What is not known; words met before are known again."""
+        miss = words.difference(self.known)
+        again = miss.intersection(self.before)
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
+        return miss - again
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.known) > KNOWN_WORDS // 2:
+            self.known, self.before = {}, self.known
+        # a mark after an ASCII letter is a piece of its own
+        miss = self._take(words)
+        ended = [w for w in miss if w[-1] in _MARKS and len(w) > 1 and 97 <= w[-2] <= 122]
+        miss.difference_update(ended)
+        miss.update(w[:-1] for w in ended)
+        self._ask(list(self._take(miss)))
+        known = self.known
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in ended)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.kind."""
-        split = [t.split() for t in texts]
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+        split = [(t if any(s in t for s in self.starts) else t.lower()).split() for t in texts]
+        self.learn(set().union(*split))
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
+#: Marks that end words.
+_MARKS = frozenset(b".,;:!?")
 _CODERS: dict[str, WordCoder] = {}
 
 
@@ -196,12 +236,9 @@ def _tokenize(path: str, end_id: int):
         c = coder(path)
         end = np.array([end_id], c.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
-                new = {w for t in texts for w in t.split()}
-                if len(new) < KNOWN_WORDS:
-                    c.learn(new)
                 ids = [i + end for i in c.encode(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) // c.kind.itemsize for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "n", "ids"])
 
