@@ -162,32 +162,37 @@ def _shards(radius: int):
     return links
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """(a, b) links that connect all distinct fingerprints (column fp) at most `radius` bits apart: a spanning forest
-    of each shard, not all pairs."""
+def deal(rows: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """rows with a column shard added, radius + 1 times or more: any two rows whose fp differ in at most `radius` bits
+    meet in a shard. A block value with more than `hot` rows is dealt again by blocks of the other bits."""
     blocks = radius + 1
-    width = 64 // blocks
-    if width * blocks != 64:
-        raise ValueError("radius + 1 must divide 64")
+    width, sub = 64 // blocks, (64 - 64 // blocks) // blocks
+    if width * blocks != 64 or width > 16:
+        raise ValueError("radius + 1 must divide 64 and be 4 at least")
 
     def block(col, k: int, bits: int):
         return F.shiftrightunsigned(col, k * bits).bitwiseAND((1 << bits) - 1)
 
-    fp = F.col("fp")
-    keyed = fps.select("fp", F.posexplode(F.array(*[block(fp, k, width) for k in range(blocks)])).alias("k", "v")).select("fp", "k", "v")
-    crowded = keyed.groupBy("k", "v").count().where(F.col("count") > hot).select("k", "v", F.lit(True).alias("crowded"))
-    keyed = keyed.join(crowded, ["k", "v"], "left")
+    columns = rows.columns
+    keyed = rows.select(*columns, F.posexplode(F.array(*[block(F.col("fp"), k, width) for k in range(blocks)])).alias("_k", "_v"))
+    crowded = keyed.groupBy("_k", "_v").count().where(F.col("count") > hot).select("_k", "_v", F.lit(True).alias("_crowded"))
+    keyed = keyed.join(crowded, ["_k", "_v"], "left")
     # the bits besides block k, moved together
-    upper = F.when(F.col("k") == blocks - 1, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(shiftrightunsigned(fp, cast(least((k + 1) * {width}, 63) as int)), cast(k * {width} as int))"))
-    rest = upper.bitwiseOR(F.expr(f"fp & (shiftleft(1L, cast(k * {width} as int)) - 1)"))
-    sub = (64 - width) // blocks
+    upper = F.when(F.col("_k") == blocks - 1, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(shiftrightunsigned(fp, cast(least((_k + 1) * {width}, 63) as int)), cast(_k * {width} as int))"))
+    rest = upper.bitwiseOR(F.expr(f"fp & (shiftleft(1L, cast(_k * {width} as int)) - 1)"))
     once = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("u")))
-    again = F.array(*[F.struct(F.lit(s).alias("s"), block(F.col("rest"), s, sub).alias("u")) for s in range(blocks)])
-    dealt = keyed.withColumn("rest", rest).select("fp", "k", "v", F.explode(F.when(F.col("crowded"), again).otherwise(once)).alias("x"))
-    # four bits of block, 16 of value, four of second block, 12 of its value: a key of its own for each shard
-    key = F.expr(f"shiftleft(cast(k as long), 40) | shiftleft(v, 20) | shiftleft(cast(x.s + 1 as long), 16) | x.u") if width <= 16 and sub <= 16 else F.xxhash64("k", "v", "x.s", "x.u")
-    dealt = dealt.select(key.alias("key"), "fp")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(radius), "a long, b long")
+    again = F.array(*[F.struct(F.lit(s).alias("s"), block(F.col("_rest"), s, sub).alias("u")) for s in range(blocks)])
+    dealt = keyed.withColumn("_rest", rest).select(*columns, "_k", "_v", F.explode(F.when(F.col("_crowded"), again).otherwise(once)).alias("_x"))
+    # block, value, second block and its value side by side: a key of its own for each shard
+    shard = F.expr("shiftleft(cast(_k as long), 40) | shiftleft(_v, 24) | shiftleft(cast(_x.s + 1 as long), 16) | _x.u")
+    return dealt.select(*columns, shard.alias("shard"))
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """(a, b) links that connect all distinct fingerprints (column fp) at most `radius` bits apart: a spanning forest
+    of each shard, not all pairs."""
+    dealt = deal(fps.select("fp"), radius, hot).select("shard", "fp")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards(radius), "a long, b long")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
