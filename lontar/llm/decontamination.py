@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WINDOW, COVERAGE = 8, 0.5
 #: The windows of the benchmark are broadcast up to so many (about 150 bytes each), beyond that joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Up to so many distinct hashes of benchmark windows go into the scan as a set, so that only hits leave it.
+SET_WINDOWS = 20_000
 #: Units that count as such after a number.
 UNITS = "mm cm m km mg g kg ml l s ms h min sec second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms liter liters litre litres percent dollar dollars euro euros cent cents degree degrees celsius volt volts watt watts joule joules hertz byte bytes".split()
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -48,24 +50,26 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def windows(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+def windows(rows: DataFrame, size: int, *keys: str, only: list[int] | None = None) -> DataFrame:
     """(keys, n, at, h, slots) for each run of `size` template tokens: h its hash, slots the surface tokens in its
-    slots with their places in the window, null without any."""
+    slots with their places in the window, null without any. With `only`, just the windows of these hashes."""
     slots = (NUM, NAME, UNIT)
     words = rows.select(*keys, surface(F.col("text")).alias("w")).select(*keys, "w", template(F.col("w")).alias("c"), F.size("w").cast("int").alias("n"))
     t = words.select(*keys, "w", "c", "n", F.exists("c", lambda c: c < "=").alias("any"))  # placeholders sort before all words
 
     def plain(i: Column) -> Column:
-        return F.struct(F.xxhash64(F.slice("c", i, size)).alias("h"), F.lit(None).cast("array<string>").alias("slots"))
+        return F.struct(i.alias("at"), F.xxhash64(F.slice("c", i, size)).alias("h"), F.lit(None).cast("array<string>").alias("slots"))
 
     def slotted(i: Column) -> Column:
         part = F.slice("c", i, size)
         values = F.filter(F.transform(F.slice("w", i, size), lambda w, k: F.when(F.get(part, k).isin(*slots), F.concat(k.cast("string"), F.lit("="), w))), lambda v: v.isNotNull())
-        return F.struct(F.xxhash64(part).alias("h"), F.when(F.array_min(part) < "=", values).alias("slots"))
+        return F.struct(i.alias("at"), F.xxhash64(part).alias("h"), F.when(F.array_min(part) < "=", values).alias("slots"))
 
     starts = F.when(F.col("n") >= size, F.sequence(F.lit(1), F.col("n") - (size - 1)))  # a filter would be pushed down and tokenise twice
+    if only is not None:
+        starts = F.filter(starts, lambda i: F.xxhash64(F.slice("c", i, size)).isin(only))
     found = F.when(F.col("any"), F.transform(starts, slotted)).otherwise(F.transform(starts, plain))
-    return t.select(*keys, "n", F.posexplode(found).alias("at", "x")).select(*keys, "n", "at", F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
+    return t.select(*keys, "n", F.explode(found).alias("x")).select(*keys, "n", "x.at", "x.h", "x.slots")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -82,7 +86,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
             ours = ours.where(F.col("n") == size)
         ours = ours.select("h", "item_id", F.col("n").alias("item_words"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
         small = ours.count() <= BROADCAST_WINDOWS
-        theirs = windows(docs, size, "doc_id")
+        known = [r.h for r in ours.select("h").distinct().limit(SET_WINDOWS + 1).collect()]
+        theirs = windows(docs, size, "doc_id", only=known if len(known) <= SET_WINDOWS else None)
         hit = theirs.join(F.broadcast(ours) if small else ours, "h").select("doc_id", "item_id", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots", F.lit(size).alias("size"))
         found = hit if found is None else found.union(hit)
     if found is None:
