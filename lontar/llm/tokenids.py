@@ -28,9 +28,10 @@ from .common import checkpoint, released_shuffles, remove, scratch, stage
 
 END_ID = 2
 SCALE_BITS, LOW = 20, 1 << 31
-BLOCK_IDS, LANES, FILE_BYTES = 1 << 20, 2048, 32 << 20
+#: Ids of a block, coder states at most, coded bytes after which a file ends, documents of a part of the doc_id range.
+BLOCK_IDS, LANES, FILE_BYTES, PART_DOCS = 1 << 19, 1024, 32 << 20, 8192
 #: Words the coder of a task remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 _HEAD = struct.Struct("<4sIQIIIIQ")
 _MAGIC = b"RNSB"
 
@@ -236,8 +237,8 @@ def _tokenize(path: str, end_id: int):
         c = coder(path)
         end = np.array([end_id], c.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
                 ids = [i + end for i in c.encode(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) // c.kind.itemsize for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "n", "ids"])
@@ -260,14 +261,16 @@ def _running(batches):
 
 def _histogram(kind: np.dtype):
     def run(batches):
+        _CODERS.clear()
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind)
-            if len(ids):
-                got = np.bincount(ids)
-                if len(got) > len(counts):
-                    counts = np.append(counts, np.zeros(len(got) - len(counts), np.int64))
-                counts[: len(got)] += got
+            for at in range(0, batch.num_rows, 500):
+                ids = np.frombuffer(b"".join(batch.column(0).slice(at, 500).to_pylist()), kind)
+                if len(ids):
+                    got = np.bincount(ids)
+                    if len(got) > len(counts):
+                        counts = np.append(counts, np.zeros(len(got) - len(counts), np.int64))
+                    counts[: len(got)] += got
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
@@ -287,6 +290,7 @@ def _write(folder: str, kind: np.dtype, table: Table, starts: dict[int, int]):
     def run(batches):
         import uuid
 
+        _CODERS.clear()
         where, root = _files(folder)
         name, blocks, size = None, [], 0
         docs, lengths, ids, held, first = [], [], [], 0, 0
@@ -347,8 +351,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
     spark = docs.sparkSession
     kind = WordCoder(tokenizer_path).kind
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_bytes, n_rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    count = max(1, min(1 << 16, n_rows, math.ceil(n_bytes / FILE_BYTES)))
+    count = max(1, min(1 << 16, math.ceil(docs.select("doc_id").count() / PART_DOCS)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * count)).first()[0] if count > 1 else []
     cuts = np.unique(np.array(cuts or [], np.int64))
 
