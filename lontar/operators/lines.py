@@ -40,7 +40,8 @@ def boilerplate(lines: DataFrame) -> DataFrame:
 def collapse_blanks(lines: DataFrame) -> DataFrame:
     """One of several blank lines in a row stays, and none at the end of a document."""
     blank = F.col("text") == ""
-    kept = lines.where(~(blank & F.coalesce(F.lag("text").over(IN_ORDER) == "", F.lit(False))) | ~blank)
+    again = blank & F.coalesce(F.lag("text").over(IN_ORDER) == "", F.lit(False))
+    kept = lines.withColumn("_again", again).where(~F.col("_again")).drop("_again")
     last = F.max(F.when(~blank, F.col("line_no"))).over(DOC)
     return kept.withColumn("_last", last).where(F.col("line_no") <= F.col("_last")).drop("_last")
 

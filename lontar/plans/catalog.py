@@ -1,4 +1,7 @@
 """Registered queries of the document-structure operators, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import structure
+
+_PARTS = [structure]
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
