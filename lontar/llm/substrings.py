@@ -13,7 +13,6 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
@@ -21,11 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import names, released_shuffles, remove, scratch, stage
+from .common import names, range_number, released_shuffles, remove, scratch, stage
 
 WINDOW = 13
 #: Text bytes of a batch, generations of an ingest, entries of an index bucket, windows a task holds before it sorts.
-BATCH_BYTES, GENERATIONS, BUCKET_ENTRIES, HELD = 4 << 20, 3, 1 << 19, 1_500_000
+BATCH_BYTES, GENERATIONS, BUCKET_ENTRIES, HELD = 8 << 20, 3, 1 << 20, 2_000_000
 _BITS = 48
 
 
@@ -273,18 +272,6 @@ def _cut(size: int):
     return run
 
 
-def _batch_of(cuts: np.ndarray):
-    """Number of the doc_id range a row falls in; rows without doc_id come last."""
-
-    @F.pandas_udf("int")
-    def batch(ids: pd.Series) -> pd.Series:
-        none = ids.isna().to_numpy()
-        found = np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64))
-        return pd.Series(np.where(none, len(cuts) + 1, found).astype(np.int32))
-
-    return batch
-
-
 def remove_repeats(docs: DataFrame, size: int = WINDOW, generations: int = GENERATIONS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for each row of docs (doc_id, text).
 
@@ -300,7 +287,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, generations: int = GENER
     cuts = np.unique(np.array(cuts or [], np.int64))
     bits = max(4, math.ceil(math.log2(max(1, n_bytes / 6 / BUCKET_ENTRIES))))
 
-    numbered = docs.withColumn("batch", _batch_of(cuts)("doc_id"))
+    numbered = docs.withColumn("batch", range_number(F.col("doc_id"), cuts))
     shares = np.array_split(np.arange(len(cuts) + 1), max(1, min(generations, len(cuts) + 1)))
     shares[-1] = np.append(shares[-1], len(cuts) + 1)
     home, runs, asks, tier = scratch(spark, "substrings"), [], [], []
