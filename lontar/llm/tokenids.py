@@ -17,14 +17,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, released_shuffles, remove, scratch, stage
+from .common import checkpoint, range_number, released_shuffles, remove, scratch, stage
 
 END_ID = 2
 SCALE_BITS, LOW = 20, 1 << 31
@@ -355,14 +354,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
     cuts = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * count)).first()[0] if count > 1 else []
     cuts = np.unique(np.array(cuts or [], np.int64))
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        none = ids.isna().to_numpy()
-        return pd.Series(np.where(none, len(cuts) + 1, np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64))).astype(np.int32))
-
     home = scratch(spark, "token-ids")
     with released_shuffles(spark):
-        coded = docs.select(part_of("doc_id").alias("part"), "doc_id", "text").mapInArrow(_tokenize(tokenizer_path, end_id), "part int, doc_id long, n long, ids binary")
+        coded = docs.select(range_number(F.col("doc_id"), cuts).alias("part"), "doc_id", "text").mapInArrow(_tokenize(tokenizer_path, end_id), "part int, doc_id long, n long, ids binary")
         dealt = coded.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "n", "ids")
         whole = dealt.mapInArrow(_running, "part int, doc_id long, n long, ids binary, before long")
         whole.write.option("compression", "zstd").parquet(home)
