@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, range_number, released_shuffles, remove, scratch, stage
@@ -30,7 +31,7 @@ SCALE_BITS, LOW = 20, 1 << 31
 #: Ids of a block, coder states at most, coded bytes after which a file ends, documents of a part of the doc_id range.
 BLOCK_IDS, LANES, FILE_BYTES, PART_DOCS = 1 << 19, 1024, 32 << 20, 8192
 #: Words the coder of a task remembers.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 _HEAD = struct.Struct("<4sIQIIIIQ")
 _MAGIC = b"RNSB"
 
@@ -231,49 +232,42 @@ def coder(path: str) -> WordCoder:
     return _CODERS[path]
 
 
+_COUNTS = 256  # rows of parts below 0, so many, hold counts of ids instead of a document
+
+
 def _tokenize(path: str, end_id: int):
+    """(part, doc_id, text) to (part, doc_id, n, ids), and a last row with how often the task met each id."""
+
     def run(batches):
         c = coder(path)
         end = np.array([end_id], c.kind).tobytes()
+        counts = np.zeros(max(len(c.ends), end_id + 1), np.int64)
+
+        def rows(parts, docs, ids):
+            n = [len(i) // c.kind.itemsize for i in ids]
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "n", "ids"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
-                ids = [i + end for i in c.encode(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) // c.kind.itemsize for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "n", "ids"])
+                ids = [i + end for i in c.encode([t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()])]
+                for i in range(0, len(ids), 64):
+                    got = np.bincount(np.frombuffer(b"".join(ids[i : i + 64]), c.kind))
+                    counts[: len(got)] += got
+                yield rows(part.column(0), part.column(1), ids)
+        yield rows([-1 - TaskContext.get().partitionId() % _COUNTS], [None], [counts.astype("<i8").tobytes()])
 
     return run
 
 
-def _running(batches):
-    """Ids before each document within its part, of rows sorted by part."""
-    part, total = None, 0
+def _sums(batches):
+    """Counts of all rows of a task, added up."""
+    total = np.zeros(1, np.int64)
     for batch in batches:
-        before = []
-        for p, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            if p != part:
-                part, total = p, 0
-            before.append(total)
-            total += n
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], names=[*batch.schema.names, "before"])
-
-
-def _histogram(kind: np.dtype):
-    def run(batches):
-        _CODERS.clear()
-        counts = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids = np.frombuffer(b"".join(batch.column(0).slice(at, 500).to_pylist()), kind)
-                if len(ids):
-                    got = np.bincount(ids)
-                    if len(got) > len(counts):
-                        counts = np.append(counts, np.zeros(len(got) - len(counts), np.int64))
-                    counts[: len(got)] += got
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
-
-    return run
+        for raw in batch.column(0):
+            total = total + np.frombuffer(raw.as_py(), "<i8")
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
 
 def _files(folder: str):
@@ -357,16 +351,17 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
     home = scratch(spark, "token-ids")
     with released_shuffles(spark):
         coded = docs.select(range_number(F.col("doc_id"), cuts).alias("part"), "doc_id", "text").mapInArrow(_tokenize(tokenizer_path, end_id), "part int, doc_id long, n long, ids binary")
-        dealt = coded.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "n", "ids")
-        whole = dealt.mapInArrow(_running, "part int, doc_id long, n long, ids binary, before long")
+        before = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "n", "ids").rowsBetween(Window.unboundedPreceding, -1)
+        whole = coded.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         whole.write.option("compression", "zstd").parquet(home)
         coded = spark.read.parquet(home)
+        counts = coded.where("part < 0").select("ids").mapInArrow(_sums, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+        coded = coded.where("part >= 0")
         totals = sorted((r.part, r.total) for r in coded.groupBy("part").agg(F.sum("n").alias("total")).collect())
         starts, at = {}, 0
         for p, n in totals:
             starts[p], at = at, at + n
-        counts = coded.select("ids").mapInArrow(_histogram(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-        table = Table.of({r.id: r.n for r in counts.collect()})
+        table = Table.of({r.id: r.n for r in counts})
         blocks = checkpoint(coded.select("part", "doc_id", "n", "ids", "before").mapInArrow(_write(folder, kind, table, starts), _BLOCKS))
     remove(spark, home)
     return blocks, table
