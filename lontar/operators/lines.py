@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from lontar.functions import fixed, text
 
-DOC = Window.partitionBy("doc_id")
-IN_ORDER = DOC.orderBy("line_no")
+def by_doc():
+    return Window.partitionBy("doc_id")
+
+
+def in_order():
+    return by_doc().orderBy("line_no")
 
 
 def explode_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, page, text) to (doc_id, page, line_no, text): lines in order, numbered over the document."""
     each = pages.select("doc_id", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "text"))
-    number = F.row_number().over(DOC.orderBy("page", "at"))
+    number = F.row_number().over(by_doc().orderBy("page", "at"))
     return each.select("doc_id", F.col("page").cast("long").alias("page"), number.cast("long").alias("line_no"), "text")
 
 
@@ -32,7 +36,7 @@ def boilerplate(lines: DataFrame) -> DataFrame:
     """lines with n_pages of the document, on_pages their text stands on, and boiler: headers and footers, on 40 % of the
     pages or more of a document of three or more."""
     same = Window.partitionBy("doc_id", "text")
-    counted = lines.withColumn("n_pages", F.max("page").over(DOC)).withColumn("on_pages", F.size(F.collect_set("page").over(same)).cast("long"))
+    counted = lines.withColumn("n_pages", F.max("page").over(by_doc())).withColumn("on_pages", F.size(F.collect_set("page").over(same)).cast("long"))
     often = F.col("on_pages") >= F.floor((F.col("n_pages") * 4 + 9) / 10)
     return counted.withColumn("boiler", (F.col("text") != "") & (F.col("n_pages") >= fixed.MIN_PAGES) & often & ~F.col("firm"))
 
@@ -40,15 +44,15 @@ def boilerplate(lines: DataFrame) -> DataFrame:
 def collapse_blanks(lines: DataFrame) -> DataFrame:
     """One of several blank lines in a row stays, and none at the end of a document."""
     blank = F.col("text") == ""
-    again = blank & F.coalesce(F.lag("text").over(IN_ORDER) == "", F.lit(False))
+    again = blank & F.coalesce(F.lag("text").over(in_order()) == "", F.lit(False))
     kept = lines.withColumn("_again", again).where(~F.col("_again")).drop("_again")
-    last = F.max(F.when(~blank, F.col("line_no"))).over(DOC)
+    last = F.max(F.when(~blank, F.col("line_no"))).over(by_doc())
     return kept.withColumn("_last", last).where(F.col("line_no") <= F.col("_last")).drop("_last")
 
 
 def drop_cut_lines(lines: DataFrame) -> DataFrame:
     """A line that the first line of the next page repeats in full goes."""
-    after, page = F.lead("text").over(IN_ORDER), F.lead("page").over(IN_ORDER)
+    after, page = F.lead("text").over(in_order()), F.lead("page").over(in_order())
     cut = (page != F.col("page")) & (F.octet_length("text") >= fixed.MIN_OVERLAP) & ~F.col("firm") & F.startswith(F.lower(after), F.lower("text"))
     return lines.withColumn("_cut", F.coalesce(cut, F.lit(False))).where(~F.col("_cut")).drop("_cut")
 
@@ -66,4 +70,4 @@ def stitch(lines: DataFrame) -> DataFrame:
     found = boilerplate(classified(lines.repartition("doc_id")))
     found = found.where(~F.col("boiler") & ~((F.col("text") != "") & text.furniture(F.col("text"), F.col("firm"))))
     found = drop_repeated_heads(drop_cut_lines(collapse_blanks(found)))
-    return found.select("doc_id", (F.row_number().over(IN_ORDER) - 1).cast("long").alias("idx"), "page", "line_no", "text", "m")
+    return found.select("doc_id", (F.row_number().over(in_order()) - 1).cast("long").alias("idx"), "page", "line_no", "text", "m")

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from lontar.functions import fixed, text
 
-SEG = Window.partitionBy("doc_id", "seg")
-ORDER = SEG.orderBy("idx", "sub")
-RUN = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 #: A numbered head of explanations and appendices, and a verse in words.
 HEAD, VERSE_WORD = r"^([IVXLCDM]+|[A-Z])\.\s+(.+)$", r"^(?i:ayat)\s*\(\s*([0-9]+\s*[a-zA-Z]?)\s*\)\s*(.*)$"
 FIELD_LINE = r"(?i)^(NOMOR\b|TENTANG$)"
@@ -22,12 +19,24 @@ BODY = ["batang_tubuh", "penjelasan_pasal"]
 STEP = 1000
 
 
+def by_segment():
+    return Window.partitionBy("doc_id", "seg")
+
+
+def in_order():
+    return by_segment().orderBy("idx", "sub")
+
+
+def upto():
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def _register(*events: tuple[Column, Column]) -> Column:
     """Last of the events up to here: the first condition that holds on a line gives its value, '' clears."""
     value = None
     for condition, v in events:
         value = F.when(condition, v) if value is None else value.when(condition, v)
-    return F.coalesce(F.last(value, ignorenulls=True).over(RUN), F.lit(""))
+    return F.coalesce(F.last(value, ignorenulls=True).over(upto()), F.lit(""))
 
 
 def _prepared(lines: DataFrame) -> DataFrame:
@@ -35,7 +44,7 @@ def _prepared(lines: DataFrame) -> DataFrame:
     after their colon are two lines."""
     section, line = F.col("section"), F.col("text")
     silent = (line == "") | ((section == "penjelasan_umum") & (line.rlike(fixed.PENJELASAN) | line.rlike(fixed.UMUM)))
-    d = lines.withColumn("silent", silent).withColumn("fresh", F.coalesce(F.lag("silent").over(SEG.orderBy("idx")), F.lit(True)))
+    d = lines.withColumn("silent", silent).withColumn("fresh", F.coalesce(F.lag("silent").over(by_segment().orderBy("idx")), F.lit(True)))
     d = d.where(~F.col("silent") & ~((section == "penjelasan_pasal") & line.rlike(fixed.PASAL_DEMI)))
     head = section.isin(FLAT) & (line.rlike(fixed.MENIMBANG) | line.rlike(fixed.MENGINGAT) | line.rlike(fixed.MEMPERHATIKAN))
     rest = text.strip(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
@@ -49,7 +58,7 @@ def _events(d: DataFrame) -> DataFrame:
     """ev: what a line does to the registers, with its label and text."""
     section, line, kind = F.col("section"), F.col("text"), F.col("m.kind")
     in_body, in_told = section == "batang_tubuh", section == "penjelasan_pasal"
-    d = d.withColumn("closing", in_body & F.coalesce(F.max(line.rlike(fixed.CLOSING)).over(RUN), F.lit(False)))
+    d = d.withColumn("closing", in_body & F.coalesce(F.max(line.rlike(fixed.CLOSING)).over(upto()), F.lit(False)))
     verse = in_told & line.rlike(VERSE_WORD)
     label = F.when(verse, F.lower(F.replace(F.regexp_extract(line, VERSE_WORD, 1), F.lit(" "), F.lit("")))).otherwise(F.col("m.label"))
     content = F.when(verse, text.strip(F.regexp_extract(line, VERSE_WORD, 2))).otherwise(F.col("m.text"))
@@ -77,8 +86,8 @@ def _opened(d: DataFrame) -> DataFrame:
     upper = F.upper(line)
     greeting = upper.contains("RAHMAT TUHAN") | (upper.contains("PRESIDEN") & upper.contains("REPUBLIK INDONESIA") & (F.octet_length(line) < 60)) | upper.startswith("DENGAN ")
     d = d.withColumn("title_type", F.when(greeting, "pembukaan").otherwise("judul")).withColumn("field", line.rlike(FIELD_LINE))
-    first = F.row_number().over(ORDER) == 1
-    turn = F.coalesce((F.lag("title_type").over(ORDER) != F.col("title_type")) | F.lag("field").over(ORDER), F.lit(True))
+    first = F.row_number().over(in_order()) == 1
+    turn = F.coalesce((F.lag("title_type").over(in_order()) != F.col("title_type")) | F.lag("field").over(in_order()), F.lit(True))
     numbered = kind.isin("huruf", "angka")
     head = line.rlike(HEAD)
     kind_of = (
@@ -106,7 +115,7 @@ def _opened(d: DataFrame) -> DataFrame:
         .otherwise(line)
     )
     between = F.when(F.col("fold_huruf") | F.col("fold_angka"), "\n").otherwise(" ")
-    return d.withColumn("piece", piece).withColumn("between", between).withColumn("node_no", F.sum(opens.cast("long")).over(RUN))
+    return d.withColumn("piece", piece).withColumn("between", between).withColumn("node_no", F.sum(opens.cast("long")).over(upto()))
 
 
 def node_lines(segment_lines: DataFrame) -> DataFrame:
@@ -148,7 +157,7 @@ def nodes(segment_lines: DataFrame) -> DataFrame:
 
 def loose_lines(segment_lines: DataFrame) -> DataFrame:
     """(doc_id, section, text) of sections in which no line opens a node."""
-    d = node_lines(segment_lines).withColumn("most", F.max("node_no").over(SEG)).where("most = 0")
+    d = node_lines(segment_lines).withColumn("most", F.max("node_no").over(by_segment())).where("most = 0")
     return d.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "sub", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
@@ -159,11 +168,11 @@ def parents(nodes: DataFrame, compat: bool = False) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("node_idx")
     turned = F.coalesce(F.lag("section").over(order) != F.col("section"), F.lit(True))
     d = nodes.withColumn("_part", F.sum(turned.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    upto = Window.partitionBy("doc_id", "_part").orderBy("node_idx").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("doc_id", "_part").orderBy("node_idx").rowsBetween(Window.unboundedPreceding, -1)
     kind, at, none = F.col("node_type"), F.col("node_idx"), F.lit(-1).cast("long")
 
     def last(kind_of: str, *cleared: str) -> Column:
-        return F.nullif(F.last(F.when(kind == kind_of, at).when(kind.isin(*cleared), none) if cleared else F.when(kind == kind_of, at), ignorenulls=True).over(upto), none)
+        return F.nullif(F.last(F.when(kind == kind_of, at).when(kind.isin(*cleared), none) if cleared else F.when(kind == kind_of, at), ignorenulls=True).over(earlier), none)
 
     bab, bagian = last("bab"), last("bagian", "bab")
     paragraf, pasal = last("paragraf", "bab", "bagian"), last("pasal", "bab", "bagian", "paragraf")

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from lontar.functions import fixed
 
-DOC = Window.partitionBy("doc_id")
 #: Sections in the order of their nodes.
 SECTIONS = ["judul", "menimbang", "mengingat", "memperhatikan", "penetapan", "batang_tubuh", "narasi", "penjelasan_umum", "penjelasan_pasal", "lampiran"]
 
 
+def by_doc():
+    return Window.partitionBy("doc_id")
+
+
 def _first(condition: Column, value: Column | None = None) -> Column:
-    return F.min(F.when(condition, value if value is not None else F.col("idx"))).over(DOC)
+    return F.min(F.when(condition, value if value is not None else F.col("idx"))).over(by_doc())
 
 
 def _after(at: str, *later: str) -> Column:
@@ -26,8 +29,8 @@ def _after(at: str, *later: str) -> Column:
 
 def bounds(lines: DataFrame) -> DataFrame:
     """Clean lines with the places of the anchors (null: none), body start and end, n and has_pasal."""
-    order = DOC.orderBy("idx")
-    d = lines.withColumn("total", F.count("*").over(DOC)).withColumn("lampiran", _first(F.col("text").rlike(fixed.LAMPIRAN)))
+    order = by_doc().orderBy("idx")
+    d = lines.withColumn("total", F.count("*").over(by_doc())).withColumn("lampiran", _first(F.col("text").rlike(fixed.LAMPIRAN)))
     d = d.withColumn("n", F.coalesce("lampiran", "total"))
     inside = F.col("idx") < F.col("n")
     blank_after = F.min(F.when((F.col("text") == "") & inside, F.col("idx"))).over(order.rowsBetween(1, Window.unboundedFollowing))
@@ -36,7 +39,7 @@ def bounds(lines: DataFrame) -> DataFrame:
     for name, pattern in (("menimbang", fixed.MENIMBANG), ("mengingat", fixed.MENGINGAT), ("memperhatikan", fixed.MEMPERHATIKAN), ("memutuskan", fixed.MEMUTUSKAN), ("penjelasan", fixed.PENJELASAN)):
         d = d.withColumn(name, _first(inside & F.col("text").rlike(pattern)))
     d = d.withColumn("opened", _first(inside & F.col("m.kind").isin("bab", "pasal", "diktum")))
-    d = d.withColumn("has_pasal", F.max(F.col("text").rlike(fixed.PASAL_ANYWHERE)).over(DOC))
+    d = d.withColumn("has_pasal", F.max(F.col("text").rlike(fixed.PASAL_ANYWHERE)).over(by_doc()))
     decided = inside & F.col("text").rlike(fixed.MENETAPKAN) & (F.col("idx") >= F.coalesce("memutuskan", F.lit(0)))
     d = d.withColumn("menetapkan", _first(decided)).withColumn("last_opening", F.greatest("menimbang", "mengingat", "memperhatikan"))
     at = lambda name: _first(F.col("idx") == F.col(name), F.col("wrap"))

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lontar.operators import lines, nodes, segments
 
 from . import corpus, oracle
 
-M = ["m.kind", "m.label", "m.title", F.col("m.text").alias("rest")]
+M = ["m.kind", "m.label", "m.title", "m.text as rest"]
 
 
 def x01_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.stitch(corpus.lines(spark, sf_dir)).select("doc_id", "idx", "page", "line_no", "text", *M)
+    return lines.stitch(corpus.lines(spark, sf_dir)).selectExpr("doc_id", "idx", "page", "line_no", "text", *M)
 
 
 def a02_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +22,7 @@ def a02_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f05_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.classified(corpus.lines(spark, sf_dir))
-    return found.select("doc_id", "page", "line_no", "text", *M)
+    return found.selectExpr("doc_id", "page", "line_no", "text", *M)
 
 
 def x02_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
