@@ -75,8 +75,10 @@ def parse_range(text: str | None) -> tuple[int, int]:
 def failed(documents: DataFrame, back_to: str, reason: str | None = None, most: int = MAX_ATTEMPTS) -> DataFrame:
     """documents after one more failed attempt."""
     out = F.col("attempts") + 1 >= most
-    d = documents.withColumn("status", F.when(out, "failed").otherwise(back_to)).withColumn("attempts", F.col("attempts") + 1)
-    return d.withColumn("reject_reason", F.when(out, reason).otherwise(F.col("reject_reason"))) if reason else d
+    changed = {"status": F.when(out, "failed").otherwise(back_to), "attempts": F.col("attempts") + 1}
+    if reason:
+        changed["reject_reason"] = F.when(out, reason).otherwise(F.col("reject_reason"))
+    return documents.withColumns(changed)
 
 
 def requeue(documents: DataFrame, stuck: str = "parsing", back_to: str = "ocr_done") -> DataFrame:
