@@ -56,13 +56,13 @@ class Table:
             raise ValueError("more ids than shares")
         freq = np.where(n > 0, np.maximum(1, n * whole // max(1, n.sum())), 0)
         over = int(freq.sum()) - whole
-        if n.any():
-            for i in np.argsort(-freq, kind="stable"):
-                step = max(over, 1 - int(freq[i])) if over < 0 else min(over, int(freq[i]) - 1)
-                freq[i] -= step
-                over -= step
-                if not over:
-                    break
+        # what rounding down left over goes to the most frequent id; what the least shares take comes from the next ones
+        for i in np.argsort(-freq, kind="stable") if over else []:
+            step = over if over < 0 else min(over, int(freq[i]) - 1)
+            freq[i] -= step
+            over -= step
+            if not over or not n.any():
+                break
         return cls(freq.astype(np.uint64), np.append(0, np.cumsum(freq)).astype(np.uint64), zlib.crc32(freq.astype("<u4").tobytes()))
 
     def symbols(self) -> np.ndarray:
