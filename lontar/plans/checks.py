@@ -127,7 +127,7 @@ _PARENTS = _PARENTS.format(
 _SQUEEZE = lambda c: stripped(f"regexp_replace({c}, '\\s+', ' ', 'g')")
 _PART = lambda n: _SQUEEZE(f"regexp_extract(m, {quoted(citations.CITATION)}, {n})")
 _CITED = f""", hits AS (SELECT doc_id, doc_order, section, trim(content) AS body, unnest(regexp_extract_all(trim(content), {quoted(citations.CITATION)}, 0)) AS m,
-  unnest(range(0, len(regexp_extract_all(trim(content), {quoted(citations.CITATION)}, 0)))) AS at FROM nodes WHERE trim(content) <> ''),
+  unnest(range(0, len(regexp_extract_all(trim(content), {quoted(citations.CITATION)}, 0)))) AS place FROM nodes WHERE trim(content) <> ''),
 split AS (SELECT doc_id, doc_order, CAST(place AS INT) AS "at", upper({_PART(1)}) AS jenis, upper({_PART(2)}) AS instansi, {_PART(3)} AS nomor, {_PART(4)} AS tahun,
   {stripped(f"regexp_replace(regexp_replace({_PART(5)}, {quoted(fixed.TITLE_TAIL)}, ''), '[ ,;:.]+$', '')")} AS tentang, {_SQUEEZE("body")} AS kutipan,
   CASE WHEN section = 'mengingat' THEN 'dasar_hukum' WHEN section IN ('penjelasan_umum', 'penjelasan_pasal') THEN 'disebut'
@@ -158,6 +158,10 @@ ORACLE_SQL = {
     "d01_status": oracle.nodes("SELECT s.doc_id, CASE WHEN pasal = 0 AND diktum = 0 AND narasi = 0 THEN 'FAIL' WHEN n > 0 THEN 'WARNING' ELSE 'SUCCESS' END AS status, coalesce(n, 0) AS n_issues FROM stats s LEFT JOIN (SELECT doc_id, count(*) AS n FROM issues GROUP BY 1) i USING (doc_id)", _ISSUES),
     "t01_parents": oracle.nodes("SELECT doc_id, node_idx, section, node_type, parent_idx, label FROM tree", _PARENTS),
     "t03_cascade": oracle.nodes("SELECT c.doc_id, c.node_idx, c.node_type, CASE WHEN c.node_type = 'pasal' THEN c.label || 'A' WHEN p.node_type = 'pasal' THEN p.label || 'A' ELSE c.pasal END AS pasal FROM tree c LEFT JOIN tree p ON p.doc_id = c.doc_id AND p.node_idx = c.parent_idx WHERE CASE WHEN c.node_type = 'pasal' THEN c.label || 'A' WHEN p.node_type = 'pasal' THEN p.label || 'A' WHEN c.parent_idx IS NULL THEN c.pasal END IS NOT NULL", _PARENTS),
+    "t07_outline": oracle.nodes(
+        "SELECT doc_id, string_agg(repeat('  ', CAST(depth AS INT)) || node_type || CASE WHEN label IS NOT NULL THEN ' ' || label ELSE '' END, chr(10) ORDER BY node_idx) AS outline FROM (SELECT t.*, (t.parent_idx IS NOT NULL)::INT + (a.parent_idx IS NOT NULL)::INT + (b.parent_idx IS NOT NULL)::INT + (c.parent_idx IS NOT NULL)::INT AS depth FROM tree t LEFT JOIN tree a ON a.doc_id = t.doc_id AND a.node_idx = t.parent_idx LEFT JOIN tree b ON b.doc_id = t.doc_id AND b.node_idx = a.parent_idx LEFT JOIN tree c ON c.doc_id = t.doc_id AND c.node_idx = b.parent_idx) GROUP BY doc_id",
+        _PARENTS,
+    ),
     "r01_citations": oracle.nodes("SELECT * FROM cited", _CITED),
     "r03_relations": oracle.nodes("SELECT doc_id, doc_order, type, key FROM relations", _RELATIONS),
     "j15_resolve": oracle.nodes("SELECT r.doc_id, r.type, r.key, (SELECT min(o_orderkey) FROM orders WHERE 'undang_undang|' || (o_orderkey % 40 + 1) || '|' || (year(o_orderdate) - 2) = r.key) AS target_document_id FROM relations r", _RELATIONS),

@@ -7,10 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lontar.functions import fixed
 from lontar.operators import images, recognition
 from lontar.sources import listing
 from lontar.streaming import queue
 
+from . import corpus, oracle
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -78,7 +81,7 @@ def i01_measures(spark, sf_dir):
 def i02_blur(spark, sf_dir):
     d = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 32767)).alias("pixels"))
     m = d.select("vec_id", images.measures(F.col("pixels"), F.lit(8))["blur_score"].alias("blur"))
-    return m.select("vec_id", F.round("blur", 3).alias("blur"), images.resolution(F.col("blur")).alias("dpi"))
+    return m.select("vec_id", F.round(F.col("blur") * 1296, 0).alias("blur"), images.resolution(F.col("blur")).alias("dpi"))
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -114,7 +117,13 @@ ORACLE_SQL = {
       w AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS top, count(*) AS "distinct" FROM c GROUP BY 1), l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l FROM documents),
       s AS (SELECT doc_id, sum(n) AS n_lines, max(CASE WHEN l <> '' THEN n END) AS top_line FROM (SELECT doc_id, l, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1)
       SELECT doc_id, tokens, top, "distinct", tokens >= 40 AND (top / tokens > 0.5 OR "distinct" / tokens < 0.05 OR (n_lines >= 20 AND top_line > 15)) AS degenerate FROM w JOIN s USING (doc_id)""",
-    "w15_tiers": None,
+    "w15_tiers": f"""WITH {corpus.sql()}, p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS text FROM corpus WHERE page IN (6, 7, 8) GROUP BY 1, 2),
+      r AS (SELECT doc_id, page, max(CASE WHEN {oracle.has("text", fixed.LAMPIRAN)} THEN 2 WHEN {oracle.has("text", fixed.PENJELASAN)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM p)
+      SELECT doc_id, CAST(page AS INT) AS page, CASE k WHEN 2 THEN 'lampiran' WHEN 1 THEN 'penjelasan' ELSE '' END AS tier FROM r""",
+    "i02_blur": f"""WITH p AS (SELECT vec_id, unnest({_PIXELS}) AS v, unnest(range(0, 64)) AS k FROM embeddings), g AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, v FROM p),
+      l AS (SELECT a.vec_id, 4 * a.v - u.v - d.v - e.v - w.v AS z FROM g a JOIN g u ON u.vec_id = a.vec_id AND u.y = a.y - 1 AND u.x = a.x JOIN g d ON d.vec_id = a.vec_id AND d.y = a.y + 1 AND d.x = a.x
+        JOIN g e ON e.vec_id = a.vec_id AND e.y = a.y AND e.x = a.x + 1 JOIN g w ON w.vec_id = a.vec_id AND w.y = a.y AND w.x = a.x - 1)
+      SELECT vec_id, round(var_pop(z) * 1296, 0) AS blur, CASE WHEN var_pop(z) >= 5e8 THEN 100 WHEN var_pop(z) >= 5e7 THEN 150 ELSE 200 END AS dpi FROM l GROUP BY vec_id""",
     "w16_accepted_page": "WITH t AS (SELECT conv_id AS doc_id, turn AS page, max(text) AS text FROM conversations GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS n FROM t WHERE trim(text) <> '') SELECT doc_id, min(page) AS page FROM f WHERE n <= 2 AND length(text) % 2 = 0 GROUP BY 1",
     "s11_form_feed": "SELECT doc_id, CAST(3 + k AS INT) AS page, coalesce(string_split(text, chr(10))[k + 1], '') AS text FROM documents, (SELECT CAST(unnest(range(0, 4)) AS INT) AS k)",
     "f27_answers": "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CAST(props ->> '$.k' AS BIGINT) END AS k, CAST(least(floor(event_id * 1.5) + 256, 4096) AS BIGINT) AS cap FROM events",
@@ -122,8 +131,12 @@ ORACLE_SQL = {
     "i01_measures": f"SELECT vec_id, round(len(list_filter(p, lambda x: x < 40000)) / 64, 6) AS ink_ratio, CAST(0 AS INT) AS top, CAST(8 AS INT) AS bottom, CAST(0 AS INT) AS left, CAST(8 AS INT) AS right, len(list_filter(p, lambda x: x < 40000)) / 64 < 0.0004 AS blank FROM (SELECT vec_id, {_PIXELS} AS p FROM embeddings)",
     "st4_register_stream": "SELECT DISTINCT user_id || '/' || event_type AS download_url FROM events",
     "m06_text_source": "SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND length(t) >= 21 THEN 'pdftotext' WHEN doc_id % 2 = 0 THEN 'mupdf' ELSE 'ocr' END AS text_source FROM (SELECT doc_id, substr(text, 1, 300) || ' 12' AS t FROM documents WHERE lang = 'en')",
-    "w08_line_runs": """WITH l AS (SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS k, unnest(string_split(text, chr(10))) AS text FROM documents),
-      x AS (SELECT doc_id, CAST(k * 5 + j AS INT) AS "at", text FROM l, (SELECT unnest(range(0, 5)) AS j)),
+    "w08_line_runs": """WITH l AS (SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS k, unnest(string_split(text, chr(10))) AS line FROM documents),
+      t AS (SELECT doc_id, k, line, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS ts FROM l), u AS (SELECT doc_id, k, unnest(ts) AS w, unnest(range(0, len(ts))) AS i FROM t),
+      v AS (SELECT *, sum(CASE WHEN w IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, k ORDER BY i) AS island FROM (SELECT *, lag(w) OVER (PARTITION BY doc_id, k ORDER BY i) AS p FROM u)),
+      m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k, island ORDER BY i) AS r FROM v), j AS (SELECT doc_id, k, string_agg(w, ' ' ORDER BY i) AS s, count(*) AS c FROM m WHERE r <= 4 GROUP BY 1, 2),
+      y AS (SELECT t.doc_id, t.k, CASE WHEN len(ts) > 4 AND c < len(ts) THEN s ELSE line END AS text FROM t LEFT JOIN j USING (doc_id, k)),
+      x AS (SELECT doc_id, CAST(k * 5 + n AS INT) AS "at", text FROM y, (SELECT unnest(range(0, 5)) AS n)),
       r AS (SELECT *, sum(CASE WHEN p IS DISTINCT FROM trim(text) OR trim(text) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY "at") AS run FROM (SELECT *, lag(trim(text)) OVER (PARTITION BY doc_id ORDER BY "at") AS p FROM x)),
       n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY "at") AS nth FROM r) SELECT doc_id, "at", text FROM n WHERE nth <= 3""",
 }

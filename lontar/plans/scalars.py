@@ -143,8 +143,30 @@ _ACEH = lambda n: f"CASE WHEN contains({n}, 'ACEH') AND NOT starts_with({n}, 'KA
 _COMPARE_TEXT = lambda c: f"regexp_replace({c}, '[^\\x00-\\x7f]', '?', 'g')"
 _FLAT_TEXT = lambda c: f"lower({stripped(f'''regexp_replace({c}, '{chr(92)}s+', ' ', 'g')''')})"
 
+def _page_sql(page: int) -> str:
+    return f"WITH {corpus.sql()}, p AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no) AS page FROM corpus WHERE page = {page} GROUP BY doc_id)"
+
+
+_HEAD = lambda n: f"regexp_extract(raw, {quoted(identity.DATED)}, {n})"
+_SQUEEZED = lambda c: stripped(f"regexp_replace({c}, '\\s+', ' ', 'g')")
+_IDENTITY = f"""{_page_sql(1)}, r AS (SELECT doc_id, regexp_replace(page, {quoted("(?s)" + fixed.MENIMBANG + ".*")}, '') AS raw FROM p),
+h AS (SELECT doc_id, {_SQUEEZED(f"upper({_HEAD(1)})")} AS jenis, {_TIDY(_HEAD(2))} AS area, {stripped(_HEAD(3))} AS nomor, {_HEAD(4)} AS tahun,
+  {stripped("array_to_string(list_transform(string_split(regexp_replace(" + _HEAD(5) + r", '(?s)\r?\n\s*\r?\n.*', ''), chr(10)), lambda x: " + stripped("x") + "), ' ')")} AS tentang FROM r),
+w AS (SELECT *, {_ACEH("area")} AS wilayah FROM h)
+SELECT doc_id, jenis, wilayah, nomor, coalesce(TRY_CAST(nullif(regexp_extract(nomor, '[0-9]+', 0), '') AS INT), 0) AS nomor_urut, tahun, tentang, jenis || '|' || wilayah || '|' || nomor || '|' || tahun AS canonical_key,
+  list_contains([{", ".join(quoted(k) for k in fixed.KINDS)}], jenis) AND list_contains({_AREA_LIST}, wilayah) AND nomor <> '' AND tahun <> '' AND tentang <> '' AS accepted FROM w"""
+_PLACE = lambda pattern, n: _SQUEEZED(f"regexp_replace(regexp_extract(page, {quoted(pattern)}, {n}), '^[ \\t\\r\\n,.:]+|[ \\t\\r\\n,.:]+$', '', 'g')")
+_SIGNING = f"""{_page_sql(6)}, s AS (SELECT doc_id, page, regexp_extract_all(page, {quoted(identity.SIGNER)}, 1) AS offices,
+  list_filter(list_transform(string_split(string_split_regex(page, {quoted(identity.SIGNER)})[2], chr(10))[1:6], lambda x: {stripped("x")}), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^ttd\\.?$'))[1] AS line FROM p),
+n AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-Z][A-Z.\'\'\\s]{{2,60}}[A-Z.]$') AND NOT regexp_matches(line, '(?i)^(salinan|tembusan|distribusi)\\b') THEN {_TIDY("line")} ELSE '' END AS name FROM s)
+SELECT doc_id, {_PLACE(identity.SIGNED, 1)} AS ditetapkan_di, {_PLACE(identity.SIGNED, 2)} AS ditetapkan_tanggal, coalesce({_TIDY("offices[1]")}, '') AS ditetapkan_oleh, coalesce(name, '') AS ditetapkan_nama,
+  '' AS diundangkan_di, '' AS diundangkan_tanggal, '' AS diundangkan_oleh, '' AS diundangkan_nama, regexp_matches(page, '(?i)ditetapkan\\s+di') AS marked,
+  {_PLACE(identity.SIGNED, 1)} = '' OR {_PLACE(identity.SIGNED, 2)} = '' OR coalesce(name, '') = '' AS needs_model FROM n"""
+
 QUERIES = {f.__name__: f for f in (f35_normalize_url, f36_source_code, f37_sanitize, s08_pdf_link, s09_sniff, s06_retry, f39_file_name, f17_numbers, f14_area, f25_citation_key, f01_fix_line, f20_identity, f21_signing, f30_compare, w09_token_runs, p01_ranges, f46_fulltext)}
 ORACLE_SQL = {
+    "f20_identity": _IDENTITY,
+    "f21_signing": _SIGNING.replace("\\'\\'", "''"),
     "f35_normalize_url": f"SELECT page_id, {_normal('url')} AS url, {_normal('dirty')} AS dirty_url FROM (SELECT page_id, url, regexp_replace(url, '^http', 'HTTP') || CASE WHEN contains(url, '?') THEN '&utm_source=a&b=1#top' ELSE '?utm_source=a&b=1#top' END AS dirty FROM pages)",
     "f36_source_code": f"SELECT page_id, {_code('url')} AS code, {_code('u')} AS port_code FROM (SELECT page_id, url, 'https://www.jdih.' || regexp_extract(url, '^https?://([^/:]*)', 1) || ':8080/x' AS u FROM pages)",
     "f37_sanitize": f"SELECT doc_id, {_sane('substr(text, 1, 200)')} AS name FROM documents",
