@@ -162,9 +162,10 @@ def loose_lines(segment_lines: DataFrame) -> DataFrame:
 
 
 def parents(nodes: DataFrame, compat: bool = False) -> DataFrame:
-    """nodes with parent_idx, the nearest open ancestor of the same run of a section (null: none) and own label.
+    """nodes with parent_idx, the nearest open ancestor of the same run of a section (null: none), own label and path, the
+    indexes from the root to the node.
 
-    A paragraf hangs under its bagian or bab; with compat under the paragraf before it."""
+    A paragraf hangs under its bagian or bab; with compat under the paragraf before it (without path)."""
     order = Window.partitionBy("doc_id").orderBy("node_idx")
     turned = F.coalesce(F.lag("section").over(order) != F.col("section"), F.lit(True))
     d = nodes.withColumn("_part", F.sum(turned.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -179,4 +180,8 @@ def parents(nodes: DataFrame, compat: bool = False) -> DataFrame:
     over = F.coalesce(bagian, bab)
     parent = F.when(kind == "bagian", bab).when(kind == "paragraf", F.coalesce(paragraf, over) if compat else over).when(kind == "pasal", F.coalesce(paragraf, over)).when(kind == "ayat", pasal)
     own = F.when(kind == "bab", F.col("bab")).when(kind == "bagian", F.col("bagian")).when(kind == "paragraf", F.col("paragraf")).when(kind == "pasal", F.col("pasal")).when(kind == "ayat", F.col("ayat")).when(kind == "diktum", F.col("diktum"))
-    return d.withColumn("parent_idx", parent).withColumn("label", own).drop("_part")
+    d = d.withColumns({"parent_idx": parent, "label": own})
+    if not compat:
+        open_ = [F.when(kind.isin("bagian", "paragraf", "pasal", "ayat"), bab), F.when(kind.isin("paragraf", "pasal", "ayat"), bagian), F.when(kind.isin("pasal", "ayat"), paragraf), F.when(kind == "ayat", pasal)]
+        d = d.withColumn("path", F.when(F.col("parent_idx").isNull(), F.array(at)).otherwise(F.array_compact(F.array(*open_, at))))
+    return d.drop("_part")

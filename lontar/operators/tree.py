@@ -19,9 +19,14 @@ def closure(nodes: DataFrame, levels: int = 8) -> DataFrame:
     return out
 
 
+def with_path(nodes: DataFrame) -> DataFrame:
+    """nodes with their path, worked out only where they do not have it."""
+    return nodes if "path" in nodes.columns else nodes.join(closure(nodes).select("doc_id", "node_idx", "path"), ["doc_id", "node_idx"])
+
+
 def cascade(nodes: DataFrame, column: str, kind: str) -> DataFrame:
     """nodes with `column` taken from the nearest ancestor-or-self of the given type, as after an edit of its label."""
-    at = closure(nodes).select("doc_id", "node_idx", F.explode("path").alias("up"))
+    at = with_path(nodes).select("doc_id", "node_idx", F.explode("path").alias("up"))
     own = nodes.where(F.col("node_type") == kind).select("doc_id", F.col("node_idx").alias("up"), F.col("label").alias("_label"))
     near = at.join(own, ["doc_id", "up"]).groupBy("doc_id", "node_idx").agg(F.max_by("_label", "up").alias("_label"))
     return nodes.join(near, ["doc_id", "node_idx"], "left").withColumn(column, F.coalesce("_label", F.when(F.col("parent_idx").isNull() & (F.col("node_type") != kind), F.col(column)))).drop("_label")
@@ -29,14 +34,14 @@ def cascade(nodes: DataFrame, column: str, kind: str) -> DataFrame:
 
 def outline(nodes: DataFrame) -> DataFrame:
     """(doc_id, outline): one line a node, indented by depth."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("node_type"), F.when(F.col("label").isNotNull(), F.concat(F.lit(" "), F.col("label"))).otherwise(""))
-    lined = nodes.join(closure(nodes).select("doc_id", "node_idx", "depth"), ["doc_id", "node_idx"]).select("doc_id", F.struct("node_idx", line.alias("line")).alias("x"))
+    line = F.concat(F.repeat(F.lit("  "), F.size("path") - 1), F.col("node_type"), F.when(F.col("label").isNotNull(), F.concat(F.lit(" "), F.col("label"))).otherwise(""))
+    lined = with_path(nodes).select("doc_id", F.struct("node_idx", line.alias("line")).alias("x"))
     return lined.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("outline"))
 
 
 def nested(nodes: DataFrame, levels: int = 4) -> DataFrame:
     """(doc_id, tree): nodes nested as JSON, children in order, from the deepest level up."""
-    depth = nodes.join(closure(nodes).select("doc_id", "node_idx", "depth"), ["doc_id", "node_idx"])
+    depth = with_path(nodes).withColumn("depth", F.size("path") - 1)
     kids = None
     for level in range(levels, -1, -1):
         here = depth.where(F.col("depth") == level)
