@@ -211,7 +211,8 @@ def groups(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, one row each; all columns stay. Rows without a
-    doc_id stay only where their component has no doc_id at all, once for each fingerprint."""
+    doc_id cannot be named by a component and all stay."""
     found = groups(docs.select("doc_id", "text"), radius)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
+    named = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
