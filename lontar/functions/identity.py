@@ -99,3 +99,11 @@ def signing(page: Column) -> Column:
         at(PROMULGATED, 1).alias("diundangkan_di"), at(PROMULGATED, 2).alias("diundangkan_tanggal"), office(1).alias("diundangkan_oleh"), named(1).alias("diundangkan_nama"),
         (enacted | promulgated).alias("marked"), needs.alias("needs_model"),
     )
+
+
+def decide(accepted: Column, gate: Column, recital: Column, waiting: Column, known: Column) -> Column:
+    """What becomes of a document after a page: identity read without a model is accepted; a page that the gate turns
+    down and that has no recital anchor waits for the next one or, after the window, is rejected; a model's identity is
+    accepted if kind and area are known or a recital anchor vouches for the page."""
+    turned_down = ~F.coalesce(gate, F.lit(False)) & ~recital
+    return F.when(accepted, "accepted").when(turned_down & waiting, "next_page").when(turned_down, "rejected").when(F.coalesce(known, F.lit(False)) | recital, "accepted_by_model").otherwise("rejected")

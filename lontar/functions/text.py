@@ -10,6 +10,11 @@ from . import fixed
 _SPACE = r"[\t\n\x0B\f\r \x85 ]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it: as a Column alone it would be repeated."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """White space off both ends, Unicode spaces included."""
     return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")
@@ -22,34 +27,45 @@ def squeeze(c: Column) -> Column:
 
 def fix_verse(inner: Column) -> Column:
     """Letters misread in a verse number: l and I to 1, O to 0, but for a last letter that follows a digit."""
-    t = strip(inner)
-    head, tail = F.substring(t, F.lit(1), F.greatest(F.length(t) - 1, F.lit(0))), F.right(t, F.lit(1))
-    kept = head.rlike("[0-9]") & tail.rlike("[lIO]")
-    return F.concat(F.translate(head, "lIO", "110"), F.when(kept, tail).otherwise(F.translate(tail, "lIO", "110")))
+
+    def fixed_up(t: Column) -> Column:
+        head, tail = F.substring(t, F.lit(1), F.greatest(F.length(t) - 1, F.lit(0))), F.right(t, F.lit(1))
+        kept = head.rlike("[0-9]") & tail.rlike("[lIO]")
+        return F.concat(F.translate(head, "lIO", "110"), F.when(kept, tail).otherwise(F.translate(tail, "lIO", "110")))
+
+    return let(strip(inner), fixed_up)
 
 
 def fix_line(c: Column) -> Column:
     """A recognised line without outer space, markdown and misread verse numbers. Fences and table rules: empty."""
-    t = F.regexp_replace(strip(c), r"[ \t]{2,}", " ")
-    plain = strip(F.regexp_replace(F.regexp_replace(t, fixed.HEADING, ""), fixed.BOLD, "$2"))
-    inner = F.regexp_extract(plain, fixed.VERSE_MIXED, 1)
-    verse = (
-        F.when(plain.rlike(fixed.VERSE_ONE), F.regexp_replace(plain, fixed.VERSE_ONE, "(1)"))
-        .when(inner != "", F.concat(F.lit("("), fix_verse(inner), F.lit(")"), F.regexp_replace(plain, fixed.VERSE_MIXED, "")))
-        .otherwise(plain)
-    )
-    return F.when(t.rlike(fixed.CODE_FENCE) | t.rlike(fixed.TABLE_RULE), "").otherwise(verse)
+
+    def verse(plain: Column) -> Column:
+        inner = F.regexp_extract(plain, fixed.VERSE_MIXED, 1)
+        return (
+            F.when(~plain.startswith("("), plain)
+            .when(plain.rlike(fixed.VERSE_ONE), F.regexp_replace(plain, fixed.VERSE_ONE, "(1)"))
+            .when(plain.rlike(fixed.VERSE_MIXED), F.concat(F.lit("("), fix_verse(inner), F.lit(")"), F.regexp_replace(plain, fixed.VERSE_MIXED, "")))
+            .otherwise(plain)
+        )
+
+    def line(t: Column) -> Column:
+        plain = strip(F.regexp_replace(F.regexp_replace(t, fixed.HEADING, ""), fixed.BOLD, "$2"))
+        return F.when(t.rlike(fixed.CODE_FENCE) | t.rlike(fixed.TABLE_RULE), "").otherwise(let(plain, verse))
+
+    return let(F.regexp_replace(strip(c), r"[ \t]{2,}", " "), line)
 
 
 def fix_anchor(c: Column) -> Column:
     """A section anchor misread by one letter (two for words of ten or more) at the start of a line, alone or before a
     colon, is put right; the nearest anchor wins, then the earlier in the list."""
+
+    def drawn(near: Column) -> Column:
+        fits = (near["d"] >= 1) & (near["d"] <= F.when(F.length(near["a"]) >= 10, 2).otherwise(1))
+        return F.when(fits, F.concat(F.regexp_extract(c, r"^([ \t]*)", 1), near["a"], F.regexp_replace(c, r"^[ \t]*[A-Za-z]+", ""))).otherwise(c)
+
     word = F.upper(F.regexp_extract(c, r"^[ \t]*([A-Za-z]+)", 1))
-    used = c.rlike(r"^[ \t]*[A-Za-z]{4,}[ \t]*(:.*)?$")
-    near = F.array_min(F.array(*[F.struct(F.levenshtein(word, F.lit(a)).alias("d"), F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(fixed.ANCHORS)]))
-    limit = F.when(F.length(near["a"]) >= 10, 2).otherwise(1)
-    fits = used & (near["d"] >= 1) & (near["d"] <= limit)
-    return F.when(fits, F.concat(F.regexp_extract(c, r"^([ \t]*)", 1), near["a"], F.regexp_replace(c, r"^[ \t]*[A-Za-z]+", ""))).otherwise(c)
+    near = let(word, lambda w: F.array_min(F.array(*[F.struct(F.levenshtein(w, F.lit(a)).alias("d"), F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(fixed.ANCHORS)])))
+    return F.when(c.rlike(r"^[ \t]*[A-Za-z]{4,}[ \t]*(:.*)?$"), let(near, drawn)).otherwise(c)
 
 
 def ordinal(c: Column) -> Column:
@@ -117,11 +133,15 @@ def sort_number(c: Column) -> Column:
 def compare(a: Column, b: Column) -> Column:
     """struct(similarity, digits_equal, trusted) of two extractions of a page: one minus the edit distance in letters
     over the longer length in bytes, of texts in lower case with single spaces; digit runs must agree in order."""
-    x, y = F.lower(squeeze(a)), F.lower(squeeze(b))
-    longest = F.greatest(F.octet_length(x), F.octet_length(y))
-    similarity = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(x, y) / longest)
-    digits = F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)) == F.regexp_extract_all(y, F.lit(r"(\d+)"), F.lit(1))
-    return F.struct(similarity.alias("similarity"), digits.alias("digits_equal"), ((similarity >= fixed.TRUSTED) & digits).alias("trusted"))
+
+    def told(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        longest = F.greatest(F.octet_length(x), F.octet_length(y))
+        similarity = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(x, y) / longest)
+        digits = F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)) == F.regexp_extract_all(y, F.lit(r"(\d+)"), F.lit(1))
+        return let(F.struct(similarity.alias("s"), digits.alias("d")), lambda r: F.struct(r["s"].alias("similarity"), r["d"].alias("digits_equal"), ((r["s"] >= fixed.TRUSTED) & r["d"]).alias("trusted")))
+
+    return let(F.struct(F.lower(squeeze(a)).alias("x"), F.lower(squeeze(b)).alias("y")), told)
 
 
 def clamp_tokens(line: Column) -> Column:

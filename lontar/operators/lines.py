@@ -27,8 +27,8 @@ def explode_pages(pages: DataFrame) -> DataFrame:
 
 def classified(lines: DataFrame) -> DataFrame:
     """lines with repaired text and the structural match m and whether boundary rules spare them (firm)."""
-    fixed_text = text.fix_anchor(text.fix_line(F.col("text")))
-    made = lines.withColumn("text", fixed_text).withColumn("m", text.structural(F.col("text")))
+    # one step after the other: each expression uses the last one's result many times
+    made = lines.withColumn("text", text.fix_line(F.col("text"))).withColumn("text", text.fix_anchor(F.col("text"))).withColumn("m", text.structural(F.col("text")))
     return made.withColumn("firm", text.looks_structural(F.col("text"), F.col("m.kind")))
 
 

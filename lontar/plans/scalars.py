@@ -64,7 +64,7 @@ def f25_citation_key(spark, sf_dir):
 
 def f01_fix_line(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    return d.select("doc_id", "at", text.fix_anchor(text.fix_line(F.col("line"))).alias("line"))
+    return d.select("doc_id", "at", text.let(text.fix_line(F.col("line")), text.fix_anchor).alias("line"))
 
 
 def f20_identity(spark, sf_dir):
@@ -81,6 +81,13 @@ def _pages(spark, sf_dir, page: int) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("page_text"))
 
 
+def m05_decide(spark, sf_dir):
+    """Orders as pages: status and priority as what regular expressions, gate, anchors and model say."""
+    d = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"), F.substring("o_orderpriority", 1, 1).cast("int").alias("g"))
+    k = F.col("o_orderkey")
+    return d.select("o_orderkey", identity.decide(F.col("s") == "P", F.when(k % 5 > 0, F.col("s") == "O"), F.col("g") == 1, k % 2 == 0, F.col("g") > 3).alias("decision"))
+
+
 def f30_compare(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 400).alias("a"))
     b = F.regexp_replace(F.regexp_replace("a", "th", "TH "), "([0-9])", "$1")
@@ -163,8 +170,10 @@ SELECT doc_id, {_PLACE(identity.SIGNED, 1)} AS ditetapkan_di, {_PLACE(identity.S
   '' AS diundangkan_di, '' AS diundangkan_tanggal, '' AS diundangkan_oleh, '' AS diundangkan_nama, regexp_matches(page, '(?i)ditetapkan\\s+di') AS marked,
   {_PLACE(identity.SIGNED, 1)} = '' OR {_PLACE(identity.SIGNED, 2)} = '' OR coalesce(name, '') = '' AS needs_model FROM n"""
 
-QUERIES = {f.__name__: f for f in (f35_normalize_url, f36_source_code, f37_sanitize, s08_pdf_link, s09_sniff, s06_retry, f39_file_name, f17_numbers, f14_area, f25_citation_key, f01_fix_line, f20_identity, f21_signing, f30_compare, w09_token_runs, p01_ranges, f46_fulltext)}
+QUERIES = {f.__name__: f for f in (f35_normalize_url, f36_source_code, f37_sanitize, s08_pdf_link, s09_sniff, s06_retry, f39_file_name, f17_numbers, f14_area, f25_citation_key, f01_fix_line, f20_identity, f21_signing, m05_decide, f30_compare, w09_token_runs, p01_ranges, f46_fulltext)}
 ORACLE_SQL = {
+    "m05_decide": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'accepted' WHEN NOT (o_orderkey % 5 > 0 AND o_orderstatus = 'O') AND NOT starts_with(o_orderpriority, '1') THEN CASE WHEN o_orderkey % 2 = 0 THEN 'next_page' ELSE 'rejected' END
+      WHEN o_orderpriority >= '4' OR starts_with(o_orderpriority, '1') THEN 'accepted_by_model' ELSE 'rejected' END AS decision FROM orders""",
     "f20_identity": _IDENTITY,
     "f21_signing": _SIGNING.replace("\\'\\'", "''"),
     "f35_normalize_url": f"SELECT page_id, {_normal('url')} AS url, {_normal('dirty')} AS dirty_url FROM (SELECT page_id, url, regexp_replace(url, '^http', 'HTTP') || CASE WHEN contains(url, '?') THEN '&utm_source=a&b=1#top' ELSE '?utm_source=a&b=1#top' END AS dirty FROM pages)",
