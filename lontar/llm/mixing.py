@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, hash60, word_count
@@ -40,22 +40,32 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return filled.select("source", "source_size", F.when(F.col("open"), share).otherwise(F.col("cap").cast("double")).alias("target"), "source_id")
 
 
-def plan(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, size, source_size, target, copies) for each row of docs (doc_id, text, source).
+def identity(docs: DataFrame) -> Column:
+    """128 hash bits of all columns: rows that share them are equal in all columns, so either may stand for the other."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # hashes pass over nulls, so which columns are null counts too
+    values = [*[c.isNull() for c in columns], *columns]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit("b"), *values).alias("b"))
+
+
+def plan(docs: DataFrame, epochs: int = EPOCHS, row: Column | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, times, row) for each row of docs (doc_id, text, source).
 
     size is the number of words (null text: 0). copies is how many times the mix takes the document, 0 to epochs;
     documents of size 0 count as taken 0 times. Repeated rows are separate documents. A null doc_id is allowed.
-    Empty input: no rows. The same rows give the same mix in any order and partitioning."""
-    sized = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id").cast("long")).alias("h")))
+    row names a row where doc_id does not; it settles ties and comes back (null without it). Empty input: no rows. The
+    same rows give the same mix in any order and partitioning."""
+    row = F.lit(None).cast("struct<a:bigint,b:bigint>") if row is None else row
+    sized = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id").cast("long")).alias("h"), row.alias("row")))
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     goals = checkpoint(targets(sized, epochs))
     bits = max(0, math.ceil(math.log2(max(1, n / _ROWS_A_CELL))))
-    rows = sized.join(goals, sized.source.eqNullSafe(goals.source)).select("doc_id", "size", "h", "source_id", "source_size", "target", F.shiftright("h", 60 - bits).alias("cell"))
+    rows = sized.join(goals, sized.source.eqNullSafe(goals.source)).select("doc_id", "size", "h", "row", "source_id", "source_size", "target", F.shiftright("h", 60 - bits).alias("cell"))
     rows = checkpoint(rows)
     # words before a document within its source: whole cells first, then within its own cell
     cells = rows.groupBy("source_id", "cell").agg(F.sum("size").alias("words"))
     before = cells.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    within = Window.partitionBy("source_id", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source_id", "cell").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     read = rows.join(before, ["source_id", "cell"]).withColumn("upto", F.col("before") + F.sum("size").over(within))
     finish = lambda e: (F.col("upto") + F.col("source_size") * e).cast("double") / F.col("target")
     times = F.array(*[finish(e) for e in range(epochs)])
@@ -63,14 +73,14 @@ def plan(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     # by time 1 no source is past its target, so the budget holds every copy up to there
     on_time = F.size(F.filter("times", lambda t: t <= 1.0))
     left = total - (read.agg(F.sum(F.col("size") * on_time)).first()[0] or 0)
-    late = read.select("doc_id", "size", "h", F.posexplode("times").alias("epoch", "time")).where("time > 1")
+    late = read.select("doc_id", "size", "h", "row", F.posexplode("times").alias("epoch", "time")).where("time > 1")
     reach, cut = 2.0 * left / max(1, total), None
     while left > 0:
         some, more = late.agg(F.sum(F.when(F.col("time") <= 1 + reach, F.col("size"))), F.count(F.when(F.col("time") > 1 + reach, 1))).first()
         if (some or 0) >= left or not more:
             break
         reach *= 2
-    order = ["time", "h", "doc_id", "epoch", "size"]
+    order = ["time", "h", "doc_id", "epoch", "size", "row"]
     if left > 0:
         # a few documents of each source: what lies between time 1 and the end of the budget
         tail = late.where(F.col("time") <= 1 + reach).withColumn("used", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
@@ -78,18 +88,17 @@ def plan(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     if cut is None:
         copies = on_time
     else:
-        key = F.struct(F.lit(cut["time"]).alias("time"), F.lit(cut["h"]).alias("h"), F.lit(cut["doc_id"]).cast("long").alias("doc_id"), F.lit(cut["epoch"]).alias("epoch"), F.lit(cut["size"]).alias("size"))
-        copies = F.size(F.filter(F.transform("times", lambda t, e: F.struct(t.alias("time"), F.col("h"), F.col("doc_id"), e.alias("epoch"), F.col("size"))), lambda k: k <= key))
-    return read.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), F.slice("times", 1, copies).alias("times"))
+        place = F.struct(*[F.lit(cut["row"][k]).cast("long").alias(k) for k in "ab"]) if cut["row"] else F.lit(None).cast("struct<a:bigint,b:bigint>")
+        key = F.struct(F.lit(cut["time"]).alias("time"), F.lit(cut["h"]).alias("h"), F.lit(cut["doc_id"]).cast("long").alias("doc_id"), F.lit(cut["epoch"]).alias("epoch"), F.lit(cut["size"]).alias("size"), place.alias("row"))
+        copies = F.size(F.filter(F.transform("times", lambda t, e: F.struct(t.alias("time"), F.col("h"), F.col("doc_id"), e.alias("epoch"), F.col("size"), F.col("row"))), lambda k: k <= key))
+    return read.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), F.slice("times", 1, copies).alias("times"), "row")
 
 
 def mix(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """The mix itself: every taken copy of a document as a row with all columns of docs, range-sorted by virtual finish
-    time. Documents without words are in no mix. Rows that share a doc_id are told apart by their size."""
-    taken = plan(docs, epochs).where("copies > 0")
-    same = Window.partitionBy("_id").orderBy("_size")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("times").alias("_times")).withColumn("_nth", F.row_number().over(same))
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), word_count(F.col("text")).alias("_size")).where("_size > 0")
-    left = left.withColumn("_nth", F.row_number().over(same))
-    pairs = left.join(taken, left._id.eqNullSafe(taken._id) & (left._nth == taken._nth))
-    return pairs.select("_row", F.explode("_times").alias("_time")).sort("_time").select("_row.*")
+    time. Documents without words are in no mix. Rows are told apart by all their columns, so a doc_id may be null or
+    repeated; equal rows are one row here with the copies of all."""
+    taken = plan(docs, epochs, identity(docs)).where("copies > 0").select(F.col("row.a").alias("_a"), F.col("row.b").alias("_b"), F.explode("times").alias("_time"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), identity(docs).alias("_of"))
+    once = rows.select("_row", F.col("_of.a").alias("_a"), F.col("_of.b").alias("_b")).dropDuplicates(["_a", "_b"])
+    return once.join(taken, ["_a", "_b"]).sort("_time", "_a", "_b").select("_row.*")
