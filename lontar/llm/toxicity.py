@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import checkpoint, hash60
 
 THRESHOLD = 0.3
@@ -117,13 +117,6 @@ def training_labels(labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFr
     return known.where(hash60(F.col("doc_id")) < int(2**60 * max_docs / n)) if n > max_docs else known
 
 
-def _sketch(batches):
-    """The smallest word hash of each text: near copies mostly share it."""
-    for batch in batches:
-        low = [min((xxhash.xxh64_intdigest(w) >> 1 for w in set(_WORDS((t or "").lower()))), default=0) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(low, pa.int64())], names=["doc_id", "toxic", "sketch"])
-
-
 def _count(batches):
     counts: dict[str, list[float]] = {}
 
@@ -180,13 +173,14 @@ def _curve(rows: list[tuple[int, float, int]]) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Fit on the texts of labelled documents outside the held-out part.
 
-    The labels looked at are bounded by max_docs and so are broadcast; texts are not moved. Without any labelled
+    The labels looked at are bounded by max_docs and so are broadcast; of the texts only those of likely copies are
+    moved. Copies are labelled documents of one class that five-word shingles link. Without any labelled
     toxic document the model scores every text alike, near 0."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = F.broadcast(training_labels(labels, max_docs))
-    sketched = checkpoint(texts.join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_sketch, "doc_id long, toxic int, sketch long"))
-    copies = sketched.groupBy("toxic", "sketch").agg((F.lit(1.0) / F.count("*")).alias("weight"))
-    weighted = checkpoint(sketched.join(copies, ["toxic", "sketch"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("weight").alias("weight")))
+    grouped = checkpoint(shingles.groups(texts.join(chosen, "doc_id").select("doc_id", "text")).join(chosen, "doc_id"))
+    copies = grouped.groupBy("toxic", "component_id").agg((F.lit(1.0) / F.count("*")).alias("weight"))
+    weighted = checkpoint(grouped.join(copies, ["toxic", "component_id"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("weight").alias("weight")))
     n1, n0 = (float(v or 0) for v in weighted.agg(F.sum(F.when(F.col("toxic") == 1, F.col("weight"))), F.sum(F.when(F.col("toxic") != 1, F.col("weight")))).first())
     if not n1 or not n0:
         return Model({}, math.log(1 - DENSITY), a=-5.0, b=0.0)

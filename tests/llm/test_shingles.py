@@ -6,7 +6,7 @@ import random
 from conftest_llm import ODD, make_docs
 from test_pairs import WORD, grouped
 
-from lontar.llm import shingles
+from lontar.llm import shingles, toxicity
 
 
 @functools.cache
@@ -61,3 +61,20 @@ def test_odd(spark):
     kept = shingles.keep_one(make_docs(spark, ODD))
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 6, 7, 8] and kept.columns == make_docs(spark, ODD).columns
     assert shingles.groups(make_docs(spark, ODD).where("false")).count() == 0
+
+
+def test_toxic_evidence_of_unrelated_documents(spark, monkeypatch):
+    """Documents that share a common word weigh 1 each, near copies 1 together."""
+    rnd = random.Random(9)
+    rows = [(k, "dan yang " + " ".join(f"kata{rnd.randrange(5000)}" for _ in range(60))) for k in range(120)]
+    rows += [(k + 200, rows[0][1] + f" akhir{k}") for k in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i >= 200)) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    held = {r.doc_id for r in labels.where(toxicity.held_out(labels.doc_id)).collect()}
+    checked = toxicity.checkpoint
+    monkeypatch.setattr(toxicity, "checkpoint", lambda df: seen.append(checked(df)) or seen[-1])
+    toxicity.train(make_docs(spark, rows), labels)
+    weights = {r.doc_id: r.weight for d in seen if "weight" in d.columns for r in d.collect()}
+    copies = [i for i in weights if i >= 200 or i == 0]
+    assert weights.keys() == {i for i, _ in rows} - held and abs(sum(weights[i] for i in copies) - 1) < 1e-9
+    assert all(w == 1 for i, w in weights.items() if i not in copies)
