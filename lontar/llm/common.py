@@ -19,7 +19,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A folder of our own where it is unset, for local masters only:
+    executors elsewhere would not see it."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return set_dir.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lontar-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -59,11 +62,21 @@ def stage(df: DataFrame, path: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; Spark removes its files once nothing refers to them."""
+    """Reliable checkpoint in the shared folder. Its files stay until forget(), or, with
+    spark.cleaner.referenceTracking.cleanCheckpoints, until nothing refers to them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def forget(*checkpointed: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing will read any more."""
+    for df in checkpointed:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if hasattr(plan, "rdd") else None
+        if file is not None and file.isDefined():
+            remove(df.sparkSession, file.get())
+
+
 @contextmanager
 def released_shuffles(spark: SparkSession):
     """Shuffle files of each query that ends inside go at once, not when the driver happens to collect garbage."""
@@ -103,6 +116,47 @@ def range_number(c: Column, cuts: np.ndarray) -> Column:
     return F.when(c.isNull(), n + 1).when(block == 0, 0).otherwise((block - 1) * step + within)
 
 
+def identity(docs: DataFrame) -> Column:
+    """128 hash bits of all columns: rows that share them are equal in all columns, so either may stand for the other."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # hashes pass over nulls, so which columns are null counts too
+    values = [*[c.isNull() for c in columns], *columns]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit("b"), *values).alias("b"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row of docs as one column _row, so that no name in it meets a name of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of docs for each root of rooted (a, b, doc_id, root; a and b of identity()): that of the smallest doc_id,
+    null last, then of the smallest identity. Equal rows are one row. All columns stay."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "a", "b"))
+    chosen = rooted.groupBy("root").agg(first.alias("f")).select(F.col("f.a").alias("_a"), F.col("f.b").alias("_b"))
+    of = identity(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), of["a"].alias("_a"), of["b"].alias("_b"))
+    return rows.dropDuplicates(["_a", "_b"]).join(chosen, ["_a", "_b"], "left_semi").select("_row.*")
+
+
+#: Keys with more rows than a share of all, and than this, are joined from a broadcast: at most HEAVY_KEYS of them.
+HEAVY_ROWS, HEAVY_KEYS = 64, 4096
+
+
+def _apart(rows: DataFrame, lookup: DataFrame, key: str, n: str, limit: int) -> DataFrame:
+    heavy, light = (lookup.where(w).drop(n) for w in (F.col(n) > limit, F.col(n) <= limit))
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+
+
+def join_counted(rows: DataFrame, lookup: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with lookup, which has one row a key and in column n how many of rows have it. Rows of crowded keys
+    stay where they are: total / limit rows of lookup at most are broadcast for them."""
+    total, most = lookup.agg(F.sum(n), F.max(n)).first()
+    limit = max(HEAVY_ROWS, (total or 0) // HEAVY_KEYS)
+    return rows.join(lookup.drop(n), key) if (most or 0) <= limit else _apart(rows, lookup, key, n, limit)
+
+
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join every node to the smallest node of its component among the given edges."""
     if not len(a):
@@ -145,25 +199,31 @@ def _contract(batches):
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a long, b long) edges to (node, root): root is the smallest node of the component, roots themselves left out.
 
-    Alternating large-star and small-star steps on DataFrames, each round checkpointed. Tasks contract what they hold
-    before each shuffle; the minimum of a node's neighbours is a partial aggregate, so a hub costs a task no more than
-    its own share of rows. No edges: an empty result."""
+    Alternating large-star and small-star steps on DataFrames, each round checkpointed and the one before it deleted.
+    Tasks contract what they hold before the first shuffle. The minimum of a node's neighbours is a partial aggregate, and
+    hubs get theirs from a broadcast of bounded size, so a hub's edges are never dealt to one task. No edges: an empty
+    result."""
     spark = edges.sparkSession
     edges = checkpoint(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long"))
-    seen = None
+    seen, n = None, edges.count()
+    if not n:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
+        limit = max(HEAVY_ROWS, 2 * n // HEAVY_KEYS)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _apart(both, low, "a", "n", limit).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # each edge now points to a smaller node: its parents' minimum and the other parents meet there
         down = large.union(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = checkpoint(small)
+        down = checkpoint(down)
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _apart(down, least, "a", "n", limit).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        before, edges = edges, checkpoint(small)
+        forget(before, down)
         now = edges.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break
-        seen = now
+        seen, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")

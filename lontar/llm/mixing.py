@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hash60, word_count
+from .common import checkpoint, hash60, identity, packed, word_count
 
 EPOCHS = 3
 _ROWS_A_CELL = 4096
@@ -40,14 +40,6 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return filled.select("source", "source_size", F.when(F.col("open"), share).otherwise(F.col("cap").cast("double")).alias("target"), "source_id")
 
 
-def identity(docs: DataFrame) -> Column:
-    """128 hash bits of all columns: rows that share them are equal in all columns, so either may stand for the other."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    # hashes pass over nulls, so which columns are null counts too
-    values = [*[c.isNull() for c in columns], *columns]
-    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit("b"), *values).alias("b"))
-
-
 def plan(docs: DataFrame, epochs: int = EPOCHS, row: Column | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies, times, row) for each row of docs (doc_id, text, source).
 

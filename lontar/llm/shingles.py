@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components
+from .common import checkpoint, components, forget, identity, join_counted, keep_first
 from .lines import _groups, _links
 from .simhash import SEED, _shards
 
@@ -67,10 +67,10 @@ def _key(hashes: np.ndarray) -> int:
 
 def _prints(batches):
     for batch in batches:
-        sets = [shingles(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        sets = [shingles(t or b"") for t in batch.column(4).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(map(_key, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.int64()), pa.array(map(_bands, sets), pa.list_(pa.int64()))],
-            names=["doc_id", "written", "key", "fp", "bands"],
+            [*batch.columns[:4], pa.array(map(_key, sets), pa.int64()), pa.array(map(_fingerprint, sets), pa.int64()), pa.array(map(_bands, sets), pa.list_(pa.int64()))],
+            names=["doc_id", "a", "b", "written", "key", "fp", "bands"],
         )
 
 
@@ -109,15 +109,14 @@ def _verified(least: float, radius: int):
     return run
 
 
-def groups(docs: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, component_id) for each row of docs (doc_id, text).
-
-    component_id is the smallest doc_id reachable over links of similar sets, the row's own included. Null and empty
-    texts have the same empty set. A null doc_id takes part but is never the smallest unless its whole component has
-    none. Repeated rows come back as often as they went in. Empty input: no rows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("written"), F.col("text").cast("string").alias("text"))
-    prints = checkpoint(rows.mapInArrow(_prints, "doc_id long, written long, key long, fp long, bands array<long>"))
-    nodes = checkpoint(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.min("written").alias("written"), F.first("bands").alias("bands")))
+def _rooted(docs: DataFrame, least: float, radius: int) -> DataFrame:
+    """(doc_id, a, b, root, component_id) for each row of docs: identity(), the key that names its component, and the
+    smallest doc_id in it."""
+    of = identity(docs)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of["a"].alias("a"), of["b"].alias("b"), F.xxhash64(text).alias("written"), text.alias("text"))
+    prints = checkpoint(rows.mapInArrow(_prints, "doc_id long, a long, b long, written long, key long, fp long, bands array<long>"))
+    nodes = checkpoint(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.min("written").alias("written"), F.count("*").alias("n"), F.first("bands").alias("bands")))
     dealt = nodes.select(F.explode("bands").alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard")
     near = components(dealt.mapInArrow(_shards(radius), "a long, b long"))
     met = nodes.join(near, nodes.fp == near.node, "left").select("key", "fp", "written", F.coalesce("root", "fp").alias("candidates"))
@@ -126,15 +125,24 @@ def groups(docs: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) ->
     texts = rows.select("written", "text").join(asked, "written").groupBy("candidates", "key", "fp").agg(F.first("text").alias("text"))
     pairs = texts.select("candidates", "key", "fp", "text").repartition("candidates").sortWithinPartitions("candidates")
     roots = components(pairs.mapInArrow(_verified(least, radius), "a long, b long"))
-    rooted = nodes.join(roots, nodes.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    return prints.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one row each; all columns stay. Rows without a
-    doc_id cannot be named by a component and all stay."""
-    found = groups(docs.select("doc_id", "text"), least)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    named = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    rooted = checkpoint(nodes.join(roots, nodes.key == roots.node, "left").select("key", "least", "n", F.coalesce("root", "key").alias("root")))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
+    named = checkpoint(join_counted(rooted.drop("least"), smallest, "root", "of"))
+    forget(nodes, asked, rooted)
+    return join_counted(prints.select("doc_id", "a", "b", "key"), named, "key", "n").select("doc_id", "a", "b", "root", "component_id")
+
+
+def groups(docs: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id) for each row of docs (doc_id, text).
+
+    component_id is the smallest doc_id reachable over links of similar sets, the row's own included. Null and empty
+    texts have the same empty set. A null doc_id takes part but is never the smallest unless its whole component has
+    none. Repeated rows come back as often as they went in. Empty input: no rows."""
+    return _rooted(docs.select("doc_id", "text"), least, radius).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """One row of docs of each component, that of the smallest doc_id; all columns stay. Rows are told apart by all
+    their columns: of rows that share the smallest doc_id the one of the smallest hash stays, equal rows are one, and a
+    row without doc_id stays only where its whole component has none. Empty input: no rows."""
+    return keep_first(docs, _rooted(docs, least, radius).select("a", "b", "doc_id", "root"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, local_forest
+from .common import checkpoint, components, forget, identity, join_counted, keep_first, local_forest
 
 SEED, RADIUS, HOT = 42, 3, 2048
 _CHUNK = 1 << 15
@@ -45,6 +45,12 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
 
+def _carried_fingerprints(batches):
+    for batch in batches:
+        for part in _fingerprints([batch]):
+            yield pa.RecordBatch.from_arrays([*part.columns, batch.column(2), batch.column(3)], names=["doc_id", "fp", "a", "b"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of every row; a null text counts as empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -176,7 +182,8 @@ def deal(rows: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     columns = rows.columns
     keyed = rows.select(*columns, F.posexplode(F.array(*[block(F.col("fp"), k, width) for k in range(blocks)])).alias("_k", "_v"))
     crowded = keyed.groupBy("_k", "_v").count().where(F.col("count") > hot).select("_k", "_v", F.lit(True).alias("_crowded"))
-    keyed = keyed.join(crowded, ["_k", "_v"], "left")
+    # a block has at most 65,536 values, so there are few crowded ones however many rows
+    keyed = keyed.join(F.broadcast(crowded), ["_k", "_v"], "left")
     # the bits besides block k, moved together
     upper = F.when(F.col("_k") == blocks - 1, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(shiftrightunsigned(fp, cast(least((_k + 1) * {width}, 63) as int)), cast(_k * {width} as int))"))
     rest = upper.bitwiseOR(F.expr(f"fp & (shiftleft(1L, cast(_k * {width} as int)) - 1)"))
@@ -195,24 +202,32 @@ def near_links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards(radius), "a long, b long")
 
 
+def _rooted(fps: DataFrame, radius: int, hot: int) -> DataFrame:
+    """Checkpointed rows with a column fp, and for each the fingerprint that names its component (root) and the smallest
+    doc_id in it."""
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(near_links(nodes, radius, hot))
+    rooted = checkpoint(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("of"))
+    named = checkpoint(join_counted(rooted.drop("least"), least, "root", "of"))
+    forget(nodes, rooted)
+    return join_counted(fps, named, "fp", "n")
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at most `radius` differing bits, the row's own
     included. Null and empty texts share fingerprint 0. A null doc_id takes part but is never the smallest unless its
     whole component has none. Repeated rows come back as often as they went in. Empty input: no rows."""
-    fps = checkpoint(fingerprints(docs))
-    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(nodes, radius, hot))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one row each; all columns stay. Rows without a
-    doc_id cannot be named by a component and all stay."""
-    found = groups(docs.select("doc_id", "text"), radius)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    named = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    return _rooted(checkpoint(fingerprints(docs)), radius, hot).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """One row of docs of each component, that of the smallest doc_id; all columns stay. Rows are told apart by all
+    their columns: of rows that share the smallest doc_id the one of the smallest hash stays, equal rows are one, and a
+    row without doc_id stays only where its whole component has none. Empty input: no rows."""
+    of = identity(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), of["a"].alias("a"), of["b"].alias("b"))
+    prints = checkpoint(rows.mapInArrow(_carried_fingerprints, "doc_id long, fp long, a long, b long"))
+    return keep_first(docs, _rooted(prints, radius, hot).select("a", "b", "doc_id", "root"))

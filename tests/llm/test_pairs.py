@@ -73,10 +73,22 @@ def test_simhash_odd(spark):
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
     assert {r.component_id for r in got if r.doc_id in (4, 5, None)} == {4}
     kept = simhash.keep_one(make_docs(spark, ODD))
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 6, 7, 8] and kept.columns == make_docs(spark, ODD).columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [1, 4, 6, 7, 8] and kept.columns == make_docs(spark, ODD).columns
     assert simhash.groups(make_docs(spark, ODD).where("false")).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Rows of one doc_id with different texts are no copies of each other; of rows without doc_id one stays."""
+    from lontar.llm import shingles
+
+    rows = [(2, "satu dua tiga empat lima"), (2, "enam tujuh delapan sembilan"), (2, "enam tujuh delapan sembilan"), (3, "satu dua tiga empat lima"), (None, "hanya di sini saja"), (None, "hanya di sini saja"), (None, "enam tujuh delapan sembilan")]
+    docs = make_docs(spark, rows).selectExpr("*", "1 as _stay", "2 as _a", "3 as _row", "4 as root", "5 as a", "6 as component_id", "7 as _b")
+    for one in (simhash.keep_one, shingles.keep_one):
+        got = one(docs)
+        assert got.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "hanya di sini saja"), (2, "enam tujuh delapan sembilan"), (2, "satu dua tiga empat lima")]
+        assert sorted(map(str, got.collect())) == sorted(map(str, one(docs.repartition(7)).collect()))
+
+
 def cut(rows):
     first = {}
     split = [(i, WORD.findall(t or "")) for i, t in rows]
@@ -108,27 +120,107 @@ def test_substrings(spark):
 
 
 def test_lines_odd(spark):
-    rows = [*ODD, (20, "Sama  baris\n\nlain hal"), (21, "lain hal\nSAMA baris")]
+    rows = [*ODD, (20, "Sama  baris\n\nlain hal"), (21, "lain hal\nSAMA baris"), (22, " \t\n\x0b")]
     got = {(r.doc_id, r.line): r.kept for r in lines.occurrences(make_docs(spark, rows)).collect()}
     assert got[(20, 0)] and got[(20, 2)] and not got[(21, 0)] and not got[(21, 1)] and not got[(5, 0)] and not got[(None, 0)]
     clean = {r.doc_id: r.text for r in lines.clean(make_docs(spark, rows)).collect()}
-    assert clean[21] == "" and clean[20] == "Sama  baris\n\nlain hal" and clean[1] is None
-    assert lines.occurrences(make_docs(spark, rows).where("false")).count() == 0
-
-
-def test_near_lines(spark):
-    base = " ".join(f"kata{k}" for k in range(200))
-    rows = [(1, base), (2, base.replace("kata7 ", "kata7x ")), (3, "hal lain sama sekali")]
-    kept = {r.doc_id: r.kept for r in lines.occurrences(make_docs(spark, rows)).collect()}
-    near = (lines._simhashes(*_hashed(base)) ^ lines._simhashes(*_hashed(rows[1][1])))[0]
-    assert kept[1] and kept[3] and kept[2] == (int(near).bit_count() > 3)
-
-
-def _hashed(line):
+    assert clean[21] == "" and clean[20] == "Sama  baris\n\nlain hal" and clean[1] is None and clean[22] == " \t\n\x0b"
+    assert lines.occurrences(make_docs(spark, rows).where("false")).count() == 0 and lines.clean(make_docs(spark, rows).where("false")).count() == 0
+
+
+def test_lines_of_rows_without_an_id_of_their_own(spark):
+    rows = [(2, "keep me only once here\nshared words in this line"), (2, "shared words in this line\nand more"), (2, "and more"), (None, "same line here\n\nsame line here"), (None, "same line here"), (None, "same line here"), (1, "shared words in this line")]
+    rows += [(9, "equal rows\n\nwith three lines")] * 3
+    docs = make_docs(spark, rows).selectExpr("*", "5 as _id", "6 as _removed", "7 as _text", "8 as _nth", "9 as line", "10 as removed")
+    found = lines.occurrences(docs)
+    assert found.groupBy("group").agg(F.sum(F.col("kept").cast("int")).alias("n")).where("n <> 1").count() == 0
+    got = lines.clean(docs)
+    assert got.columns == docs.columns and got.count() == len(rows)
+    texts = sorted((r.doc_id or 0, r.text) for r in got.collect())
+    assert texts[-3:] == [(9, ""), (9, ""), (9, "equal rows\n\nwith three lines")]
+    words = sorted(line for _, t in texts for line in t.split("\n") if line)
+    assert words == sorted({line for _, t in rows for line in t.split("\n") if line})
+    assert (1, "shared words in this line") in texts and (2, "keep me only once here") in texts
+    assert all((r._id, r._removed, r._text, r._nth, r.line, r.removed) == (5, 6, 7, 8, 9, 10) for r in got.collect())
+
+
+def similar_pairs(texts, least=0.8):
+    """All pairs at least so similar. Only those are compared whose letters allow it."""
     import numpy as np
 
-    words = set(line.split())
-    return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64), np.array([len(words)])
+    texts = sorted(texts, key=len)
+    counts, size = lines._letters(texts), np.array([len(t) for t in texts])
+    for i, a in enumerate(texts):
+        top = int(np.searchsorted(size, len(a) / least, "right"))
+        apart = counts[i + 1 : top] - counts[i]
+        bound = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+        for j in (np.flatnonzero(bound <= (1 - least) * size[i + 1 : top]) + i + 1).tolist():
+            if lines.edit_similarity(a, texts[j], least) >= least:
+                yield a, texts[j]
+
+
+def changed_lines():
+    """Lines of 2 to 60 words and versions of them with words changed, put in, left out or misspelt."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 10)))
+    for _ in range(60):
+        words = [word() for _ in range(rnd.choice([2, 3, 4, 5, 8, 12, 20, 40, 60]))]
+        yield " ".join(words)
+        for share in (0.02, 0.05, 0.1):
+            new = list(words)
+            for _ in range(max(1, round(share * len(words)))):
+                at, what = rnd.randrange(len(new)), rnd.randrange(4)
+                new[at : at + 1] = [[word()], [new[at], word()], [], [new[at] + "x"]][what]
+            yield " ".join(new)
+
+
+def line_recall(texts, occurred):
+    group = {r.text: r.group for r in occurred}
+    pairs = list(similar_pairs({lines.normalised(t.encode()).decode() for t in texts} - {""}))
+    return sum(group[a] == group[b] for a, b in pairs), len(pairs)
+
+
+def occurred(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [type("R", (), {"text": lines.normalised(texts[r.doc_id].encode()).decode(), "group": r.group}) for r in lines.occurrences(docs.repartition(3)).collect()]
+
+
+def test_line_recall(spark):
+    """Of all pairs of different lines of edit similarity 0.8, nine in ten and more are linked; no other lines are."""
+    from conftest import SMALL
+
+    made = sorted(set(changed_lines()))
+    found, n = line_recall(made, occurred(spark, made))
+    assert n > 150 and found >= 0.9 * n
+    plain = sorted({lines.normalised(line.encode()).decode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() for line in (r.text or "").split("\n")} - {""})
+    rows = occurred(spark, plain)
+    found, n = line_recall(plain, rows)
+    assert n > 30 and found >= 0.9 * n
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.group, []).append(r.text)
+    for some in groups.values():
+        links = {t: {u for u in some if u != t and lines.edit_similarity(t, u) >= 0.8} for t in some}
+        seen, stack = {some[0]}, [some[0]]
+        while stack:
+            stack += (new := links[stack.pop()] - seen)
+            seen |= new
+        assert len(seen) == len(some)
+
+
+def test_similar():
+    rnd = random.Random(13)
+    made = list(changed_lines())
+    for a, b in [(rnd.choice(made), rnd.choice(made)) for _ in range(300)] + list(zip(made, made[1:])):
+        assert lines.similar(a, b, 0.8) == (lines.edit_similarity(a, b) >= 0.8)
+
+
+def test_connect():
+    """A company of many lines is connected as all its pairs say."""
+    rnd = random.Random(14)
+    texts = sorted({f"halaman {rnd.randrange(500)} dari {rnd.randrange(500)} {'x' * rnd.randrange(60)}" for _ in range(150)})
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if lines.edit_similarity(texts[i], texts[j]) >= 0.8]
+    assert grouped(lines._connect(texts, 0.8), range(len(texts))) == grouped(links, range(len(texts)))
 
 
 def test_edit_similarity():
