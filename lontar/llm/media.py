@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"udta", b"mvex", b"moof", b"traf"}
 UNIT, RATE, CHUNK = 64, 8000, 256
+#: Deeper nesting is taken for damage; so is a table of more samples than the file has bytes, as each holds some.
+DEEPEST = 32
 
 
 class MediaError(ValueError):
@@ -27,8 +29,10 @@ class MediaError(ValueError):
 
 
 def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, parents before children."""
+    """(path, body start, body end) of every box, parents before children. Boxes nest at most DEEPEST deep."""
     end = len(data) if end is None else end
+    if len(path) > DEEPEST:
+        raise MediaError("boxes nest too deep")
     while start < end:
         if end - start < 8:
             raise MediaError("a box is cut off")
@@ -54,34 +58,57 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[
 class Track:
     """offsets and sizes: bytes of each sample; times: its decode time; sync: numbers of sync samples from 0."""
 
+    track_id: int = 0
     handler: str = ""
     codec: str = ""
     timescale: int = 0
     duration: int = 0
     sizes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    times: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     sync: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
-    def ranges(self) -> list[tuple[int, int]]:
-        """Byte ranges (start, length) of the sync samples; samples that touch are one range."""
-        at, size = self.offsets[self.sync], self.sizes[self.sync]
+    def runs(self, which: np.ndarray | slice = slice(None)) -> list[tuple[int, int]]:
+        """Byte ranges (start, length) of samples; samples that touch are one range."""
+        at, size = self.offsets[which], self.sizes[which]
         if not len(at):
             return []
         new = np.flatnonzero(np.append(True, at[1:] != at[:-1] + size[:-1]))
         return list(zip(at[new].tolist(), np.add.reduceat(size, new).tolist()))
 
+    def ranges(self) -> list[tuple[int, int]]:
+        """Byte ranges (start, length) of the sync samples."""
+        return self.runs(self.sync)
+
+    def add(self, sizes: np.ndarray, offsets: np.ndarray, steps: np.ndarray, sync: np.ndarray, start: int | None = None) -> None:
+        """More samples: steps are their durations, start the decode time of the first, by default after those before."""
+        begin = int(self.times[-1] + self.last_step) if start is None and len(self.times) else start or 0
+        self.sync = np.append(self.sync, sync + len(self.sizes))
+        self.sizes, self.offsets = np.append(self.sizes, sizes), np.append(self.offsets, offsets)
+        self.times = np.append(self.times, begin + np.append(0, np.cumsum(steps))[:-1]) if len(steps) else self.times
+        self.last_step = int(steps[-1]) if len(steps) else self.last_step
+
+    last_step: int = 0
+
 
 def _table(data: memoryview, at: int, end: int, kind: str, width: int) -> np.ndarray:
-    (n,) = struct.unpack_from(">I", data, at + 4)
+    (n,) = struct.unpack_from(">I", data[:end], at + 4)
     if at + 8 + n * width * np.dtype(kind).itemsize > end:
         raise MediaError("a sample table is cut off")
     return np.frombuffer(data, kind, n * width, at + 8).astype(np.int64).reshape(n, width)
 
 
-def _samples(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _within(data: memoryview, sizes: np.ndarray, offsets: np.ndarray) -> None:
+    if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise MediaError("a sample lies outside the file")
+
+
+def _samples(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     at, end = tables[b"stsz"]
-    one, n = struct.unpack_from(">II", data, at + 4)
+    one, n = struct.unpack_from(">II", data[:end], at + 4)
     if one:
+        if n * one > len(data):
+            raise MediaError("a sample lies outside the file")
         sizes = np.full(n, one, np.int64)
     else:
         if at + 12 + 4 * n > end:
@@ -90,8 +117,13 @@ def _samples(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> tuple[np
     chunks = (_table(data, *tables[b"stco"], ">u4", 1) if b"stco" in tables else _table(data, *tables[b"co64"], ">u8", 1))[:, 0]
     runs = _table(data, *tables[b"stsc"], ">u4", 3)
     if len(runs):
-        last = np.append(runs[1:, 0], len(chunks) + 1)
-        per_chunk = np.repeat(runs[:, 1], np.maximum(0, last - runs[:, 0]))
+        first = runs[:, 0]
+        if first[0] != 1 or (np.diff(first) <= 0).any() or first[-1] > max(1, len(chunks)):
+            raise MediaError("sample tables disagree")
+        repeats = np.diff(np.append(first, len(chunks) + 1))
+        if int((runs[:, 1] * repeats).sum()) != n:
+            raise MediaError("sample tables disagree")
+        per_chunk = np.repeat(runs[:, 1], repeats)
     else:
         per_chunk = np.empty(0, np.int64)
     if per_chunk.sum() != n:
@@ -100,39 +132,142 @@ def _samples(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> tuple[np
     first = np.append(0, np.cumsum(per_chunk))[:-1]
     offsets = np.repeat(chunks[: len(per_chunk)] - before[first], per_chunk) + before[:-1] if n else np.empty(0, np.int64)
     sync = _table(data, *tables[b"stss"], ">u4", 1)[:, 0] - 1 if b"stss" in tables else np.arange(n)
-    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)) or len(sync) and (sync.min() < 0 or sync.max() >= n):
+    _within(data, sizes, offsets)
+    if len(sync) and (sync.min() < 0 or sync.max() >= n):
         raise MediaError("a sample lies outside the file")
-    return sizes, offsets, sync
+    steps = np.zeros(n, np.int64)
+    if b"stts" in tables:
+        spans = _table(data, *tables[b"stts"], ">u4", 2)
+        if int(spans[:, 0].sum()) != n:
+            raise MediaError("sample tables disagree")
+        steps = np.repeat(spans[:, 1], spans[:, 0])
+    return sizes, offsets, steps, sync
+
+
+def _numbers(data: memoryview, at: int, end: int, n: int) -> list[int]:
+    if at + 4 * n > end:
+        raise MediaError("a box is cut off")
+    return list(struct.unpack_from(f">{n}I", data, at))
+
+
+#: Flag of a sample that is no sync sample; flags of fragment headers and runs for fields that are there.
+_NO_SYNC = 0x10000
+_BASE, _DESCRIPTION, _DURATION, _SIZE, _FLAGS, _FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+_RUN_OFFSET, _RUN_FIRST, _RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+
+
+class _Fragments:
+    """Runs of samples in movie fragments: defaults of trex, overridden by tfhd, overridden by trun."""
+
+    def __init__(self, data: memoryview, tracks: dict[int, Track]) -> None:
+        self.data, self.tracks, self.trex = data, tracks, {}
+        self.moof = self.next = 0
+        self.track, self.base, self.start = None, 0, None
+        self.step = self.size = self.flags = 0
+
+    def header(self, at: int, end: int) -> None:
+        (flags, of), more = _numbers(self.data, at, end, 2), at + 8
+        self.track = self.tracks.get(of)
+        if self.track is None:
+            raise MediaError("a fragment is of no track")
+        flags &= 0xFFFFFF
+        self.start, self.base = None, self.moof
+        self.step, self.size, self.flags = self.trex.get(of, (0, 0, 0))
+        if flags & _BASE:
+            high, low = _numbers(self.data, more, end, 2)
+            self.base, more = high << 32 | low, more + 8
+        if flags & _DESCRIPTION:
+            more += 4
+        for bit, name in ((_DURATION, "step"), (_SIZE, "size"), (_FLAGS, "flags")):
+            if flags & bit:
+                setattr(self, name, _numbers(self.data, more, end, 1)[0])
+                more += 4
+        self.next = self.base
+
+    def time(self, at: int, end: int) -> None:
+        if self.data[at] == 1:
+            _, high, low = _numbers(self.data, at, end, 3)
+            self.start = high << 32 | low
+        else:
+            self.start = _numbers(self.data, at, end, 2)[1]
+
+    def run(self, at: int, end: int) -> None:
+        if self.track is None:
+            raise MediaError("a run has no fragment header")
+        (flags, n), more = _numbers(self.data, at, end, 2), at + 8
+        flags &= 0xFFFFFF
+        if flags & _RUN_OFFSET:
+            self.next = self.base + int.from_bytes(self.data[more : more + 4], "big", signed=True)
+            more += 4
+        first = None
+        if flags & _RUN_FIRST:
+            first, more = _numbers(self.data, more, end, 1)[0], more + 4
+        fields = [f for f in (_RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_SHIFT) if flags & f]
+        if more + 4 * n * len(fields) > end or n > len(self.data):
+            raise MediaError("a run is cut off")
+        table = np.frombuffer(self.data, ">u4", n * len(fields), more).astype(np.int64).reshape(n, len(fields))
+        given = lambda f, default: table[:, fields.index(f)] if f in fields else np.full(n, default, np.int64)
+        sizes, steps, kinds = given(_RUN_SIZE, self.size), given(_RUN_DURATION, self.step), given(_RUN_FLAGS, self.flags)
+        if first is not None and n and _RUN_FLAGS not in fields:
+            kinds[0] = first
+        offsets = self.next + np.cumsum(sizes) - sizes
+        _within(self.data, sizes, offsets)
+        self.track.add(sizes, offsets, steps, np.flatnonzero(kinds & _NO_SYNC == 0), self.start)
+        self.next, self.start = self.next + int(sizes.sum()), None
 
 
 def tracks(data: bytes) -> list[Track]:
+    """All tracks, samples of movie fragments included. Raises MediaError for anything else than a readable container."""
     view, found, tables = memoryview(data), [], {}
 
     def close():
         if found and tables:
             if not {b"stsz", b"stsc"} <= tables.keys() or not {b"stco", b"co64"} & tables.keys():
                 raise MediaError("a track lacks sample tables")
-            found[-1].sizes, found[-1].offsets, found[-1].sync = _samples(view, tables)
+            found[-1].add(*_samples(view, tables))
             tables.clear()
 
+    by_id: dict[int, Track] = {}
+    fragments = _Fragments(view, by_id)
     try:
         for path, at, end in boxes(view):
             kind = path[-1]
+            inside = view[:end]
             if kind == b"trak":
                 close()
                 found.append(Track())
             elif found and b"trak" in path:
-                if kind == b"mdhd":
-                    found[-1].timescale, found[-1].duration = struct.unpack_from(">IQ", view, at + 20) if view[at] == 1 else struct.unpack_from(">II", view, at + 12)
+                if kind == b"tkhd":
+                    (found[-1].track_id,) = struct.unpack_from(">I", inside, at + (20 if at < end and view[at] == 1 else 12))
+                    by_id[found[-1].track_id] = found[-1]
+                elif kind == b"mdhd":
+                    found[-1].timescale, found[-1].duration = struct.unpack_from(">IQ", inside, at + 20) if at < end and view[at] == 1 else struct.unpack_from(">II", inside, at + 12)
                 elif kind == b"hdlr":
-                    found[-1].handler = bytes(view[at + 8 : at + 12]).decode("latin-1")
+                    found[-1].handler = bytes(inside[at + 8 : at + 12]).decode("latin-1")
                 elif kind == b"stsd":
-                    found[-1].codec = bytes(view[at + 12 : at + 16]).decode("latin-1")
+                    found[-1].codec = bytes(inside[at + 12 : at + 16]).decode("latin-1")
                 elif kind in (b"stsz", b"stsc", b"stco", b"co64", b"stss", b"stts"):
                     tables[kind] = (at, end)
+            elif kind == b"trex":
+                _, of, _, step, size, flags = _numbers(view, at, end, 6)
+                fragments.trex[of] = step, size, flags
+            elif kind == b"moof":
+                close()
+                # offsets count from the start of the box, which has a short or a long header
+                fragments.moof, fragments.track = at - (16 if at >= 16 and struct.unpack_from(">I4s", view, at - 16) == (1, b"moof") else 8), None
+            elif kind == b"tfhd":
+                fragments.header(at, end)
+            elif kind == b"tfdt" and at < end:
+                fragments.time(at, end)
+            elif kind == b"trun":
+                fragments.run(at, end)
         close()
-    except struct.error as e:
+    except (struct.error, IndexError, OverflowError) as e:
         raise MediaError("a box is cut off") from e
+    for t in found:
+        # a fragmented file tells no duration in front
+        if not t.duration and len(t.times):
+            t.duration = int(t.times[-1]) + t.last_step
     return found
 
 
@@ -190,11 +325,7 @@ def payload(data: bytes) -> bytes:
     found = tracks(data)
     if not found:
         raise MediaError("no track")
-    t = found[0]
-    if not len(t.sizes):
-        return b""
-    new = np.flatnonzero(np.append(True, t.offsets[1:] != t.offsets[:-1] + t.sizes[:-1]))
-    return b"".join(data[o : o + s] for o, s in zip(t.offsets[new].tolist(), np.add.reduceat(t.sizes, new).tolist()))
+    return b"".join(data[o : o + n] for o, n in found[0].runs())
 
 
 _TRACK = pa.struct([("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))])
@@ -211,7 +342,8 @@ def _told(data: bytes | None) -> tuple[list | None, str | None]:
 
 def describe(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, tracks, error) for each row: tracks as an array of structs, null and with a reason in error for bytes that
-    are not a readable container, both null for null. Rows are independent; nothing is shuffled."""
+    are not a readable container (cut off, nested too deep, tables that disagree), both null for null; empty bytes hold
+    no track. Rows are independent, repeated ones come back as often; nothing is shuffled. Empty input: no rows."""
 
     def run(batches):
         for batch in batches:
@@ -224,7 +356,7 @@ def describe(df: DataFrame, key: str, column: str) -> DataFrame:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) for each row of docs (doc_id, text): the text's UTF-8 bytes, null as empty, as a media
-    column. Repeated rows come back as often."""
+    column. Repeated rows come back as often; equal texts give equal bytes. Empty input: no rows."""
 
     def run(batches):
         for batch in batches:
@@ -235,7 +367,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """What is read back of store_texts(): digests of payload and container, and the first track as a feature string."""
+    """What is read back of store_texts(), a row for each: digests of payload and container, and the first track as a
+    feature string. The media are those of store_texts(); others raise MediaError. Empty input: no rows."""
 
     def run(batches):
         for batch in batches:

@@ -3,7 +3,8 @@
 Words that could hold a secret become findings, with features of the value (length, shares of character classes,
 transitions between classes and between vowels and consonants, coverage by a dictionary of the corpus), of the
 neighbouring words and of the path. A random forest learned from labelled findings scores them. Without labels at hand,
-findings of well-known formats are the labelled ones: issued keys against addresses, numbers and the like.
+findings of well-known formats are the labelled ones: issued keys and hexadecimal values named as credentials against
+addresses, numbers and the like. As the name decides that label, it is then no feature.
 
 Everything runs as DataFrame expressions and Spark's own random forest; documents are read in place, only findings
 move."""
@@ -28,6 +29,8 @@ CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-
 ISSUED = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)$"
 BENIGN = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|[^@\s]+@[A-Za-z0-9.-]+\.[A-Za-z]+|\+?[0-9][0-9().,/:-]*|https?://.*|[0-9]{4}-[0-9]{2}-[0-9]{2}.*)$"
 FEATURES = ["f_length", "f_digits", "f_upper", "f_marks", "f_distinct", "f_classes", "f_vowels", "f_dictionary", "f_key", "f_named", "f_assigned", "f_quoted", "f_next", "f_before", "f_depth", "f_test"]
+#: Features that known_label() does not look at.
+UNNAMED = [f for f in FEATURES if f not in ("f_named", "f_key")]
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
@@ -37,14 +40,14 @@ def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
 
 
 def findings(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, at, value, key, features...) of every word of docs (doc_id, text, source) that could hold a secret: at
-    least eight characters with a digit or an assignment. at counts words from 0, value is without key, quotes and
-    marks. source serves as path. Null and empty texts have none."""
-    has = lambda name: name in docs.columns
-    path = F.coalesce(F.col("source").cast("string"), F.lit("")) if has("source") else F.lit("")
+    """(doc_id, at, value, key, features...) of every word of docs (doc_id, text, and path or else source) that could
+    hold a secret: at least eight characters, with a digit or an assignment, or after a word that ends in = or :. at
+    counts words from 0, value is without key, quotes and marks. Null and empty texts have none, repeated rows have
+    theirs again, a null doc_id stays null. Empty input: no rows."""
+    path = next((F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("path", "source") if c in docs.columns), F.lit(""))
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+").alias("w"))
     word = lambda i: F.get("w", i)
-    could = lambda i: (F.length(word(i)) >= MIN_LENGTH) & word(i).rlike("[0-9]|[A-Za-z_][=:].")
+    could = lambda i: (F.length(word(i)) >= MIN_LENGTH) & (word(i).rlike("[0-9]|[A-Za-z_][=:].") | F.coalesce(F.substring(word(i - 1), -1, 1).isin("=", ":"), F.lit(False)))
     places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), could)
     near = F.transform(places, lambda i: F.struct(i.alias("at"), word(i).alias("word"), F.coalesce(word(i - 2), F.lit("")).alias("two"), F.coalesce(word(i - 1), F.lit("")).alias("one"), F.coalesce(word(i + 1), F.lit("")).alias("next")))
     each = split.select("doc_id", "path", F.explode(near).alias("x")).select("doc_id", "path", "x.*")
@@ -75,23 +78,27 @@ def known_label(value: Column, named: Column) -> Column:
     return F.when(value.rlike(ISSUED) | (named & value.rlike("^[0-9a-fA-F]{16,}$") & value.rlike("[a-fA-F]")), 1.0).when(value.rlike(BENIGN), 0.0)
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> RandomForestClassificationModel | None:
+def train(labelled: DataFrame, max_rows: int = MAX_TRAIN, features: list[str] | None = None) -> RandomForestClassificationModel | None:
     """A forest on findings with a column label (0, 1 or null for unknown), or None if one of the classes is missing.
-    Equal values count once. At most max_rows are learned from, half of each class, chosen by a hash; what is sorted
-    into one task is bounded by that."""
-    rows = labelled.where("label is not null").dropDuplicates(["value"]).select(F.xxhash64("value").alias("h"), "value", "label", *FEATURES)
-    rows = checkpoint(rows.where("label = 1").orderBy("h", "value").limit(max_rows // 2).unionAll(rows.where("label = 0").orderBy("h", "value").limit(max_rows // 2)).coalesce(1))
+
+    Equal values count once, with the smallest label and, of those, the smallest features. At most max_rows are learned
+    from, half of each class, chosen by a hash; what is sorted into one task is bounded by that. The same findings give
+    the same forest in any order and partitioning."""
+    features = features or FEATURES
+    once = labelled.where("label is not null").groupBy("value").agg(F.min(F.struct("label", *features)).alias("x"))
+    rows = once.select(F.xxhash64("value").alias("h"), "value", "x.*")
+    rows = checkpoint(rows.where("label = 1").orderBy("h", "value").limit(max_rows // 2).unionAll(rows.where("label = 0").orderBy("h", "value").limit(max_rows // 2)).coalesce(1).sortWithinPartitions("h", "value"))
     if rows.select("label").distinct().count() < 2:
         return None
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features")
+    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("label", "features")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(assembled)
 
 
-def score(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """found with secret_score (0 to 1) added; without a model the known label, or 0.5."""
+def score(found: DataFrame, model: RandomForestClassificationModel | None, features: list[str] | None = None) -> DataFrame:
+    """found with secret_score (0 to 1) added, by a model of these features; without a model the known label, or 0.5."""
     if model is None:
         return found.withColumn("secret_score", F.coalesce(known_label(F.col("value"), F.col("named")), F.lit(0.5)))
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(found)
+    assembled = VectorAssembler(inputCols=features or FEATURES, outputCol="_features").transform(found)
     scored = model.setFeaturesCol("_features").setPredictionCol("_prediction").setProbabilityCol("_probability").setRawPredictionCol("_raw").transform(assembled)
     return scored.withColumn("secret_score", vector_to_array("_probability")[1]).drop("_features", "_prediction", "_probability", "_raw")
 
@@ -100,5 +107,17 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """All findings of docs with secret_score. labelled has the columns of findings() and label; by default the
     findings of known formats are the labelled ones. Repeated rows give their findings again. Empty input: no rows."""
     found = checkpoint(findings(docs, dictionary(docs)))
+    features = FEATURES if labelled is not None else UNNAMED
     labelled = labelled if labelled is not None else found.withColumn("label", known_label(F.col("value"), F.col("named")))
-    return score(found, train(labelled))
+    return score(found, train(labelled, features=features), features)
+
+
+def held_out_quality(docs: DataFrame) -> tuple[int, float, float]:
+    """(findings, precision, recall) of the default forest on findings of known label that it has not learned from:
+    values whose hash leaves 0 modulo 4."""
+    found = checkpoint(findings(docs, dictionary(docs)).withColumn("label", known_label(F.col("value"), F.col("named"))))
+    held = F.pmod(F.xxhash64("value"), F.lit(4)) == 0
+    told = score(found.where(held & F.col("label").isNotNull()), train(found.where(~held), features=UNNAMED), UNNAMED)
+    yes = F.col("secret_score") >= THRESHOLD
+    n, said, real, both = told.agg(F.count("*"), F.count_if(yes), F.count_if(F.col("label") == 1), F.count_if(yes & (F.col("label") == 1))).first()
+    return n, both / max(1, said), both / max(1, real)

@@ -11,12 +11,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hash60
+from .common import checkpoint, hash60, packed
 
 LIMIT_BYTES = 64 << 20
 BITS = 60
 #: A directory of at most so many cells (about 16 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_CELLS = 1 << 20
+#: Repeated rows that are numbered in one window.
+PAGED_ROWS = 1 << 16
 
 
 def _cell(bits: int):
@@ -39,14 +41,10 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
 
     The hash is over doc_id and text, n_bytes is the text's length in UTF-8 (null: 0). shard is the bucket's prefix as
     bits, '' for the undivided one. Rows that agree in all 60 bits cannot be split: repeated rows fill numbered pages
-    of at most the limit (shard_page, else 0), and one text above the limit has a shard or page to itself. Empty
-    input: no rows. Columns of these names in docs are replaced."""
-    docs = docs.drop("n_bytes", "shard_depth", "shard", "shard_page")
-    if "h" in docs.columns:
-        docs = docs.withColumnRenamed("h", "_h")
-        return shards(docs, limit).withColumnRenamed("_h", "h")
-    measured = docs.withColumn("h", hash60(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    measured = measured.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    of at most the limit (shard_page, else 0), and one text above the limit has a shard or page to itself. Rows without
+    doc_id are dealt by their texts. Empty input: no rows. Columns of these four names in docs are replaced."""
+    measured = packed(docs).withColumn("h", hash60(F.col("_row.doc_id"), F.md5(F.coalesce(F.col("_row.text"), F.lit("")))))
+    measured = measured.withColumn("n_bytes", F.coalesce(F.octet_length("_row.text"), F.lit(0)).cast("long"))
     sizes = checkpoint(measured.groupBy("h").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"), F.max("n_bytes").alias("widest")))
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 6)
@@ -63,19 +61,22 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         bits = min(BITS, bits + 12)
     tables = sorted(r[0] for r in found.select("bits").distinct().collect())
     n_cells = found.count()
-    out = measured.withColumn("_depth", F.lit(None).cast("int"))
+    out = measured.withColumn("depth", F.lit(None).cast("int"))
     for b in tables:
-        cells = found.where(F.col("bits") == b).select(F.col("cell").alias("_cell"), F.col("depth").alias("_found"))
-        out = out.withColumn("_cell", _cell(b)).join(F.broadcast(cells) if n_cells <= BROADCAST_CELLS else cells, "_cell", "left")
-        out = out.withColumn("_depth", F.coalesce("_depth", "_found")).drop("_cell", "_found")
-    depth = F.col("_depth")
-    bits_text = F.substring(F.lpad(F.bin("h"), BITS, "0"), F.lit(1), depth)
-    out = out.withColumn("shard_depth", depth).withColumn("shard", F.when(depth == 0, "").otherwise(bits_text))
-    crowded = sizes.where((F.col("n_bytes") > limit) & (F.col("n") > 1)).select("h", F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("widest", F.lit(1)))).alias("_fit"))
-    if not crowded.head(1):
-        return out.withColumn("shard_page", F.lit(0)).drop("h", "_depth")
-    paged = out.join(crowded, "h")
-    nth = F.row_number().over(Window.partitionBy("h").orderBy("n_bytes"))
-    paged = paged.withColumn("shard_page", F.floor((nth - 1) / F.col("_fit")).cast("int")).drop("_fit")
-    plain = out.join(crowded, "h", "left_anti").withColumn("shard_page", F.lit(0))
-    return plain.unionByName(paged).drop("h", "_depth")
+        cells = found.where(F.col("bits") == b).select("cell", F.col("depth").alias("found"))
+        out = out.withColumn("cell", _cell(b)).join(F.broadcast(cells) if n_cells <= BROADCAST_CELLS else cells, "cell", "left")
+        out = out.withColumn("depth", F.coalesce("depth", "found")).drop("cell", "found")
+    added = [F.col("n_bytes"), F.col("depth").alias("shard_depth"), F.when(F.col("depth") == 0, "").otherwise(F.substring(F.lpad(F.bin("h"), BITS, "0"), F.lit(1), F.col("depth"))).alias("shard")]
+    columns = [*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_bytes", "shard_depth", "shard", "shard_page")], *added]
+    fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("widest", F.lit(1))))
+    crowded = sizes.where((F.col("n_bytes") > limit) & (F.col("n") > 1)).select("h", fit.alias("fit"), F.ceil(F.col("n") / PAGED_ROWS).alias("ways"))
+    n_crowded = crowded.count()
+    if not n_crowded:
+        return out.select(*columns, F.lit(0).alias("shard_page"))
+    crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_CELLS else crowded
+    # very many repeated rows number their pages in several ways at once, so no task has them all
+    paged = out.join(crowded, "h").withColumn("way", F.pmod(F.monotonically_increasing_id(), "ways"))
+    nth = F.row_number().over(Window.partitionBy("h", "way").orderBy("n_bytes"))
+    paged = paged.withColumn("page", (F.floor((nth - 1) / F.col("fit")) * F.col("ways") + F.col("way")).cast("int"))
+    plain = out.join(crowded.select("h"), "h", "left_anti").select(*columns, F.lit(0).alias("shard_page"))
+    return plain.unionByName(paged.select(*columns, F.col("page").alias("shard_page")))

@@ -14,11 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import checkpoint, hash60
+from .common import checkpoint, forget, hash60, packed
 
 THRESHOLD = 0.3
 #: Bounds of the fit: labelled documents looked at, features kept.
@@ -118,16 +118,18 @@ def training_labels(labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFr
 
 
 def _count(batches):
+    """(text, toxic, fold, weight) to sums of weights of each feature: toxic and clean of either fold."""
     counts: dict[str, list[float]] = {}
 
     def out():
         keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[k][i] for k in keys], pa.float64()) for i in range(2))], names=["f", "toxic", "clean"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[k][i] for k in keys], pa.float64()) for i in range(4))], names=["f", "toxic0", "clean0", "toxic1", "clean1"])
 
     for batch in batches:
-        for text, y, weight in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for text, y, fold, weight in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            at = 2 * fold + (not y)
             for f in {f for w in set(_WORDS((text or "").lower())) for f in features(w)}:
-                counts.setdefault(f, [0.0, 0.0])[0 if y else 1] += weight
+                counts.setdefault(f, [0.0, 0.0, 0.0, 0.0])[at] += weight
             if len(counts) > _FLUSH:
                 yield out()
                 counts = {}
@@ -135,21 +137,25 @@ def _count(batches):
         yield out()
 
 
-def _observe(model: Model):
+def _observe(models: list[Model]):
+    """Best segment of each text, by the model that has not learned from its fold."""
+
     def run(batches):
-        scorer = Scorer(model)
+        scorers = [Scorer(m) for m in models]
         for batch in batches:
-            rows = [(n, max((s for *_, s in found), default=0.0)) for n, found in map(scorer.passages, batch.column(0).to_pylist())]
+            rows = [(n, max((s for *_, s in found), default=0.0)) for n, found in (scorers[1 - f].passages(t) for t, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["y", "n", "best"])
 
     return run
 
 
-def _weigh(model: Model):
+def _weigh(models: list[Model]):
+    """Evidence of each text, by the model that has not learned from its fold."""
+
     def run(batches):
-        scorer = Scorer(model)
+        scorers = [Scorer(m) for m in models]
         for batch in batches:
-            x = [min(400, round(4 * scorer.evidence(t)[0])) for t in batch.column(0).to_pylist()]
+            x = [min(400, round(4 * scorers[1 - f].evidence(t)[0])) for t, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(x, pa.int32())], names=["y", "x"])
 
     return run
@@ -170,22 +176,11 @@ def _curve(rows: list[tuple[int, float, int]]) -> tuple[float, float]:
     return float(beta[0]), float(max(0.0, beta[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Fit on the texts of labelled documents outside the held-out part.
-
-    The labels looked at are bounded by max_docs and so are broadcast; of the texts only those of likely copies are
-    moved. Copies are labelled documents of one class that five-word shingles link. Without any labelled
-    toxic document the model scores every text alike, near 0."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = F.broadcast(training_labels(labels, max_docs))
-    grouped = checkpoint(shingles.groups(texts.join(chosen, "doc_id").select("doc_id", "text")).join(chosen, "doc_id"))
-    copies = grouped.groupBy("toxic", "component_id").agg((F.lit(1.0) / F.count("*")).alias("weight"))
-    weighted = checkpoint(grouped.join(copies, ["toxic", "component_id"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("weight").alias("weight")))
-    n1, n0 = (float(v or 0) for v in weighted.agg(F.sum(F.when(F.col("toxic") == 1, F.col("weight"))), F.sum(F.when(F.col("toxic") != 1, F.col("weight")))).first())
+def _fitted(counts: DataFrame, toxic: Column, clean: Column, n1: float, n0: float) -> Model:
+    """Features and their scores from weighted numbers of documents."""
     if not n1 or not n0:
-        return Model({}, math.log(1 - DENSITY), a=-5.0, b=0.0)
-    learn = texts.join(F.broadcast(weighted), "doc_id").select("text", (F.col("toxic") == 1).cast("int").alias("toxic"), "weight")
-    counts = learn.mapInArrow(_count, "f string, toxic double, clean double").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return Model({}, math.log(1 - DENSITY))
+    counts = counts.select("f", toxic.alias("toxic"), clean.alias("clean"))
     both, share = F.col("toxic") + F.col("clean"), n1 / (n1 + n0)
     prior = F.lit(PRIOR) * both / (n1 + n0) + FLOOR
     one, two = F.col("toxic") + prior, F.col("clean") + prior
@@ -193,29 +188,59 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
     # likelihood ratio of the split between the classes, against the number of features tried
     part = lambda c, p: F.when(c > 0, c * F.log(c / (both * p))).otherwise(0.0)
     gain = part(F.col("toxic"), share) + part(F.col("clean"), 1 - share)
-    tried = checkpoint(counts.where(both >= MIN_DOCS).select("f", (odds - F.sqrt(1 / one + 1 / two)).alias("sure"), gain.alias("gain")))
+    tried = counts.where(both >= MIN_DOCS).select("f", (odds - F.sqrt(1 / one + 1 / two)).alias("sure"), gain.alias("gain"))
     least = math.log(max(1, tried.count())) + 1
     best = tried.where((F.col("gain") >= least) & (F.col("sure") >= MIN_ODDS)).orderBy(F.desc("gain"), "f").limit(MAX_FEATURES)
     gains = {r.f: math.log(1 - DENSITY + DENSITY * math.exp(min(20.0, r.sure))) for r in best.collect()}
-    model = Model({f: s for f, s in gains.items() if s > 0}, math.log(1 - DENSITY))
+    return Model({f: s for f, s in gains.items() if s > 0}, math.log(1 - DENSITY))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
+    """Fit on the texts of labelled documents outside the held-out part.
+
+    The labels looked at are bounded by max_docs and so are broadcast; of the texts only those of likely copies are
+    moved. Copies are labelled documents of one class that five-word shingles link; they weigh one together and are in
+    one of two folds. The tail and the curve are fitted on evidence by models that learned from the other fold only.
+    Rows that share a doc_id all count, with the label of any toxic one; rows without doc_id or label do not. Without
+    any labelled toxic or clean document, and for empty tables, the model scores every text alike, near 0."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = F.broadcast(training_labels(labels, max_docs))
+    grouped = checkpoint(shingles.groups(texts.join(chosen, "doc_id").select("doc_id", "text")).join(chosen, "doc_id"))
+    copies = grouped.groupBy("toxic", "component_id").agg((F.lit(1.0) / F.count("*")).alias("weight"))
+    fold = F.max(hash60(F.col("component_id")) % 2).cast("int").alias("fold")
+    weighted = checkpoint(grouped.join(copies, ["toxic", "component_id"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("weight").alias("weight"), fold))
+    n = {(r.y, r.fold): r.n for r in weighted.groupBy((F.col("toxic") == 1).alias("y"), "fold").agg(F.sum("weight").alias("n")).collect()}
+    n1, n0 = ([float(n.get((y, k), 0.0)) for k in range(2)] for y in (True, False))
+    if not sum(n1) or not sum(n0):
+        return Model({}, math.log(1 - DENSITY), a=-5.0, b=0.0)
+    learn = texts.join(F.broadcast(weighted), "doc_id").select("text", (F.col("toxic") == 1).cast("int").alias("toxic"), "fold", "weight")
+    kinds = ["toxic0", "clean0", "toxic1", "clean1"]
+    counts = learn.mapInArrow(_count, "f string, toxic0 double, clean0 double, toxic1 double, clean1 double").groupBy("f").agg(*[F.sum(c).alias(c) for c in kinds])
+    # most features are of a document or two
+    counts = checkpoint(counts.where(F.col("toxic0") + F.col("clean0") + F.col("toxic1") + F.col("clean1") >= MIN_DOCS))
+    model = _fitted(counts, F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1"), sum(n1), sum(n0))
+    halves = [_fitted(counts, F.col(f"toxic{k}"), F.col(f"clean{k}"), n1[k], n0[k]) for k in range(2)]
     # the tail of clean documents' best segments, in steps of 0.1
-    best = learn.mapInArrow(_observe(model), "y int, n long, best double").where("y = 0").groupBy(F.round(F.least("best", F.lit(60.0)), 1).alias("best")).agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
-    n, docs_ = sum(r.n for r in best), sum(r.docs for r in best)
+    best = learn.mapInArrow(_observe(halves), "y int, n long, best double").where("y = 0").groupBy(F.round(F.least("best", F.lit(60.0)), 1).alias("best")).agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
+    words, docs_ = sum(r.n for r in best), sum(r.docs for r in best)
     above, at = 0, 60.0
     for r in sorted(best, key=lambda r: -r.best):
         at = r.best
         if above + r.docs > TAIL * docs_:
             break
         above += r.docs
-    model.k = (0.5 + above) / (max(1, n) * math.exp(-(at + 0.1)))
-    rows = learn.mapInArrow(_weigh(model), "y int, x int").groupBy("y", "x").count().collect()
+    for m in (model, *halves):
+        m.k = (0.5 + above) / (max(1, words) * math.exp(-(at + 0.1)))
+    rows = learn.mapInArrow(_weigh(halves), "y int, x int").groupBy("y", "x").count().collect()
     model.a, model.b = _curve([(r.y, r.x / 4, r["count"]) for r in rows])
+    forget(grouped, weighted, counts)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with toxic_score (0 to 1) and toxic_passages (number of significant ones) added. Null and empty texts have
-    no passages and get the score of a text without evidence. Whole texts are scanned; nothing is shuffled."""
+    no passages and get the score of a text without evidence. Whole texts are scanned; nothing is shuffled. Repeated
+    rows come back as often, columns of these two names in docs are replaced. Empty input: no rows."""
 
     @F.pandas_udf("toxic_score double, toxic_passages int")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -224,8 +249,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [scorer.evidence(t) for t in texts]
             yield pd.DataFrame({"toxic_score": [scorer.probability(x) for x, _ in found], "toxic_passages": np.array([n for _, n in found], np.int32)})
 
-    kept = docs.drop("toxic_score", "toxic_passages", "_toxic")
-    return kept.withColumn("_toxic", run(F.col("text").cast("string"))).select(*[F.col(f"`{c}`") for c in kept.columns], "_toxic.toxic_score", "_toxic.toxic_passages")
+    scored = packed(docs).select("_row", run(F.col("_row.text").cast("string")).alias("_toxic"))
+    return scored.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("toxic_score", "toxic_passages")], "_toxic.toxic_score", "_toxic.toxic_passages")
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:

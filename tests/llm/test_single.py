@@ -38,6 +38,43 @@ def test_media_keyframes():
             media.tracks(damaged)
 
 
+def test_media_fragments():
+    """A fragmented file: sizes and flags of runs, defaults of trex and tfhd, decode times, sync samples."""
+    box = lambda kind, *parts: struct.pack(">I4s", sum(map(len, parts)) + 8, kind) + b"".join(parts)
+    full = lambda kind, *numbers, flags=0, version=0: box(kind, struct.pack(f">{len(numbers) + 1}I", version << 24 | flags, *(n & 0xFFFFFFFF for n in numbers)))
+    empty = [full(b"stsz", 0, 0), full(b"stsc", 0), full(b"stco", 0), full(b"stts", 0)]
+    trak = box(b"trak", full(b"tkhd", 0, 0, 7, flags=7), box(b"mdia", full(b"mdhd", 0, 0, 1000, 0), box(b"hdlr", bytes(8), b"vide"), box(b"minf", box(b"stbl", box(b"stsd", bytes(12), b"avc1"), *empty))))
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", 7, 1, 40, 5, 0x10000)))
+    run = lambda offset: full(b"trun", 3, offset, 0, 10, 20, 30, flags=0x205)  # noqa: E731 first sample is sync, sizes given
+    moof = lambda offset: box(b"moof", box(b"traf", full(b"tfhd", 7), full(b"tfdt", 0, 500, version=1), run(offset), full(b"trun", 2)))
+    one = moof(len(moof(0)) + 8)
+    data = moov + one + box(b"mdat", bytes(70)) + moof(len(moof(0)) + 8) + box(b"mdat", bytes(70))
+    (track,) = media.tracks(data)
+    first = len(moov) + len(one) + 8
+    assert (track.codec, track.timescale, track.sizes.tolist(), track.times.tolist()[:6]) == ("avc1", 1000, [10, 20, 30, 5, 5] * 2, [500, 540, 580, 620, 660, 500])
+    assert track.offsets.tolist()[:5] == [first, first + 10, first + 30, first + 60, first + 65] and track.sync.tolist() == [0, 5] and track.duration == 700
+    assert track.ranges() == [(first, 10), (first + 70 + len(one) + 8, 10)]
+    for damaged in (moov + one, data.replace(b"tfhd", b"tfhx", 1), data[: -len(bytes(70)) + 3]):
+        with pytest.raises(media.MediaError):
+            media.tracks(damaged)
+
+
+def test_media_damage():
+    """Bytes changed or cut off anywhere give a container or MediaError, never another error."""
+    whole, rnd = media.wrap(media.padded(bytes(5000))), random.Random(1)
+    for _ in range(3000):
+        data = bytearray(whole)
+        for _ in range(rnd.randint(1, 3)):
+            data[rnd.randrange(700)] = rnd.choice([0, 1, 255, rnd.randrange(256)])
+        told, error = media._told(bytes(data[: rnd.choice([len(data), rnd.randrange(len(data))])]))
+        assert (told is None) != (error is None)
+    deep = b"".join(struct.pack(">I4s", 8 * (1500 - k), b"moov") for k in range(1500))
+    assert media._told(deep)[1] and media._told(b"") == ([], None) and media._told(None) == (None, None)
+    assert media._told(struct.pack(">I4sI4sI4sI4sI4s", 40, b"moov", 32, b"trak", 24, b"mdia", 8, b"mdhd", 8, b"hdlr"))[1]
+    huge = whole.replace(struct.pack(">II", 64, 79), struct.pack(">II", 64, 1 << 31))
+    assert huge != whole and media._told(huge)[1]
+
+
 def test_media_column(spark):
     stored = media.store_texts(make_docs(spark, ODD))
     got = media.digests(stored).collect()
@@ -46,6 +83,10 @@ def test_media_column(spark):
         text = {i: t for i, t in ODD}[r.doc_id] or ""
         want = media.padded(text.encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text.encode()), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        form = media.wrap(want)
+        at = form.index(want, form.index(b"mdat"))
+        assert (r.media_bytes, r.media_sha256, form[at:]) == (len(form), hashlib.sha256(form).hexdigest(), want)
+        assert r.feature == f"soun/raw/8000;duration={len(want)};samples={len(want) // 64};keyframes={at}+{len(want)}"
     told = {r.doc_id: r for r in media.describe(stored.withColumn("media", F.when(F.col("doc_id") == 7, F.lit(b"xx").cast("binary")).when(F.col("doc_id") != 1, F.col("media"))), "doc_id", "media").collect()}
     assert told[1].tracks is None and told[1].error is None and told[7].error and told[6].tracks[0].n_samples == -(-150_000 // 64)
 
@@ -143,6 +184,27 @@ def test_sharding(spark):
     assert len(sharding.shards(make_docs(spark, ODD)).collect()) == len(ODD) and sharding.shards(make_docs(spark, ODD).where("false")).count() == 0
 
 
+def test_added_columns_leave_the_others(spark):
+    """Names that the operators use inside do no harm, those they add are replaced."""
+    inside = ["_depth", "_cell", "_found", "_fit", "_h", "h", "depth", "cell", "found", "fit", "ways", "way", "page", "_row", "_toxic"]
+    docs = spark.createDataFrame([(1, "satu " * 400), (1, "satu " * 400), (2, None), (None, "dua")], "doc_id long, text string").repartition(3)
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(inside)], F.lit(-1).alias("shard"), F.lit(-1).alias("toxic_score"))
+    for got, new in ((sharding.shards(docs, 1000), ["n_bytes", "shard_depth", "shard", "shard_page"]), (toxicity.score(docs, toxicity.Model({}, -1.0, a=-5.0)), ["toxic_score", "toxic_passages"])):
+        assert got.columns == [c for c in docs.columns if c not in new] + new and got.count() == 4
+        assert all(r[c] == k for r in got.collect() for k, c in enumerate(inside))
+    assert sorted((r.doc_id or 0, r.shard_page) for r in sharding.shards(docs, 1000).collect()) == [(0, 0), (1, 0), (1, 1), (2, 0)]
+    assert toxicity.score(docs.where("false"), toxicity.Model({}, -1.0)).count() == 0
+
+
+def test_many_equal_rows_page(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PAGED_ROWS", 10)
+    docs = spark.createDataFrame([(1, "x" * 30)] * 95, "doc_id long, text string").repartition(5)
+    pages = {}
+    for r in sharding.shards(docs, 100).collect():
+        pages[r.shard_page] = pages.get(r.shard_page, 0) + r.n_bytes
+    assert sum(pages.values()) == 95 * 30 and max(pages.values()) <= 100
+
+
 def test_decontamination(spark):
     item = "Seorang pedagang membeli 12 kg beras seharga 5.000 rupiah lalu Budi menjual 12 kg itu dalam 3 hari saja"
     bench = spark.createDataFrame([(1, item), (2, "hal pendek sekali"), (3, None), (None, item)], "item_id long, text string")
@@ -198,14 +260,50 @@ def test_toxicity(spark):
     assert toxicity.spans(docs, model).where("doc_id % 6 = 0").count() >= 80 and toxicity.spans(docs, model).where("doc_id % 6 > 0").count() == 0
 
 
-def test_secrets(spark):
+def secret_docs():
     rnd = random.Random(11)
     hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
     rows = []
-    for i in range(120):
+    for i in range(240):
         plain = [f"kata{'x' * (i % 5)}" for _ in range(6)]
-        plain.insert(3, [f"AKIA{hexes(16).upper()}", f"password={hexes(18)}", f'token = "{hexes(40)}"', "42.144.35.254", "surat.42@mail8.example.com", "4041894974608795"][i % 6])
+        plain.insert(3, [f"AKIA{hexes(16).upper()}", f"password={hexes(18)}", f'token = "{hexes(40)}"', "42.144.35.254", f"surat.{i}@mail8.example.com", f"40418949746{i:05d}"][i % 6])
         rows.append((i, " ".join(plain)))
-    found = secrets.scan(make_docs(spark, [*rows, *ODD])).collect()
-    assert {r.doc_id for r in found if r.secret_score >= 0.5} == {i for i in range(120) if i % 6 < 3}
+    return rows
+
+
+def test_secrets(spark):
+    rows = secret_docs()
+    docs = make_docs(spark, [*rows, *ODD])
+    found = secrets.scan(docs).collect()
+    assert {r.doc_id for r in found if r.secret_score >= 0.5} == {i for i in range(240) if i % 6 < 3}
     assert secrets.scan(make_docs(spark, ODD)).count() == 0 and secrets.scan(make_docs(spark, ODD).where("false")).count() == 0
+    again = secrets.scan(docs.repartition(7)).collect()
+    told = lambda some: sorted((r.doc_id, r["at"], round(r.secret_score, 9)) for r in some)
+    assert told(found) == told(again)
+    n, precision, recall = secrets.held_out_quality(docs)
+    assert n > 30 and precision >= 0.95 and recall >= 0.95
+
+
+def test_secret_features(spark):
+    """Features by the words of their definition."""
+    import re
+
+    docs = make_docs(spark, [*secret_docs()[:60], (900, "password: CorrectHorse satu"), (901, 'api_key="abc12345XY", lalu kata12345678')])
+    words = secrets.dictionary(docs)
+    got = {(r.doc_id, r["at"]): r for r in secrets.findings(docs, words).collect()}
+    assert got[900, 1].value == "CorrectHorse" and got[901, 0].value == "abc12345XY" and got[901, 0].key == "api_key"
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = 0
+    for (doc, at), r in got.items():
+        split = texts[doc].split()
+        v, before, after = r.value, split[at - 1] if at else "", split[at + 1] if at + 1 < len(split) else ""
+        kind = "".join("a" if c.isascii() and c.islower() else "A" if c.isascii() and c.isupper() else "0" if c.isdigit() else c for c in v)
+        turns = len(re.sub(r"(.)\1+", r"\1", kind))
+        vowels = re.sub(r"(.)\1+", r"\1", "".join("v" if c in "aeiou" else "c" if c.isascii() and c.isalpha() else "0" if c.isdigit() else c for c in v.lower()))
+        parts = [p for p in re.split("[^a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", v).lower()) if p in words]
+        plain = lambda w: float(re.sub("[^a-z]", "", w.lower()) in words)
+        want = [len(v), sum(c.isdigit() for c in v) / len(v), sum("A" <= c <= "Z" for c in v) / len(v), sum(not (c.isascii() and c.isalnum()) for c in v) / len(v), len(set(v)) / len(v), turns / len(v), len(vowels) / len(v), sum(map(len, parts)) / len(v), plain(after), plain(before)]
+        have = [r[f] for f in ("f_length", "f_digits", "f_upper", "f_marks", "f_distinct", "f_classes", "f_vowels", "f_dictionary", "f_next", "f_before")]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(want, have)), (v, want, have)
+        seen += 1
+    assert seen >= 60
