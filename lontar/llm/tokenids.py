@@ -15,23 +15,26 @@ import struct
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, range_number, released_shuffles, remove, scratch, stage
+from .common import checkpoint, released_shuffles, remove, scratch, stage
 
 END_ID = 2
 SCALE_BITS, LOW = 20, 1 << 31
-#: Ids of a block, coder states at most, coded bytes after which a file ends, documents of a part of the doc_id range.
-BLOCK_IDS, LANES, FILE_BYTES, PART_DOCS = 1 << 19, 1024, 32 << 20, 8192
-#: Words the coder of a task remembers.
-KNOWN_WORDS = 600_000
+#: Ids of a block, coder states at most, coded bytes after which a file ends, documents of a part of the doc_id range
+#: and parts at most (beyond that they are larger), text bytes encoded at once.
+BLOCK_IDS, LANES, FILE_BYTES, PART_DOCS, PARTS, SLICE_BYTES = 1 << 19, 1024, 32 << 20, 8192, 1 << 16, 4 << 20
+#: Words the coder of a worker remembers.
+KNOWN_WORDS = 1_200_000
 _HEAD = struct.Struct("<4sIQIIIIQ")
 _MAGIC = b"RNSB"
 
@@ -135,11 +138,8 @@ def read_block(block: bytes, table: Table, symbols: np.ndarray) -> tuple[list, n
     return doc_ids, lengths, decode_ids(n, state, words, table, symbols), start
 
 
-class WordCoder:
-    """Encodes texts word by word, remembering words. Right for tokenizers that ignore the case of ASCII letters and in
-    which no token reaches across ASCII white space, which itself gives no token. Many new words go through the
-    tokenizer at once: words of letters as one text, cut after the tokens that end words, others parted by a special
-    token. Words not met for a while are forgotten."""
+class TextCoder:
+    """Encodes whole texts with the tokenizer of a file; for any tokenizer."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -148,114 +148,205 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
-        self.part, self.mark = next(iter(special.items()), (None, None))
-        self.starts = {s[:2].encode() for s in special.values()}
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
-            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.marks = {m: self._ids(chr(m)).tobytes() for m in _MARKS}
+        self.size = max(self.tokenizer.get_vocab().values(), default=0) + 1
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (string, no nulls), each with the end id, one after the other, and how many each has."""
+        found = [e.ids + [end_id] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], self.kind), np.array([len(ids) for ids in found], np.int64)
+
+
+class WordCoder(TextCoder):
+    """The same ids word by word, remembering words: Arrow splits texts and tells equal words, so each is looked up once
+    a slice, and ids of all words are gathered at once. Right for tokenizers of the form fits() asks for, where words of
+    ASCII white space are encoded by themselves and ASCII case is folded.
+
+    New words go to the tokenizer many at once: words of letters that its normalizer leaves as they are to a tokenizer
+    of the same model without the normalizer, cut after the tokens that end words; others parted by a special token. A
+    run of ASCII marks after an ASCII letter is a piece of its own. All words are forgotten when they are too many."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.part, self.mark = next((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.starts = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.size, bool)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+        self._forget()
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        """Whether the file's tokenizer folds case, drops white space between pieces of letters, digits and marks, and
+        ends words with a suffix."""
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        model, added = form["model"], form.get("added_tokens") or []
+        steps = ((form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        return (
+            form.get("normalizer") == _NORMALIZER and {k: steps.get(k) for k in _SPLIT} == _SPLIT and (form["pre_tokenizer"]["pretokenizers"][1:] == [_BYTES])
+            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("unk_token") and not model.get("continuing_subword_prefix") and bool(model.get("end_of_word_suffix"))
+            and bool(added) and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].isascii() and len(t["content"]) > 2 for t in added)
+        )
+
+    def _forget(self) -> None:
+        # row 0 is the empty word, row 1 the end id
+        self.rows: dict[bytes, int] = {b"": 0}
+        self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.flat, self.used, self.n = np.zeros(1 << 18, self.kind), 1, 2
+        self.length[1] = 1
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.n + len(words) > len(self.start):
+            self.start, self.length = np.append(self.start, np.zeros_like(self.start)), np.append(self.length, np.zeros_like(self.length))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[self.n : self.n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.n : self.n + len(words)] = lengths
+        self.rows.update(zip(words, range(self.n, self.n + len(words))))
+        self.used, self.n = self.used + len(ids), self.n + len(words)
+
     def _ask(self, words: list[bytes]) -> None:
-        if not words:
-            return
-        texts = b" ".join(words).decode().split(" ")
-        plain = list(map(str.isalpha, texts)) if self.ends.any() else [False] * len(words)
-        letters = [(w, s) for w, s, p in zip(words, texts, plain) if p]
-        odd = [w for w, p in zip(words, plain) if not p]
-        width = self.kind.itemsize
-        for at in range(0, len(letters), 5000):
-            some, parts = zip(*letters[at : at + 5000])
-            ids = self._ids(" ".join(parts))
+        odd = []
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            texts = b" ".join(some).decode().split(" ")
+            plain = [t.isalpha() for t in texts]
+            if not (whole := " ".join(texts)).isascii() and not (whole == whole.lower() and is_normalized("NFC", whole)):
+                plain = [p and t == t.lower() and is_normalized("NFC", t) for p, t in zip(plain, texts)]
+            odd += [w for w, p in zip(some, plain) if not p]
+            if not (some := [w for w, p in zip(some, plain) if p]):
+                continue
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
+            if len(cuts) == len(some):
+                self._keep(some, ids, np.diff(np.append(0, cuts)))
+            else:
                 odd += some
-                continue
-            raw, ends = ids.tobytes(), (cuts * width).tolist()
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-        single = [w for w in odd if self.mark is None or any(s in w for s in self.starts)]
-        for w, e in zip(single, self.tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False) if single else []):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
-        odd = [w for w in odd if w not in self.known] if single else odd
+        alone = [w for w in odd if any(s.encode() in w for s in self.starts)]
+        if alone:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)]
+            self._keep(alone, np.array([i for ids in found for i in ids], self.kind), np.array([len(ids) for ids in found], np.int64))
+            odd = [w for w in odd if w not in self.rows]
         for at in range(0, len(odd), 5000):
             some = odd[at : at + 5000]
             ids = self._ids(self.mark.join(b" ".join(some).decode().split(" ")))
-            cuts = np.flatnonzero(ids == self.part)
-            if len(cuts) != len(some) - 1:
+            parts = ids == self.part
+            cuts = np.append(np.flatnonzero(parts), len(ids))
+            if len(cuts) != len(some):
                 raise ValueError("the special token does not part words")
-            raw, ends = ids.tobytes(), (cuts * width).tolist()
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *(e + width for e in ends)], [*ends, len(raw)]))))
-
-    def _take(self, words: set[bytes]) -> set[bytes]:
-        """What is not known; words met before are known again."""
-        miss = words.difference(self.known)
-        again = miss.intersection(self.before)
-        self.known.update(zip(again, map(self.before.__getitem__, again)))
-        return miss - again
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > KNOWN_WORDS // 2:
-            self.known, self.before = {}, self.known
-        # a mark after an ASCII letter is a piece of its own
-        miss = self._take(words)
-        ended = [w for w in miss if w[-1] in _MARKS and len(w) > 1 and 97 <= w[-2] <= 122]
-        miss.difference_update(ended)
-        miss.update(w[:-1] for w in ended)
-        self._ask(list(self._take(miss)))
-        known = self.known
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in ended)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian integers of self.kind."""
-        split = [(t if any(s in t for s in self.starts) else t.lower()).split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-#: Marks that end words.
-_MARKS = frozenset(b".,;:!?")
-_CODERS: dict[str, WordCoder] = {}
-
-
-def coder(path: str) -> WordCoder:
+            self._keep(some, ids[~parts], np.diff(np.append(-1, cuts)) - 1)
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of all rows, one after the other, and how many each has."""
+        n = self.length[rows]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[rows] - (ends - n).astype(np.int32), n) + np.arange(total, dtype=np.int32)], n
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Rows for words that have none."""
+        known, ended, ask = self.rows, [], {}
+        for w in words:
+            base = w.rstrip(_MARKS)
+            if len(base) < len(w) and base and 97 <= base[-1] <= 122 and b"<" not in w:
+                ended.append(w)
+                for part in (base, w[len(base) :]):
+                    if part not in known:
+                        ask[part] = None
+            else:
+                ask[w] = None
+        self._ask(list(ask))
+        if ended:
+            bases = [w.rstrip(_MARKS) for w in ended]
+            pairs = np.empty((len(ended), 2), np.int64)
+            pairs[:, 0] = np.fromiter(map(known.__getitem__, bases), np.int64, len(ended))
+            pairs[:, 1] = [known[w[len(b) :]] for w, b in zip(ended, bases)]
+            ids, n = self._gather(pairs.ravel())
+            self._keep(ended, ids, n.reshape(-1, 2).sum(axis=1))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.n > KNOWN_WORDS:
+            self._forget()
+        self.flat[0] = end_id
+        lowered = pc.ascii_lower(texts)
+        for s in self.starts:
+            if pc.any(special := pc.match_substring(texts, s)).as_py():
+                lowered = pc.if_else(special, texts, lowered)
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        rows = list(map(self.rows.get, words))
+        if miss := [w for w, r in zip(words, rows) if r is None]:
+            self._learn(miss)
+            rows = list(map(self.rows.__getitem__, words))
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        each = np.insert(np.array(rows, np.int64)[coded.indices.to_numpy()], offsets[1:], 1)
+        ids, n = self._gather(each)
+        last = np.cumsum(n)[offsets[1:] + np.arange(len(texts))]
+        return ids, np.diff(np.append(0, last)).astype(np.int64)
+
+
+#: The form of tokenizer file that WordCoder is right for; ASCII marks.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_CODERS: dict[str, TextCoder] = {}
+
+
+def coder(path: str) -> TextCoder:
     """One coder for each tokenizer file and worker process."""
     if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
+        _CODERS[path] = WordCoder(path) if WordCoder.fits(path) else TextCoder(path)
     return _CODERS[path]
 
 
 _COUNTS = 256  # rows of parts below 0, so many, hold counts of ids instead of a document
 
 
+def _slices(batch: pa.RecordBatch, column: int):
+    """Slices of a batch of about SLICE_BYTES of text, a row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _tokenize(path: str, end_id: int):
-    """(part, doc_id, text) to (part, doc_id, n, ids), and a last row with how often the task met each id."""
+    """(part, doc_id, text) in order to (part, doc_id, n, ids, before), before being the ids of the part before the
+    document, and a last row with how often the task met each id."""
 
     def run(batches):
         c = coder(path)
-        end = np.array([end_id], c.kind).tobytes()
-        counts = np.zeros(max(len(c.ends), end_id + 1), np.int64)
-
-        def rows(parts, docs, ids):
-            n = [len(i) // c.kind.itemsize for i in ids]
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "n", "ids"])
-
+        counts = np.zeros(max(c.size, end_id + 1), np.int64)
+        part, before = None, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [i + end for i in c.encode([t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()])]
-                for i in range(0, len(ids), 64):
-                    got = np.bincount(np.frombuffer(b"".join(ids[i : i + 64]), c.kind))
-                    counts[: len(got)] += got
-                yield rows(part.column(0), part.column(1), ids)
-        yield rows([-1 - TaskContext.get().partitionId() % _COUNTS], [None], [counts.astype("<i8").tobytes()])
+            for some in _slices(batch, 2):
+                ids, n = c.encode(pc.fill_null(some.column(2), ""), end_id)
+                got = np.bincount(ids)
+                counts[: len(got)] += got
+                if (here := some.column(0)[0].as_py()) != part:
+                    part, before = here, 0
+                ends = np.cumsum(n)
+                width = c.kind.itemsize
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, ends * width).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n), raw, pa.array(before + ends - n)], names=["part", "doc_id", "n", "ids", "before"])
+                before += int(ends[-1])
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId() % _COUNTS], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([0], pa.int64())], names=["part", "doc_id", "n", "ids", "before"])
 
     return run
 
@@ -333,28 +424,28 @@ def _write(folder: str, kind: np.dtype, table: Table, starts: dict[int, int]):
     return run
 
 
+_IDS = "part int, doc_id long, n long, ids binary, before long"
 _BLOCKS = "file string, offset long, length long, n_docs long, n_ids long"
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> tuple[DataFrame, Table]:
-    """Write docs (doc_id, text) to `folder` in ascending order of doc_id, null last, rows of one doc_id by their ids.
+    """Write docs (doc_id, text) to `folder` in ascending order of doc_id, null last, rows of one doc_id by a hash of
+    their texts (null as empty); equal rows are written as often as they occur.
 
     Returns the list of blocks (file, offset, length, n_docs, n_ids) and the table. A null text has the end id only.
-    A part of the doc_id range goes to a file; files are named by the number of ids before them. Empty input: no file."""
+    Documents are range-sorted into parts, which are read as streams, so a part may be of any size; a part goes to one
+    or more files, named by the number of ids before them. Empty input: no file."""
     spark = docs.sparkSession
-    kind = WordCoder(tokenizer_path).kind
+    kind = coder(tokenizer_path).kind
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = max(1, min(1 << 16, math.ceil(docs.select("doc_id").count() / PART_DOCS)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * count)).first()[0] if count > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    count = max(1, min(PARTS, math.ceil(docs.select("doc_id").count() / PART_DOCS)))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit(""))).asc()]
 
     home = scratch(spark, "token-ids")
     with released_shuffles(spark):
-        coded = docs.select(range_number(F.col("doc_id"), cuts).alias("part"), "doc_id", "text").mapInArrow(_tokenize(tokenizer_path, end_id), "part int, doc_id long, n long, ids binary")
-        before = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "n", "ids").rowsBetween(Window.unboundedPreceding, -1)
-        whole = coded.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        whole.write.option("compression", "zstd").parquet(home)
-        coded = spark.read.parquet(home)
+        ranged = docs.repartitionByRange(count, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+        ranged.mapInArrow(_tokenize(tokenizer_path, end_id), _IDS).write.option("compression", "zstd").parquet(home)
+        coded = spark.read.schema(_IDS).parquet(home)
         counts = coded.where("part < 0").select("ids").mapInArrow(_sums, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
         coded = coded.where("part >= 0")
         totals = sorted((r.part, r.total) for r in coded.groupBy("part").agg(F.sum("n").alias("total")).collect())
@@ -362,7 +453,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
         for p, n in totals:
             starts[p], at = at, at + n
         table = Table.of({r.id: r.n for r in counts})
-        blocks = checkpoint(coded.select("part", "doc_id", "n", "ids", "before").mapInArrow(_write(folder, kind, table, starts), _BLOCKS))
+        blocks = checkpoint(coded.mapInArrow(_write(folder, kind, table, starts), _BLOCKS))
     remove(spark, home)
     return blocks, table
 
