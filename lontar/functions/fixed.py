@@ -27,6 +27,10 @@ PASAL_DEMI = r"(?im)^\s*(?:I{1,3}\.\s*)?PASAL\s+DEMI\s+PASAL\b"
 UMUM = r"(?im)^\s*(?:I\.\s*)?UMUM\s*$"
 LAMPIRAN = r"(?m)^\s*LAMPIRAN\b"
 PASAL_ANYWHERE = r"(?im)^\s*Pasal\s+(?:[0-9]+|[IVXLCDM]+)\b"
+BAB_ANYWHERE = r"(?im)^\s*BAB\s+[IVXLCDM]+\b"
+TITLE_ANYWHERE = r"(?i)(UNDANG-UNDANG|PERATURAN DAERAH|PERATURAN KEPALA DAERAH|PERATURAN DESA|PERATURAN LEMBAGA NEGARA|PERATURAN PEMERINTAH|PERATURAN PRESIDEN|PERATURAN MENTERI|PERATURAN GUBERNUR|PERATURAN BUPATI|PERATURAN WALI ?KOTA|QANUN)\b[\s\S]{0,80}?\bNOMOR\b"
+RECITALS = [MENIMBANG, MENGINGAT, MEMPERHATIKAN, MEMUTUSKAN, MENETAPKAN]
+YEAR = r"^(1[89]|20)[0-9]{2}$"
 DIKTUM_ANYWHERE = r"(?im)^\s*(KESATU|KEDUA|KETIGA)\s*:"
 CLOSING = r"(?i)^(ditetapkan\s+di|diundangkan\s+di|agar\s+setiap\s+orang|lembaran\s+(negara|daerah)\b|tambahan\s+lembaran|berita\s+(negara|daerah)\b|tambahan\s+berita)"
 # Page furniture.

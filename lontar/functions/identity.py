@@ -16,6 +16,8 @@ KIND = (
     r"KEPUTUSAN\s+PIMPINAN\s+DPRK|KEPUTUSAN\s+DPRA|KEPUTUSAN\s+DPRK|INSTRUKSI\s+PRESIDEN|INSTRUKSI\s+MENTERI|INSTRUKSI\s+GUBERNUR|INSTRUKSI\s+BUPATI|"
     r"INSTRUKSI\s+WALI\s*KOTA|SURAT\s+EDARAN\s+MENTERI|SURAT\s+EDARAN\s+GUBERNUR|SURAT\s+EDARAN\s+BUPATI|SURAT\s+EDARAN\s+WALI\s*KOTA|QANUN"
 )
+#: Kinds that know no area.
+NATIONAL = ["UNDANG-UNDANG", "PERATURAN PEMERINTAH", "PERATURAN PEMERINTAH PENGGANTI UNDANG-UNDANG"]
 DATED = rf"(?is)({KIND})(?:\s+([A-Z][A-Z\s]*?))?\s*NOMOR\s+([0-9][0-9A-Za-z./\s-]*?)\s+TAHUN\s+([0-9]{{4}})\s+TENTANG\s+(.+)"
 UNDATED = rf"(?is)({KIND})(?:\s+([A-Z][A-Z\s]*?))?\s*NOMOR\s+([0-9][0-9A-Za-z./\s-]*?)\s+TENTANG\s+(.+)"
 OFFICE = r"(?im)^(GUBERNUR|BUPATI|WALI\s*KOTA|PRESIDEN|MENTERI|PIMPINAN\s+DPRA|PIMPINAN\s+DPRK|DPRA|DPRK)\s+([A-Z][A-Z\s]*?)\s*,\s*$"
@@ -68,6 +70,19 @@ def area(written: Column) -> Column:
     return out.otherwise(_province(s))
 
 
+def area_of_kind(jenis: Column, instansi: Column) -> Column:
+    """Canonical area of a regulation, by the office its kind ends with: after an office stands only the name of its
+    area. Acts and government regulations are national; kinds without an office name the area themselves."""
+    name = tidy(instansi)
+    out = F.when(jenis.isin(NATIONAL), "NASIONAL")
+    for office, value in (
+        ("DPRA", F.lit("PEMERINTAH ACEH")), ("DPRK", _local(name)), ("GUBERNUR", _province(name)), ("BUPATI", F.concat(F.lit("KABUPATEN "), name)), ("WALI KOTA", F.concat(F.lit("KOTA "), name)),
+        ("PRESIDEN", F.lit("NASIONAL")), ("MENTERI", F.lit("NASIONAL")),
+    ):
+        out = out.when(jenis.endswith(office), value)
+    return out.otherwise(area(name))
+
+
 def kind(written: Column) -> Column:
     return F.replace(squeeze(F.upper(written)), F.lit("WALIKOTA"), F.lit("WALI KOTA"))
 
@@ -76,7 +91,8 @@ def identity(page: Column) -> Column:
     """struct(jenis, wilayah, nomor, nomor_urut, tahun, tentang, canonical_key, accepted): accepted if kind and area are
     known and number, year and title are there."""
     h = header(page)
-    k, a = kind(h["jenis"]), area(h["instansi"])
+    k = kind(h["jenis"])
+    a = area_of_kind(k, h["instansi"])
     whole = k.isin(fixed.KINDS) & a.isin(fixed.AREAS) & (h["nomor"] != "") & (h["tahun"] != "") & (h["tentang"] != "")
     return F.struct(k.alias("jenis"), a.alias("wilayah"), h["nomor"].alias("nomor"), first_number(h["nomor"]).alias("nomor_urut"), h["tahun"].alias("tahun"), h["tentang"].alias("tentang"), identity_key(k, a, h["nomor"], h["tahun"]).alias("canonical_key"), whole.alias("accepted"))
 

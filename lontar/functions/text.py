@@ -177,3 +177,61 @@ def identity_key(*parts: Column) -> Column:
     for p in parts[1:]:
         whole = whole & (p != "")
     return F.when(whole, F.concat_ws("|", *parts))
+
+
+def cut(c: Column, most: int) -> Column:
+    """Single spaces, and at most so many bytes; a letter cut in half is dropped."""
+    whole = F.encode(squeeze(c), "UTF-8")
+    return F.regexp_replace(F.decode(F.substring(whole, 1, most), "UTF-8"), "�+$", "")
+
+
+def year_or_empty(c: Column) -> Column:
+    """A year from 1800 to 2099, else empty."""
+    return F.when(c.rlike(fixed.YEAR), c).otherwise("")
+
+
+def prefer(a: Column, b: Column) -> Column:
+    """The first value unless it is empty or null."""
+    return F.coalesce(F.nullif(a, F.lit("")), b)
+
+
+def has_article(c: Column) -> Column:
+    return c.rlike(fixed.PASAL_ANYWHERE)
+
+
+def has_recital(c: Column) -> Column:
+    """Whether an anchor of the recitals or of the decision begins a line."""
+    found = F.lit(False)
+    for p in fixed.RECITALS:
+        found = found | c.rlike(p)
+    return found
+
+
+def has_explanation(c: Column) -> Column:
+    return c.rlike(fixed.PENJELASAN)
+
+
+def has_appendix(c: Column) -> Column:
+    return c.rlike(fixed.LAMPIRAN)
+
+
+def has_dictum(page: Column) -> Column:
+    """Whether a line of a page, repaired, is an item of a decision."""
+    return F.exists(F.transform(F.split(page, "\n", -1), fix_line), lambda line: structural(line)["kind"] == "diktum")
+
+
+def looks_legal(pages: Column) -> Column:
+    """A loose look at joined pages: an article, a chapter, an anchor, a title with a number or an item of a decision."""
+    return has_article(pages) | pages.rlike(fixed.BAB_ANYWHERE) | has_recital(pages) | pages.rlike(fixed.TITLE_ANYWHERE) | has_dictum(pages)
+
+
+def crop_note(percent: Column) -> Column:
+    """What was cut off a page, in words; empty below one percent."""
+    return F.when(percent < 1, "").otherwise(F.format_string(" · dipotong -%.0f%%", percent))
+
+
+def duration(ms: Column) -> Column:
+    """A duration to the second as 4s, 1m5s or 1h0m9s."""
+    s = F.floor((ms + 500) / 1000)
+    h, m, rest = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
+    return F.concat(F.when(h > 0, F.concat(h, F.lit("h"))).otherwise(""), F.when(s >= 60, F.concat(m, F.lit("m"))).otherwise(""), rest.cast("string"), F.lit("s"))

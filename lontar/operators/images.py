@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Darkness, strides over large images, margins of a crop, thresholds of blank pages and resolutions.
 DARK, LARGE, INK_STRIDE, BLUR_STRIDE = 40_000, 400_000, 3, 2
-PAD, KEEP_AREA, KEEP_INK, SMALL = 12, 0.98, 0.995, 40
+PAD, KEEP_AREA, KEEP_INK, SMALL, DIRT, LEAST_WIDTH, LEAST_HEIGHT = 12, 0.98, 0.995, 40, 500, 16, 8
 BLANK, SHARP, MEDIUM = 0.0004, 5e8, 5e7
 
 
@@ -23,30 +23,45 @@ def ink_ratio(grid: np.ndarray) -> float:
 
 
 def blur_score(grid: np.ndarray) -> float:
-    """Variance of the four-neighbour Laplacian."""
+    """Variance of the four-neighbour Laplacian; on large images of every second pixel, with neighbours as far away."""
     step = BLUR_STRIDE if grid.size > LARGE else 1
-    g = grid.astype(np.float64)
+    if min(grid.shape) < 3:
+        return 0.0
+    g = grid.astype(np.float64)[::step, ::step]
     if min(g.shape) < 3:
         return 0.0
-    inner = (4 * g[1:-1, 1:-1] - g[:-2, 1:-1] - g[2:, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:])[::step, ::step]
+    inner = g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]
     return float(inner.var())
 
 
+def _box(rows: np.ndarray, cols: np.ndarray, least_row: int, least_col: int) -> tuple[int, int, int, int] | None:
+    """First and last row and column with so many dark pixels."""
+    y, x = np.flatnonzero(rows >= least_row), np.flatnonzero(cols >= least_col)
+    return (int(y[0]), int(y[-1]), int(x[0]), int(x[-1])) if len(y) and len(x) else None
+
+
 def crop(grid: np.ndarray) -> tuple[int, int, int, int]:
-    """top, bottom, left, right of the inked box with its margin; the whole image if it is small, hardly smaller, blank
-    or would lose ink."""
+    """top, bottom, left, right of the inked box with its margin. Rows and columns with a few dark pixels are dirt unless
+    more than KEEP_INK of the ink needs them; then any dark pixel counts. The whole image if it is small, blank or
+    hardly smaller, or if the box is too small to be text."""
     h, w = grid.shape
     whole = (0, h, 0, w)
     if h < SMALL or w < SMALL:
         return whole
     ink = grid < DARK
-    rows, cols = np.flatnonzero(ink.sum(axis=1)), np.flatnonzero(ink.sum(axis=0))
-    if not len(rows):
+    rows, cols = ink.sum(axis=1), ink.sum(axis=0)
+    total = int(rows.sum())
+    if not total:
+        return whole
+    box = _box(rows, cols, max(2, w // DIRT), max(2, h // DIRT))
+    if box and min(rows[box[0] : box[1] + 1].sum(), cols[box[2] : box[3] + 1].sum()) < total * KEEP_INK:
+        box = _box(rows, cols, 1, 1)
+    if box is None:
         return whole
-    top, bottom = max(0, int(rows[0]) - PAD), min(h, int(rows[-1]) + 1 + PAD)
-    left, right = max(0, int(cols[0]) - PAD), min(w, int(cols[-1]) + 1 + PAD)
-    kept = ink[top:bottom, left:right].sum() >= KEEP_INK * ink.sum()
-    return (top, bottom, left, right) if kept and (bottom - top) * (right - left) <= KEEP_AREA * h * w else whole
+    top, bottom, left, right = max(0, box[0] - PAD), min(h, box[1] + 1 + PAD), max(0, box[2] - PAD), min(w, box[3] + 1 + PAD)
+    if right - left < LEAST_WIDTH or bottom - top < LEAST_HEIGHT or (bottom - top) * (right - left) / (h * w) > KEEP_AREA:
+        return whole
+    return top, bottom, left, right
 
 
 def measures(pixels: Column, width: Column) -> Column:
@@ -71,6 +86,12 @@ def resolution(blur: Column) -> Column:
     return F.when(blur >= SHARP, 100).when(blur >= MEDIUM, 150).otherwise(200)
 
 
+def page_resolution(pages: DataFrame, forced: int = 0) -> DataFrame:
+    """pages (document_id, page_number, blur_score) with dpi: what the first page of a document needs holds for all."""
+    first = F.first_value("blur_score").over(Window.partitionBy("document_id").orderBy("page_number"))
+    return pages.withColumn("dpi", F.lit(forced) if forced > 0 else resolution(first))
+
+
 def is_blank(ink: Column) -> Column:
     return ink < BLANK
 

@@ -45,13 +45,23 @@ def mark_duplicates(documents: DataFrame, key: str, order: str, reason: str) ->
     return d.withColumn("reject_reason", F.when(twin, reason)).withColumn("status", F.when(twin, "duplicate").otherwise(F.col("status"))).drop("_key")
 
 
+def claim_order(busy: str, tie: str, pages: str | None = None) -> list[Column]:
+    by_pages = [] if pages is None else [F.desc_nulls_last("total_pages") if str(pages).lower() == "desc" else F.asc_nulls_last("total_pages")]
+    return [F.desc(F.col("status") == busy), F.asc("priority"), *by_pages, F.desc_nulls_last("sort_tahun"), F.desc_nulls_last("sort_nomor"), F.asc(tie), F.asc("id")]
+
+
+def claim_places(documents: DataFrame, busy: str, tie: str, pages: str | None = None) -> DataFrame:
+    """Claimed documents with place: their number in the order of claims among those of one state and priority."""
+    first, second, *rest = claim_order(busy, tie, pages)
+    return documents.withColumn("place", F.row_number().over(Window.partitionBy("status", "priority").orderBy(*rest)))
+
+
 def claim(documents: DataFrame, sources: DataFrame, busy: str, waiting: str, tie: str, limit: int | None = None, pages: str | None = None) -> DataFrame:
     """Documents to work on in order: those left busy first, then by priority of their source, page count where `pages`
     is asc or desc, year and number (latest first), tie. Sources are few and joined from the side; a limit is a top-k."""
     open_ = documents.where(F.col("status").isin(busy, waiting))
     joined = open_.join(sources, open_.first_source_id == sources.source_id, "left").withColumn("priority", F.coalesce("priority", F.lit(NO_PRIORITY)))
-    by_pages = [] if pages is None else [F.desc_nulls_last("total_pages") if str(pages).lower() == "desc" else F.asc_nulls_last("total_pages")]
-    order = [F.desc(F.col("status") == busy), F.asc("priority"), *by_pages, F.desc_nulls_last("sort_tahun"), F.desc_nulls_last("sort_nomor"), F.asc(tie), F.asc("id")]
+    order = claim_order(busy, tie, pages)
     return joined.orderBy(*order).limit(limit) if limit is not None else joined.orderBy(*order)
 
 

@@ -59,6 +59,7 @@ def nested(nodes: DataFrame, levels: int = 4) -> DataFrame:
 
 
 def sparse_order(nodes: DataFrame) -> DataFrame:
-    """nodes with order_index: thousands among the nodes of one parent and type."""
-    within = Window.partitionBy("doc_id", F.coalesce("parent_idx", F.lit(-1)), "section", "node_type").orderBy("node_idx")
+    """nodes with order_index: thousands among the nodes of one parent and type; articles and dictums count together."""
+    kind = F.when(F.col("node_type") == "diktum", "pasal").otherwise(F.col("node_type"))
+    within = Window.partitionBy("doc_id", F.coalesce("parent_idx", F.lit(-1)), "section", kind).orderBy("node_idx")
     return nodes.withColumn("order_index", (F.row_number().over(within) * 1000).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -63,6 +63,11 @@ def open_source(spark: SparkSession, kind: str, **options: str) -> DataFrame:
     return spark.read.format(_KINDS[kind].name()).options(**options).load()
 
 
+def sources(registry: DataFrame) -> DataFrame:
+    """The registry of sources in order of their code, with place. Sources are few: one window takes them all."""
+    return registry.withColumn("place", F.row_number().over(Window.orderBy("code", "id"))).orderBy("place")
+
+
 def parse(bodies: DataFrame, column: str = "body") -> DataFrame:
     """Records of JSON arrays in a text column; a body that is not such an array gives none."""
     return bodies.select(F.inline(F.from_json(column, f"array<struct<{SCHEMA.replace(' string', ': string')}>>")))
