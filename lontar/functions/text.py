@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -235,3 +235,9 @@ def duration(ms: Column) -> Column:
     s = F.floor((ms + 500) / 1000)
     h, m, rest = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
     return F.concat(F.when(h > 0, F.concat(h, F.lit("h"))).otherwise(""), F.when(s >= 60, F.concat(m, F.lit("m"))).otherwise(""), rest.cast("string"), F.lit("s"))
+
+
+def token_counts(documents: DataFrame, key: str, column: str) -> DataFrame:
+    """(token, documents, times): in how many documents each lower-case token of letters and digits is, and how often."""
+    d = documents.select(key, F.explode(F.split(F.lower(column), r"[^\p{L}\p{N}]+")).alias("token")).where("token <> ''")
+    return d.groupBy("token", key).count().groupBy("token").agg(F.count("*").alias("documents"), F.sum("count").alias("times"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontar.functions import fixed
-from lontar.operators import citations, lines, lint, nodes, segments, tree
+from lontar.operators import citations, lines, lint, nodes, segments, store, tree
 
 from . import corpus, oracle
 from .oracle import has, quoted, stripped
@@ -87,12 +87,17 @@ def j15_resolve(spark, sf_dir):
 
 
 def p06_gate(spark, sf_dir):
-    found = lines.stitch(corpus.lines(spark, sf_dir))
-    legal = [fixed.MENIMBANG, fixed.MENGINGAT, fixed.MEMPERHATIKAN, fixed.MEMUTUSKAN, fixed.MENETAPKAN]
-    test = F.col("text").rlike(fixed.PASAL_ANYWHERE) | (F.col("m.kind") == "diktum")
-    for p in legal:
-        test = test | F.col("text").rlike(p)
-    return found.groupBy("doc_id").agg(F.max(test).alias("legal"), F.count_if(F.col("text").rlike(fixed.PASAL_ANYWHERE)).alias("pasal_count"))
+    return store.gate(lines.stitch(corpus.lines(spark, sf_dir)))
+
+
+def x16_errors(spark, sf_dir):
+    """Orders as documents of one line, of none, of kinds with and without the gate."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
+    d = F.col("doc_id")
+    said = F.when(d % 3 == 0, "Menimbang : hal").when(d % 3 == 1, "KEDUA : hal").otherwise("hal biasa")
+    pages = orders.where(d % 7 > 0).select("doc_id", F.lit(1).alias("page"), said.alias("text"))
+    kinds = orders.select("doc_id", F.when(d % 4 == 0, " surat edaran ").when(d % 4 == 1, "QANUN").alias("jenis"))
+    return store.parse_error(lines.stitch(lines.explode_pages(pages)), kinds)
 
 
 _GAP = """, numbers AS ({numbers}), pairs AS (SELECT *, lead(v) OVER (PARTITION BY {keys} ORDER BY v) AS w FROM (SELECT DISTINCT * FROM numbers WHERE v IS NOT NULL)),
@@ -146,9 +151,10 @@ issues AS (SELECT doc_id FROM ({_WARNED}) UNION ALL SELECT doc_id FROM stats WHE
 
 QUERIES = {
     f.__name__: f
-    for f in (w18_pasal_gap, d03_ayat_gap, d04_orphan_refs, d05_anchor_leak, d06_empty_pasal, a03_statistics, d01_status, t01_parents, t03_cascade, t06_tree_json, t07_outline, r01_citations, r03_relations, j15_resolve, p06_gate)
+    for f in (w18_pasal_gap, d03_ayat_gap, d04_orphan_refs, d05_anchor_leak, d06_empty_pasal, a03_statistics, d01_status, t01_parents, t03_cascade, t06_tree_json, t07_outline, r01_citations, r03_relations, j15_resolve, p06_gate, x16_errors)
 }
 ORACLE_SQL = {
+    "x16_errors": "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 0 THEN 'empty_input' WHEN o_orderkey % 3 = 2 AND o_orderkey % 4 > 0 THEN 'not_legal' END AS error FROM orders",
     "w18_pasal_gap": oracle.nodes("SELECT * FROM pasal_gap", _PASAL_GAP),
     "d03_ayat_gap": oracle.nodes("SELECT * FROM ayat_gap", _AYAT_GAP),
     "d04_orphan_refs": oracle.nodes(_UNKNOWN),

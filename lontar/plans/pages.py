@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,11 @@ def w08_line_runs(spark, sf_dir):
 
 
 def m06_text_source(spark, sf_dir):
-    """Two pages of each English document; the layers are wrong in one digit, one letter or nothing."""
-    clean = F.regexp_replace(F.substring("text", 1, 300), r"[^\x00-\x7f]", "?")
-    d = _read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"), F.concat(clean, F.lit(" 12")).alias("ocr"))
-    layer = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("ocr", "12$", "13")).when(F.col("doc_id") % 3 == 1, F.regexp_replace("ocr", "^.", "#")).otherwise("")
+    """All pages of all documents; the layers are wrong in one digit, one letter or nothing."""
+    from . import scalars
+
+    d = scalars._text_pages(spark, sf_dir).select("doc_id", "page", "a", F.concat("a", F.lit(" x 12")).alias("ocr"))
+    layer = F.when(F.col("doc_id") % 3 == 0, F.concat("a", F.lit(" x 13"))).when(F.col("doc_id") % 3 == 1, F.concat("a", F.lit(" y 12"))).otherwise("")
     return recognition.elect(d.withColumn("layer", layer).withColumn("other", F.when(F.col("doc_id") % 2 == 0, F.col("ocr"))))
 
 
@@ -84,6 +86,25 @@ def i02_blur(spark, sf_dir):
     return m.select("vec_id", F.round(F.col("blur") * 1296, 0).alias("blur"), images.resolution(F.col("blur")).alias("dpi"))
 
 
+def i02_large_pages(spark, sf_dir):
+    """Pages of 640 by 700 dots for some orders, above the size from which only some dots are looked at: ruled by an order's key."""
+    k = F.col("o_orderkey")
+    dots = F.transform(F.sequence(F.lit(0), F.lit(640 * 700 - 1)), lambda i: ((F.floor(i / 640) * 7 + i % 640 * 13 + k % 97) % 101 * 600).cast("int"))
+    d = _read(spark, sf_dir, "orders").where(k % 500 == 0).select(k, dots.alias("pixels"))
+    m = d.select("o_orderkey", images.measures(F.col("pixels"), F.lit(640)).alias("m"))
+    return m.select("o_orderkey", F.round("m.ink_ratio", 6).alias("ink_ratio"), F.round(F.col("m.blur_score") / 1000, 0).cast("long").alias("blur"), images.resolution(F.col("m.blur_score")).alias("dpi"))
+
+
+def i03_crop(spark, sf_dir):
+    """Parts as pages of 60 by 80 dots with a block of ink and up to two specks of dirt."""
+    k = F.col("p_partkey")
+    at = lambda i, x, y: (i % 60 == x) & (F.floor(i / 60) == y)
+    block = lambda i: (i % 60).between(15 + k % 7, 25 + k % 23) & F.floor(i / 60).between(20, 21 + k % 40)
+    dots = F.transform(F.sequence(F.lit(0), F.lit(60 * 80 - 1)), lambda i: F.when(((k % 11 > 0) & block(i)) | ((k % 3 > 0) & at(i, 0, 0)) | ((k % 3 > 1) & at(i, 59, 79)), 0).otherwise(65535))
+    d = _read(spark, sf_dir, "part").select(k, images.measures(dots, F.lit(60)).alias("m"))
+    return d.select("p_partkey", "m.top", "m.bottom", "m.left", "m.right", images.cropped_percent(F.col("m.right") - F.col("m.left"), F.col("m.bottom") - F.col("m.top"), F.lit(4800)).alias("cropped"))
+
+
 def _events(spark, sf_dir) -> DataFrame:
     where, name = f"{sf_dir}/events.parquet".rsplit("/", 1)
     schema = _read(spark, sf_dir, "events").schema
@@ -91,12 +112,28 @@ def _events(spark, sf_dir) -> DataFrame:
 
 
 def _place(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
-
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp()
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def st7_parse_once(spark, sf_dir):
+    """Users as documents that are ready to parse when a first event of type purchase comes, whatever comes later."""
+    place = _place(spark)
+    ready = queue.parse_once(_events(spark, sf_dir).select(F.col("user_id").alias("id"), (F.col("event_id") % 3 == 0).alias("ready")))
+    return queue.drain(ready, f"{place}/out", f"{place}/state").select("id")
+
+
+def st6_page_stream(spark, sf_dir):
+    """Events as read pages, some read again: each is stored once."""
+    place = _place(spark)
+    pages = _events(spark, sf_dir).select(F.col("user_id").alias("document_id"), (F.col("event_id") % 40).alias("page_number"))
+    return queue.drain(queue.pages_once(pages), f"{place}/out", f"{place}/state").select("document_id", "page_number")
+
+
 def st4_register_stream(spark, sf_dir):
     place = _place(spark)
     stream = queue.register_once(_events(spark, sf_dir).select(F.concat_ws("/", "user_id", "event_type").alias("download_url")))
@@ -110,7 +147,13 @@ def st5_status_machine(spark, sf_dir):
     return queue.drain(stream, f"{place}/out", f"{place}/state", "update").select("id", "status", "attempts", "seen")
 
 
-QUERIES = {f.__name__: f for f in (f34_degenerate, w08_line_runs, m06_text_source, w15_tiers, w16_accepted_page, s11_form_feed, f27_answers, s03_listing, i01_measures, i02_blur, st4_register_stream, st5_status_machine)}
+def _text_pages_sql() -> str:
+    from . import scalars
+
+    return scalars._PAGES_SQL
+
+
+QUERIES = {f.__name__: f for f in (f34_degenerate, w08_line_runs, m06_text_source, w15_tiers, w16_accepted_page, s11_form_feed, f27_answers, s03_listing, i01_measures, i02_blur, i02_large_pages, i03_crop, st4_register_stream, st5_status_machine, st6_page_stream, st7_parse_once)}
 _PIXELS = "list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 32767) AS BIGINT))"
 ORACLE_SQL = {
     "f34_degenerate": """WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM t WHERE t <> '' GROUP BY 1, 2),
@@ -129,8 +172,25 @@ ORACLE_SQL = {
     "f27_answers": "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CAST(props ->> '$.k' AS BIGINT) END AS k, CAST(least(floor(event_id * 1.5) + 256, 4096) AS BIGINT) AS cap FROM events",
     "s03_listing": "SELECT regexp_extract(url, '^([^?#]*)', 1) AS download_url, CASE WHEN page_id % 3 > 0 THEN 2019 END AS sort_tahun, nullif(CAST(page_id AS INT), 0) AS sort_nomor FROM pages WHERE page_id % 5 > 0",
     "i01_measures": f"SELECT vec_id, round(len(list_filter(p, lambda x: x < 40000)) / 64, 6) AS ink_ratio, CAST(0 AS INT) AS top, CAST(8 AS INT) AS bottom, CAST(0 AS INT) AS left, CAST(8 AS INT) AS right, len(list_filter(p, lambda x: x < 40000)) / 64 < 0.0004 AS blank FROM (SELECT vec_id, {_PIXELS} AS p FROM embeddings)",
+    "i02_large_pages": """WITH g AS (SELECT o_orderkey, x, y, (y * 7 + x * 13 + o_orderkey % 97) % 101 * 600 AS v FROM orders, (SELECT unnest(range(0, 640)) AS x), (SELECT unnest(range(0, 700)) AS y) WHERE o_orderkey % 500 = 0),
+      i AS (SELECT o_orderkey, round(avg((v < 40000)::INT), 6) AS ink_ratio FROM g WHERE x % 3 = 0 AND y % 3 = 0 GROUP BY 1), e AS (SELECT * FROM g WHERE x % 2 = 0 AND y % 2 = 0),
+      l AS (SELECT o_orderkey, x, y, 4 * v - lag(v) OVER r - lead(v) OVER r AS h, v, lag(v) OVER c + lead(v) OVER c AS w FROM e WINDOW r AS (PARTITION BY o_orderkey, y ORDER BY x), c AS (PARTITION BY o_orderkey, x ORDER BY y)),
+      b AS (SELECT o_orderkey, var_pop(h - w) AS b FROM l GROUP BY 1) SELECT o_orderkey, ink_ratio, CAST(round(b / 1000) AS BIGINT) AS blur, CASE WHEN b >= 5e8 THEN 100 WHEN b >= 5e7 THEN 150 ELSE 200 END AS dpi FROM b JOIN i USING (o_orderkey)""",
+    "i03_crop": """WITH d AS (SELECT p_partkey AS k, x, y FROM part, (SELECT unnest(range(0, 60)) AS x), (SELECT unnest(range(0, 80)) AS y)
+        WHERE (p_partkey % 11 > 0 AND x BETWEEN 15 + p_partkey % 7 AND 25 + p_partkey % 23 AND y BETWEEN 20 AND 21 + p_partkey % 40) OR (p_partkey % 3 > 0 AND x = 0 AND y = 0) OR (p_partkey % 3 > 1 AND x = 59 AND y = 79)),
+      rows_ AS (SELECT k, y, count(*) AS n FROM d GROUP BY 1, 2), cols_ AS (SELECT k, x, count(*) AS n FROM d GROUP BY 1, 2), total_ AS (SELECT k, count(*) AS n FROM d GROUP BY 1),
+      boxes AS (SELECT least_, r.k, r.a, r.b, c.a AS c, c.b AS d FROM (SELECT unnest([2, 1]) AS least_) z,
+        LATERAL (SELECT k, min(y) AS a, max(y) AS b FROM rows_ WHERE n >= least_ GROUP BY k) r, LATERAL (SELECT k, min(x) AS a, max(x) AS b FROM cols_ WHERE n >= least_ GROUP BY k) c WHERE r.k = c.k),
+      held AS (SELECT b.*, least((SELECT sum(n) FROM rows_ w WHERE w.k = b.k AND y BETWEEN b.a AND b.b), (SELECT sum(n) FROM cols_ w WHERE w.k = b.k AND x BETWEEN b.c AND b.d)) >= 0.995 * t.n AS good FROM boxes b JOIN total_ t USING (k)),
+      chosen AS (SELECT k, a, b, c, d, row_number() OVER (PARTITION BY k ORDER BY least_ DESC) AS r FROM held h WHERE (least_ = 2 AND good) OR (least_ = 1 AND EXISTS (SELECT 1 FROM held o WHERE o.k = h.k AND o.least_ = 2))),
+      padded AS (SELECT k, greatest(0, a - 12) AS t, least(80, b + 13) AS u, greatest(0, c - 12) AS l, least(60, d + 13) AS r FROM chosen WHERE r = 1),
+      kept AS (SELECT * FROM padded WHERE r - l >= 16 AND u - t >= 8 AND (u - t) * (r - l) / 4800 <= 0.98)
+      SELECT p_partkey, CAST(coalesce(t, 0) AS INT) AS top, CAST(coalesce(u, 80) AS INT) AS bottom, CAST(coalesce(l, 0) AS INT) AS left, CAST(coalesce(r, 60) AS INT) AS right, 100 - coalesce((u - t) * (r - l), 4800) * 100 / 4800 AS cropped FROM part LEFT JOIN kept ON k = p_partkey""",
+    "st6_page_stream": "SELECT DISTINCT user_id AS document_id, event_id % 40 AS page_number FROM events",
+    "st7_parse_once": "SELECT DISTINCT user_id AS id FROM events WHERE event_id % 3 = 0",
     "st4_register_stream": "SELECT DISTINCT user_id || '/' || event_type AS download_url FROM events",
-    "m06_text_source": "SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND length(t) >= 21 THEN 'pdftotext' WHEN doc_id % 2 = 0 THEN 'mupdf' ELSE 'ocr' END AS text_source FROM (SELECT doc_id, substr(text, 1, 300) || ' 12' AS t FROM documents WHERE lang = 'en')",
+    "m06_text_source": f"""WITH {_text_pages_sql()} SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND min(strlen(trim(regexp_replace(a || ' x 12', '\\s+', ' ', 'g')))) >= 20 THEN 'pdftotext' WHEN doc_id % 2 = 0 THEN 'mupdf' ELSE 'ocr' END AS text_source
+      FROM text_pages WHERE page <= 2 GROUP BY doc_id""",
     "w08_line_runs": """WITH l AS (SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS k, unnest(string_split(text, chr(10))) AS line FROM documents),
       t AS (SELECT doc_id, k, line, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS ts FROM l), u AS (SELECT doc_id, k, unnest(ts) AS w, unnest(range(0, len(ts))) AS i FROM t),
       v AS (SELECT *, sum(CASE WHEN w IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, k ORDER BY i) AS island FROM (SELECT *, lag(w) OVER (PARTITION BY doc_id, k ORDER BY i) AS p FROM u)),

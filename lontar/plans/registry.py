@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.operators import records
+from lontar.operators import records, store
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -103,17 +103,13 @@ def v02_open_flags(spark, sf_dir):
 
 def j01_priority(spark, sf_dir):
     documents, sources = _queue(spark, sf_dir)
-    joined = documents.join(F.broadcast(sources), documents.first_source_id == sources.source_id, "left")
+    joined = documents.join(sources, documents.first_source_id == sources.source_id, "left")
     return joined.groupBy(F.coalesce("priority", F.lit(records.NO_PRIORITY)).alias("priority")).agg(F.count("*").alias("documents"), F.sum("total_pages").alias("pages"))
 
 
 def a08_audit(spark, sf_dir):
     """Counts of tables, all with all."""
-    out = None
-    for table in ("customer", "documents", "orders", "pages"):
-        one = _read(spark, sf_dir, table).agg(F.count("*").alias("rows")).select(F.lit(table).alias("name"), "rows")
-        out = one if out is None else out.unionAll(one)
-    return out.orderBy("name")
+    return store.audit({table: _read(spark, sf_dir, table) for table in ("customer", "documents", "orders", "pages")})
 
 
 QUERIES = {f.__name__: f for f in (o02_claim_order, o01_claim_top, k01_register_once, k02_upsert_page, k03_fill, k04_content_duplicates, k05_identity_duplicates, k06_attempts, k08_requeue, k18_reparse, a01_review_queue, v02_open_flags, j01_priority, a08_audit)}

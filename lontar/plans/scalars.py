@@ -25,7 +25,7 @@ def f36_source_code(spark, sf_dir):
 
 
 def f37_sanitize(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", urls.sanitize(F.substring("text", 1, 200)).alias("name"))
+    return _read(spark, sf_dir, "documents").select("doc_id", urls.sanitize(F.col("text")).alias("name"))
 
 
 def s08_pdf_link(spark, sf_dir):
@@ -88,12 +88,21 @@ def m05_decide(spark, sf_dir):
     return d.select("o_orderkey", identity.decide(F.col("s") == "P", F.when(k % 5 > 0, F.col("s") == "O"), F.col("g") == 1, k % 2 == 0, F.col("g") > 3).alias("decision"))
 
 
+#: Letters of a page into which whole texts of documents are cut.
+PAGE_LETTERS = 1000
+
+
+def _text_pages(spark, sf_dir) -> DataFrame:
+    """All texts of documents, cut into pages, letters beyond ASCII as question marks."""
+    d = _read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PAGE_LETTERS).cast("int"))).alias("k"), "text")
+    return d.select("doc_id", (F.col("k") + 1).alias("page"), F.regexp_replace(F.substring(F.col("text"), F.col("k") * PAGE_LETTERS + 1, F.lit(PAGE_LETTERS)), r"[^\x00-\x7f]", "?").alias("a"))
+
+
 def f30_compare(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 400).alias("a"))
-    b = F.regexp_replace(F.regexp_replace("a", "th", "TH "), "([0-9])", "$1")
-    d = d.withColumn("b", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("a", "[0-9]", "7")).when(F.col("doc_id") % 3 == 1, b).otherwise(F.reverse("a")))
-    d = d.select("doc_id", text.compare(F.regexp_replace("a", r"[^\x00-\x7f]", "?"), F.regexp_replace("b", r"[^\x00-\x7f]", "?")).alias("c"))
-    return d.select("doc_id", F.round("c.similarity", 6).alias("similarity"), "c.digits_equal", "c.trusted")
+    """Every page of every document against a version of it with other digits, more letters or in reverse."""
+    b = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("a", "[0-9]", "7")).when(F.col("doc_id") % 3 == 1, F.regexp_replace("a", "th", "TH ")).otherwise(F.reverse("a"))
+    d = _text_pages(spark, sf_dir).withColumn("b", b).select("doc_id", "page", text.compare(F.col("a"), F.col("b")).alias("c"))
+    return d.select("doc_id", "page", F.round("c.similarity", 6).alias("similarity"), "c.digits_equal", "c.trusted")
 
 
 def w09_token_runs(spark, sf_dir):
@@ -112,9 +121,23 @@ def p01_ranges(spark, sf_dir):
 
 
 def f46_fulltext(spark, sf_dir):
-    """Inverted index: how many documents and times each token of letters and digits has."""
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("token")).where("token <> ''")
-    return d.groupBy("token", "doc_id").count().groupBy("token").agg(F.count("*").alias("documents"), F.sum("count").alias("times"))
+    """How many documents and times each token has."""
+    return text.token_counts(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def f19_area_of_kind(spark, sf_dir):
+    """Every kind, with names of areas after it."""
+    kinds, names = (F.array(*[F.lit(x) for x in some]) for some in (fixed.KINDS, ("REPUBLIK INDONESIA", "ACEH", "ACEH BARAT", "BANDA ACEH", "PIDIE ", "", "KOTA SABANG", "LANGSA", "KABUPATEN BIREUEN", "JAWA  TIMUR")))
+    k = F.col("o_orderkey")
+    d = _read(spark, sf_dir, "orders").select(k, F.element_at(kinds, (k % len(fixed.KINDS) + 1).cast("int")).alias("jenis"), F.element_at(names, (F.floor(k / 32) % 10 + 1).cast("int")).alias("instansi"))
+    return d.select("o_orderkey", "jenis", "instansi", identity.area_of_kind(F.col("jenis"), F.col("instansi")).alias("wilayah"))
+
+
+def p08_anchors(spark, sf_dir):
+    """What stands on each page of the corpus, and whether it looks like one of a legal document."""
+    lines = corpus.lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"))
+    t = F.col("t")
+    return lines.select("doc_id", "page", (text.has_recital(t) | text.has_dictum(t)).alias("recital"), text.has_explanation(t).alias("explanation"), text.has_appendix(t).alias("appendix"), text.looks_legal(t).alias("looks_legal"))
 
 
 _URL = stripped("{0}")
@@ -170,15 +193,28 @@ SELECT doc_id, {_PLACE(identity.SIGNED, 1)} AS ditetapkan_di, {_PLACE(identity.S
   '' AS diundangkan_di, '' AS diundangkan_tanggal, '' AS diundangkan_oleh, '' AS diundangkan_nama, regexp_matches(page, '(?i)ditetapkan\\s+di') AS marked,
   {_PLACE(identity.SIGNED, 1)} = '' OR {_PLACE(identity.SIGNED, 2)} = '' OR coalesce(name, '') = '' AS needs_model FROM n"""
 
-QUERIES = {f.__name__: f for f in (f35_normalize_url, f36_source_code, f37_sanitize, s08_pdf_link, s09_sniff, s06_retry, f39_file_name, f17_numbers, f14_area, f25_citation_key, f01_fix_line, f20_identity, f21_signing, m05_decide, f30_compare, w09_token_runs, p01_ranges, f46_fulltext)}
+_PAGES_SQL = f"""text_pages AS (SELECT doc_id, CAST(k + 1 AS INT) AS page, regexp_replace(substr(text, k * {PAGE_LETTERS} + 1, {PAGE_LETTERS}), '[^\\x00-\\x7f]', '?', 'g') AS a
+  FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // {PAGE_LETTERS} + 1)) AS k FROM documents WHERE text <> ''))"""
+
+QUERIES = {f.__name__: f for f in (f35_normalize_url, f36_source_code, f37_sanitize, s08_pdf_link, s09_sniff, s06_retry, f39_file_name, f17_numbers, f14_area, f25_citation_key, f01_fix_line, f20_identity, f19_area_of_kind, p08_anchors, f21_signing, m05_decide, f30_compare, w09_token_runs, p01_ranges, f46_fulltext)}
+_AREA_NAMES = "['REPUBLIK INDONESIA', 'ACEH', 'ACEH BARAT', 'BANDA ACEH', 'PIDIE', '', 'KOTA SABANG', 'LANGSA', 'KABUPATEN BIREUEN', 'JAWA TIMUR']"
+_AREA_WRITTEN = _AREA_NAMES.replace("'PIDIE'", "'PIDIE '").replace("'JAWA TIMUR'", "'JAWA  TIMUR'")
 ORACLE_SQL = {
+    "f19_area_of_kind": f"""WITH d AS (SELECT o_orderkey, [{", ".join(quoted(k) for k in fixed.KINDS)}][o_orderkey % {len(fixed.KINDS)} + 1] AS jenis, {_AREA_WRITTEN}[o_orderkey // 32 % 10 + 1] AS instansi, {_AREA_NAMES}[o_orderkey // 32 % 10 + 1] AS n FROM orders)
+      SELECT o_orderkey, jenis, instansi, CASE WHEN jenis IN ('UNDANG-UNDANG', 'PERATURAN PEMERINTAH', 'PERATURAN PEMERINTAH PENGGANTI UNDANG-UNDANG') OR jenis LIKE '%PRESIDEN' OR jenis LIKE '%MENTERI' THEN 'NASIONAL'
+        WHEN jenis LIKE '%DPRA' THEN 'PEMERINTAH ACEH' WHEN jenis LIKE '%DPRK' THEN CASE n WHEN 'KOTA SABANG' THEN n WHEN 'KABUPATEN BIREUEN' THEN n WHEN 'ACEH BARAT' THEN 'KABUPATEN ACEH BARAT' WHEN 'PIDIE' THEN 'KABUPATEN PIDIE' WHEN 'BANDA ACEH' THEN 'KOTA BANDA ACEH' WHEN 'LANGSA' THEN 'KOTA LANGSA' ELSE 'KABUPATEN ' || n END
+        WHEN jenis LIKE '%BUPATI' THEN 'KABUPATEN ' || n WHEN jenis LIKE '%WALI KOTA' THEN 'KOTA ' || n
+        WHEN jenis LIKE '%GUBERNUR' THEN CASE WHEN n IN ('ACEH', 'ACEH BARAT', 'BANDA ACEH') THEN 'PEMERINTAH ACEH' WHEN n = '' THEN '' ELSE 'PROVINSI ' || n END
+        WHEN n IN ('KOTA SABANG', 'KABUPATEN BIREUEN', '') THEN n WHEN n IN ('ACEH', 'ACEH BARAT', 'BANDA ACEH') THEN 'PEMERINTAH ACEH' ELSE 'PROVINSI ' || n END AS wilayah FROM d""",
+    "p08_anchors": f"""WITH {corpus.sql()}, p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS t FROM corpus GROUP BY 1, 2), r AS (SELECT *, {" OR ".join(oracle.has("t", x) for x in fixed.RECITALS)} OR regexp_matches(t, '(?im)^(kesatu|pertama|kedua|ketiga|keempat)\\s*:') AS recital FROM p)
+      SELECT doc_id, page, recital, {oracle.has("t", fixed.PENJELASAN)} AS explanation, {oracle.has("t", fixed.LAMPIRAN)} AS appendix, recital OR {oracle.has("t", fixed.PASAL_ANYWHERE)} OR {oracle.has("t", fixed.BAB_ANYWHERE)} OR {oracle.has("t", fixed.TITLE_ANYWHERE)} AS looks_legal FROM r""",
     "m05_decide": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'accepted' WHEN NOT (o_orderkey % 5 > 0 AND o_orderstatus = 'O') AND NOT starts_with(o_orderpriority, '1') THEN CASE WHEN o_orderkey % 2 = 0 THEN 'next_page' ELSE 'rejected' END
       WHEN o_orderpriority >= '4' OR starts_with(o_orderpriority, '1') THEN 'accepted_by_model' ELSE 'rejected' END AS decision FROM orders""",
     "f20_identity": _IDENTITY,
     "f21_signing": _SIGNING.replace("\\'\\'", "''"),
     "f35_normalize_url": f"SELECT page_id, {_normal('url')} AS url, {_normal('dirty')} AS dirty_url FROM (SELECT page_id, url, regexp_replace(url, '^http', 'HTTP') || CASE WHEN contains(url, '?') THEN '&utm_source=a&b=1#top' ELSE '?utm_source=a&b=1#top' END AS dirty FROM pages)",
     "f36_source_code": f"SELECT page_id, {_code('url')} AS code, {_code('u')} AS port_code FROM (SELECT page_id, url, 'https://www.jdih.' || regexp_extract(url, '^https?://([^/:]*)', 1) || ':8080/x' AS u FROM pages)",
-    "f37_sanitize": f"SELECT doc_id, {_sane('substr(text, 1, 200)')} AS name FROM documents",
+    "f37_sanitize": f"SELECT doc_id, {_sane('text')} AS name FROM documents",
     "s08_pdf_link": f"SELECT page_id, CASE WHEN l = '' THEN '' WHEN regexp_matches(l, '^https?://') THEN l WHEN starts_with(l, '/') THEN o || l ELSE o || '/' || l END AS link FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS o, regexp_extract(regexp_replace(html, 'href=\"(/[^\"]*)\"', 'href=\"\\1.pdf?v=1\"', 'g'), {quoted(fixed.HREF_PDF)}, 1) AS l FROM pages)",
     "s09_sniff": "SELECT page_id, CASE WHEN starts_with(html, '%PDF') THEN 'pdf' WHEN starts_with(lower(ltrim(substr(html, 1, 512))), '<!doctype html') OR starts_with(lower(ltrim(substr(html, 1, 512))), '<html') THEN 'html' ELSE 'other' END AS kind, 'pdf' AS pdf_kind FROM pages",
     "s06_retry": "SELECT event_id, status, attempt, CASE WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN (status >= 500 OR status = 429) AND attempt <= 3 THEN 'retry' ELSE 'fail' END AS action FROM (SELECT event_id, 200 + event_id % 4 * 100 + CASE WHEN event_id % 7 = 0 THEN 29 ELSE 0 END AS status, event_id % 5 AS attempt FROM events)",
@@ -190,10 +226,9 @@ ORACLE_SQL = {
       FROM (SELECT o_orderkey, {_TIDY(f"{_AREA_FORMS}[o_orderkey % 7 + 1] || regexp_replace({_AREA_LIST}[o_custkey % 25 + 1], '^(KABUPATEN|KOTA) ', '') || ' ,'")} AS s FROM orders)""",
     "f25_citation_key": f"SELECT p_partkey, replace(regexp_replace(lower({stripped('p_type')}), '\\s+', '_', 'g'), '-', '_') || '|' || p_size || '|2001' AS key FROM part",
     "f01_fix_line": f"WITH l AS (SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS place, unnest(string_split(text, chr(10))) AS line FROM documents), r AS ({oracle.fix_line('line', 'l', 'doc_id, place')}) SELECT doc_id, place AS at, text AS line FROM ({oracle.fix_anchor('r', 'doc_id, place')})",
-    "f30_compare": f"""SELECT doc_id, round(CASE WHEN greatest(strlen(x), strlen(y)) = 0 THEN 1.0 ELSE 1 - levenshtein(x, y) / greatest(strlen(x), strlen(y)) END, 6) AS similarity, d AS digits_equal,
-      CASE WHEN greatest(strlen(x), strlen(y)) = 0 THEN 1.0 ELSE 1 - levenshtein(x, y) / greatest(strlen(x), strlen(y)) END >= 0.95 AND d AS trusted
-      FROM (SELECT doc_id, x, y, regexp_extract_all(x, '(\\d+)', 1) = regexp_extract_all(y, '(\\d+)', 1) AS d FROM (SELECT doc_id, {_FLAT_TEXT(_COMPARE_TEXT("a"))} AS x, {_FLAT_TEXT(_COMPARE_TEXT("b"))} AS y
-      FROM (SELECT doc_id, a, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(a, '[0-9]', '7', 'g') WHEN doc_id % 3 = 1 THEN regexp_replace(a, 'th', 'TH ', 'g') ELSE reverse(a) END AS b FROM (SELECT doc_id, substr(text, 1, 400) AS a FROM documents WHERE lang = 'en'))))""",
+    "f30_compare": f"""WITH {_PAGES_SQL}, c AS (SELECT doc_id, page, {_FLAT_TEXT("a")} AS x, {_FLAT_TEXT("b")} AS y FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(a, '[0-9]', '7', 'g') WHEN doc_id % 3 = 1 THEN regexp_replace(a, 'th', 'TH ', 'g') ELSE reverse(a) END AS b FROM text_pages)),
+      s AS (SELECT doc_id, page, CASE WHEN greatest(strlen(x), strlen(y)) = 0 THEN 1.0 ELSE 1 - levenshtein(x, y) / greatest(strlen(x), strlen(y)) END AS s, regexp_extract_all(x, '(\\d+)', 1) = regexp_extract_all(y, '(\\d+)', 1) AS d FROM c)
+      SELECT doc_id, page, round(s, 6) AS similarity, d AS digits_equal, s >= 0.95 AND d AS trusted FROM s""",
     "w09_token_runs": """WITH l AS (SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS place, regexp_replace(unnest(string_split(text, chr(10))), '^(\\S+) (\\S+) ', '\\1 \\2 \\2 \\2 \\2 \\2 \\2 \\2 ') AS line FROM documents),
       t AS (SELECT doc_id, place, line, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS ts FROM l), u AS (SELECT doc_id, place, unnest(ts) AS w, unnest(range(0, len(ts))) AS k FROM t),
       v AS (SELECT *, sum(CASE WHEN w IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, place ORDER BY k) AS island FROM (SELECT *, lag(w) OVER (PARTITION BY doc_id, place ORDER BY k) AS p FROM u)),

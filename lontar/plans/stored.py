@@ -232,7 +232,7 @@ def s07_fetch(spark, sf_dir):
 def _fails_on_threes(value: str, page: int) -> str:
     if page % 3 == 0:
         raise ValueError("unreadable")
-    return value.upper()
+    return "baca " + value
 
 
 def s12_readable_pages(spark, sf_dir):
@@ -394,7 +394,7 @@ ORACLE_SQL = {
     "s07_fetch": """WITH p AS (SELECT page_id AS k, CASE WHEN page_id % 7 = 0 THEN ' ' ELSE 'https://a.id/p/' || page_id END AS url FROM pages), q AS (SELECT k, url, k % 6 AS m, url = ' ' AS none FROM p)
       SELECT url, CASE m WHEN 0 THEN 'pdf' WHEN 1 THEN 'not_pdf' WHEN 2 THEN 'no_link' WHEN 4 THEN 'via_link' ELSE 'link_not_pdf' END AS outcome, CASE WHEN m > 2 THEN 'https://a.id/f' || k || '.pdf' ELSE '' END AS link FROM q WHERE NOT none
       UNION ALL SELECT DISTINCT ' ', 'no_url', CASE WHEN m > 2 THEN '/f' || k || '.pdf' ELSE '' END FROM q WHERE none""",
-    "s12_readable_pages": f"{_P} SELECT document_id, page_number, CASE WHEN page_number % 3 = 0 THEN '' ELSE upper(ocr_text) END AS text FROM pages_",
+    "s12_readable_pages": f"{_P} SELECT document_id, page_number, CASE WHEN page_number % 3 = 0 THEN '' ELSE 'baca ' || ocr_text END AS text FROM pages_",
     "i05_recognise": """SELECT p_partkey AS document_id, CASE WHEN b OR n % 8 = 0 THEN '' ELSE left(p_name, 12) END AS ocr_text, b AS is_empty, NOT b AND n > 12 AS is_truncated, CASE WHEN p_partkey % 2 = 0 THEN 100 - 30 * (p_partkey % 40) * 100 / 1200 ELSE 0.0 END::DOUBLE AS cropped_pct,
       CAST(CASE WHEN b THEN 1 WHEN n % 4 > 0 THEN (n > 12)::INT ELSE 2 * (n > 12)::INT + (n % 8 = 0)::INT END AS INT) AS n_notes FROM (SELECT *, p_partkey % 10 < 4 AS b, length(p_name) AS n FROM part)""",
     "w17_resolution": "SELECT user_id AS document_id, event_id AS page_number, CASE WHEN v >= 50 THEN 100 WHEN v >= 5 THEN 150 ELSE 200 END AS dpi FROM (SELECT *, first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS v FROM events)",

@@ -20,6 +20,16 @@ def register_once(stream: DataFrame, key: str = "download_url") -> DataFrame:
     return stream.where(F.col(key).isNotNull()).dropDuplicates([key])
 
 
+def pages_once(stream: DataFrame) -> DataFrame:
+    """First row of each page (document_id, page_number) over the whole stream: pages read again are not stored again."""
+    return stream.where("document_id is not null and page_number is not null").dropDuplicates(["document_id", "page_number"])
+
+
+def parse_once(stream: DataFrame) -> DataFrame:
+    """(id) of each document when it is first ready (id, ready): later pages and edits do not parse it again."""
+    return stream.where("ready and id is not null").select("id").dropDuplicates(["id"])
+
+
 def advance(status: str, attempts: int, event: str) -> tuple[str, int]:
     """State and attempts after an event: ok moves on, fail goes back and counts, an interruption goes back uncounted."""
     if event == "ok":
@@ -33,11 +43,11 @@ def advance(status: str, attempts: int, event: str) -> tuple[str, int]:
 
 def status_machine(stream: DataFrame) -> DataFrame:
     """(id, status, attempts, seen) after each batch for every document with events (id, at, event), taken in order of
-    at within a batch."""
+    at, then event, within a batch."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempts, seen = state.get if state.exists else ("pending", 0, 0)
-        for event in pd.concat(list(parts)).sort_values("at")["event"]:
+        for event in pd.concat(list(parts)).sort_values(["at", "event"])["event"]:
             status, attempts = advance(status, attempts, event)
             seen += 1
         state.update((status, attempts, seen))
@@ -46,12 +56,26 @@ def status_machine(stream: DataFrame) -> DataFrame:
     return stream.groupBy("id").applyInPandasWithState(step, "id long, status string, attempts int, seen long", "status string, attempts int, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
+#: How long the loops of registration, recognition and parsing wait between looks.
+POLL = {"register": "2 minutes", "recognise": "30 seconds", "parse": "15 seconds"}
+
+
+def _write(stream: DataFrame, path: str, checkpoint: str, mode: str):
+    """A writer that puts each batch into a folder of its own, so a batch that runs again replaces what it wrote."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode(mode)
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and give what was written."""
-    spark = stream.sparkSession
+    _write(stream, path, checkpoint, mode).trigger(availableNow=True).start().awaitTermination()
+    # folders that begin with an underscore are read only as partitions
+    return stream.sparkSession.read.option("basePath", path).schema(stream.schema).parquet(f"{path}/_batch=*")
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+def poll(stream: DataFrame, path: str, checkpoint: str, loop: str, mode: str = "append"):
+    """Keep a stream running at the pace of a loop of POLL; stop() of what it gives ends it after the batch at hand."""
+    return _write(stream, path, checkpoint, mode).trigger(processingTime=POLL[loop]).start()
