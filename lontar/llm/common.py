@@ -143,18 +143,18 @@ def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
 HEAVY_ROWS, HEAVY_KEYS = 64, 4096
 
 
-def _apart(rows: DataFrame, lookup: DataFrame, key: str, n: str, limit: int) -> DataFrame:
+def _apart(rows: DataFrame, lookup: DataFrame, key: str, n: str, limit: int, how: str = "inner") -> DataFrame:
     heavy, light = (lookup.where(w).drop(n) for w in (F.col(n) > limit, F.col(n) <= limit))
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key, how))
 
 
-def join_counted(rows: DataFrame, lookup: DataFrame, key: str, n: str) -> DataFrame:
-    """rows joined with lookup, which has one row a key and in column n how many of rows have it. Rows of crowded keys
-    stay where they are: total / limit rows of lookup at most are broadcast for them."""
+def join_counted(rows: DataFrame, lookup: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with lookup, which has one row a key and in column n how many of rows have it. Rows of
+    crowded keys stay where they are: total / limit rows of lookup at most are broadcast for them."""
     total, most = lookup.agg(F.sum(n), F.max(n)).first()
     limit = max(HEAVY_ROWS, (total or 0) // HEAVY_KEYS)
-    return rows.join(lookup.drop(n), key) if (most or 0) <= limit else _apart(rows, lookup, key, n, limit)
+    return rows.join(lookup.drop(n), key, how) if (most or 0) <= limit else _apart(rows, lookup, key, n, limit, how)
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
