@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-_SPACE = r"[\t\n\x0B\f\r \x85 ]"
+#: White space, that of Unicode included.
+_SPACE = "\t\n\x0b\f\r \x85\xa0"
 
 
 def let(value: Column, body) -> Column:
@@ -17,7 +18,12 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """White space off both ends, Unicode spaces included."""
-    return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACE))
+
+
+def starts(c: Column, letters: str) -> Column:
+    """Whether a text begins with one of these letters: told before a pattern is tried that could only match there."""
+    return F.substring(c, 1, 1).isin(*letters)
 
 
 def squeeze(c: Column) -> Column:
@@ -49,10 +55,14 @@ def fix_line(c: Column) -> Column:
         )
 
     def line(t: Column) -> Column:
-        plain = strip(F.regexp_replace(F.regexp_replace(t, fixed.HEADING, ""), fixed.BOLD, "$2"))
-        return F.when(t.rlike(fixed.CODE_FENCE) | t.rlike(fixed.TABLE_RULE), "").otherwise(let(plain, verse))
+        # most lines have nothing to repair, which is told without a pattern
+        flat = F.when(t.startswith("#"), F.regexp_replace(t, fixed.HEADING, "")).otherwise(t)
+        plain = strip(F.when(t.contains("**") | t.contains("__"), F.regexp_replace(flat, fixed.BOLD, "$2")).otherwise(flat))
+        empty = (t.startswith("```") & t.rlike(fixed.CODE_FENCE)) | (t.contains("--") & t.rlike(fixed.TABLE_RULE))
+        return F.when(empty, "").otherwise(F.when(starts(plain, "("), let(plain, verse)).otherwise(plain))
 
-    return let(F.regexp_replace(strip(c), r"[ \t]{2,}", " "), line)
+    spaced = strip(c)
+    return let(F.when(spaced.contains("  ") | spaced.contains("\t"), F.regexp_replace(spaced, r"[ \t]{2,}", " ")).otherwise(spaced), line)
 
 
 def fix_anchor(c: Column) -> Column:
@@ -74,6 +84,10 @@ def ordinal(c: Column) -> Column:
     return F.coalesce(numbers[F.lower(F.regexp_extract(strip(c), fixed.ordinal_pattern(), 1))], F.lit(""))
 
 
+#: Letters that ordinal words begin with.
+ORDINAL_LETTERS = "".join(sorted({x for w in fixed.ORDINALS for x in (w[0], w[0].upper())}))
+
+
 def structural(c: Column) -> Column:
     """struct(kind, label, title, text) of a stripped line; kind none if it is not structural."""
     none = F.lit("")
@@ -88,14 +102,14 @@ def structural(c: Column) -> Column:
     bagian = strip(part(fixed.BAGIAN, 1))
     head = part(fixed.DIKTUM, 1)
     return (
-        F.when(c.rlike(fixed.BAB), made("bab", F.upper(strip(part(fixed.BAB, 1))), strip(part(fixed.BAB, 2))))
-        .when(c.rlike(fixed.PARAGRAF), made("paragraf", part(fixed.PARAGRAF, 1), strip(part(fixed.PARAGRAF, 2))))
-        .when(c.rlike(fixed.PASAL), made("pasal", F.upper(close(part(fixed.PASAL, 1)))))
-        .when(c.rlike(fixed.AYAT), made("ayat", F.lower(close(part(fixed.AYAT, 1))), text=strip(part(fixed.AYAT, 2))))
-        .when(c.rlike(fixed.BAGIAN) & (ordinal(bagian) != ""), made("bagian", ordinal(bagian), strip(F.regexp_replace(bagian, fixed.ordinal_pattern(), ""))))
-        .when(c.rlike(fixed.HURUF), made("huruf", F.lower(part(fixed.HURUF, 1)), text=strip(part(fixed.HURUF, 2))))
-        .when(c.rlike(fixed.ANGKA), made("angka", part(fixed.ANGKA, 1), text=strip(part(fixed.ANGKA, 2))))
-        .when(c.rlike(fixed.DIKTUM) & (ordinal(head) != ""), made("diktum", F.upper(strip(head)), text=strip(part(fixed.DIKTUM, 2))))
+        F.when(starts(c, "B") & c.rlike(fixed.BAB), made("bab", F.upper(strip(part(fixed.BAB, 1))), strip(part(fixed.BAB, 2))))
+        .when(starts(c, "Pp") & c.rlike(fixed.PARAGRAF), made("paragraf", part(fixed.PARAGRAF, 1), strip(part(fixed.PARAGRAF, 2))))
+        .when(starts(c, "Pp") & c.rlike(fixed.PASAL), made("pasal", F.upper(close(part(fixed.PASAL, 1)))))
+        .when(starts(c, "(") & c.rlike(fixed.AYAT), made("ayat", F.lower(close(part(fixed.AYAT, 1))), text=strip(part(fixed.AYAT, 2))))
+        .when(starts(c, "Bb") & c.rlike(fixed.BAGIAN) & (ordinal(bagian) != ""), made("bagian", ordinal(bagian), strip(F.regexp_replace(bagian, fixed.ordinal_pattern(), ""))))
+        .when(F.substring(c, 2, 2).contains(".") & c.rlike(fixed.HURUF), made("huruf", F.lower(part(fixed.HURUF, 1)), text=strip(part(fixed.HURUF, 2))))
+        .when(starts(c, "0123456789") & c.rlike(fixed.ANGKA), made("angka", part(fixed.ANGKA, 1), text=strip(part(fixed.ANGKA, 2))))
+        .when(starts(c, ORDINAL_LETTERS) & c.rlike(fixed.DIKTUM) & (ordinal(head) != ""), made("diktum", F.upper(strip(head)), text=strip(part(fixed.DIKTUM, 2))))
         .otherwise(made("none", none))
     )
 
@@ -103,16 +117,18 @@ def structural(c: Column) -> Column:
 def looks_structural(c: Column, kind: Column) -> Column:
     """Whether boilerplate and boundary rules leave a line alone."""
     anchors = [fixed.MENIMBANG, fixed.MENGINGAT, fixed.MEMUTUSKAN, fixed.PENJELASAN]
-    found = kind != "none"
-    for a in anchors:
+    found = c.rlike(anchors[0])
+    for a in anchors[1:]:
         found = found | c.rlike(a)
-    return found
+    return (kind != "none") | (starts(c, "MmPp") & found)
 
 
 def furniture(c: Column, structural_line: Column) -> Column:
-    """Page numbers, page labels, rules, site marks and catchwords."""
-    plain = c.rlike(fixed.PAGE_NUMBER) | c.rlike(fixed.PAGE_LABEL) | c.rlike(fixed.RULE_LINE) | c.rlike(fixed.WATERMARK)
-    return plain | (c.rlike(fixed.CATCHWORD) & ~structural_line)
+    """Page numbers, page labels, rules, site marks and catchwords of a stripped line."""
+    number = starts(c, "-–—0123456789") & c.rlike(fixed.PAGE_NUMBER)
+    label, rule = starts(c, "HhPp") & c.rlike(fixed.PAGE_LABEL), starts(c, "-_=.·•") & c.rlike(fixed.RULE_LINE)
+    mark = F.lower(c).contains(".id") & c.rlike(fixed.WATERMARK)
+    return number | label | rule | mark | (c.contains("...") & c.rlike(fixed.CATCHWORD) & ~structural_line)
 
 
 def number_prefix(c: Column) -> Column:

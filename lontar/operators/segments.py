@@ -1,14 +1,14 @@
 """Clean lines to sections.
 
-The bounds of a document are minima over its lines, taken as windows over the exchange the lines already have; each line
-then joins every section whose range holds it by a filter on a small array, without a join. Ranges may overlap."""
+The bounds of a document are minima over its lines, from one aggregate over the exchange the lines already have, joined
+back on it; each line then meets every section whose range holds it by a filter on a small array. Ranges may overlap."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lontar.functions import fixed
+from lontar.functions import fixed, text
 
 #: Sections in the order of their nodes.
 SECTIONS = ["judul", "menimbang", "mengingat", "memperhatikan", "penetapan", "batang_tubuh", "narasi", "penjelasan_umum", "penjelasan_pasal", "lampiran"]
@@ -18,37 +18,45 @@ def by_doc():
     return Window.partitionBy("doc_id")
 
 
-def _first(condition: Column, value: Column | None = None) -> Column:
-    return F.min(F.when(condition, value if value is not None else F.col("idx"))).over(by_doc())
-
-
 def _after(at: str, *later: str) -> Column:
     """Smallest of the later bounds that lies after `at`, else the end."""
     return F.coalesce(F.least(F.col("n"), *[F.when(F.col(x) > F.col(at), F.col(x)) for x in later]), F.col("n"))
 
 
+#: Anchors that a bound is the first of, and the letters their lines begin with.
+_ANCHORS = {"menimbang": (fixed.MENIMBANG, "Mm"), "mengingat": (fixed.MENGINGAT, "Mm"), "memperhatikan": (fixed.MEMPERHATIKAN, "Mm"), "memutuskan": (fixed.MEMUTUSKAN, "Mm"), "menetapkan": (fixed.MENETAPKAN, "Mm"), "penjelasan": (fixed.PENJELASAN, "Pp")}
+_TOLD = {"umum": (fixed.UMUM, "IiUu"), "pasal_demi": (fixed.PASAL_DEMI, "IiPp"), "told_pasal": (fixed.PASAL_ANYWHERE, "Pp")}
+
+
 def bounds(lines: DataFrame) -> DataFrame:
-    """Clean lines with the places of the anchors (null: none), body start and end, n and has_pasal."""
-    order = by_doc().orderBy("idx")
-    d = lines.withColumn("total", F.count("*").over(by_doc())).withColumn("lampiran", _first(F.col("text").rlike(fixed.LAMPIRAN)))
-    d = d.withColumn("n", F.coalesce("lampiran", "total"))
-    inside = F.col("idx") < F.col("n")
-    blank_after = F.min(F.when((F.col("text") == "") & inside, F.col("idx"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    next_plain = (F.lead("text").over(order) != "") & (F.lead("m.kind").over(order) == "none") & (F.col("idx") + 1 < F.col("n"))
-    d = d.withColumn("blank", F.coalesce(blank_after, F.col("n"))).withColumn("wrap", F.when(next_plain, F.col("blank")).otherwise(F.col("idx") + 1))
-    for name, pattern in (("menimbang", fixed.MENIMBANG), ("mengingat", fixed.MENGINGAT), ("memperhatikan", fixed.MEMPERHATIKAN), ("memutuskan", fixed.MEMUTUSKAN), ("penjelasan", fixed.PENJELASAN)):
-        d = d.withColumn(name, _first(inside & F.col("text").rlike(pattern)))
-    d = d.withColumn("opened", _first(inside & F.col("m.kind").isin("bab", "pasal", "diktum")))
-    d = d.withColumn("has_pasal", F.max(F.col("text").rlike(fixed.PASAL_ANYWHERE)).over(by_doc()))
-    decided = inside & F.col("text").rlike(fixed.MENETAPKAN) & (F.col("idx") >= F.coalesce("memutuskan", F.lit(0)))
-    d = d.withColumn("menetapkan", _first(decided)).withColumn("last_opening", F.greatest("menimbang", "mengingat", "memperhatikan"))
-    at = lambda name: _first(F.col("idx") == F.col(name), F.col("wrap"))
-    d = d.withColumn("after_menetapkan", at("menetapkan")).withColumn("after_memutuskan", at("memutuskan")).withColumn("after_opening", _first(F.col("idx") == F.col("last_opening"), F.col("blank")))
-    start = F.when(F.col("menetapkan").isNotNull(), F.col("after_menetapkan")).when(F.col("memutuskan").isNotNull(), F.col("after_memutuskan")).otherwise(F.coalesce("opened", "after_opening"))
-    d = d.withColumn("body", start).withColumn("body_end", F.coalesce("penjelasan", "n"))
-    told = inside & (F.col("idx") >= F.col("penjelasan"))
-    d = d.withColumn("umum", _first(told & F.col("text").rlike(fixed.UMUM))).withColumn("pasal_demi", _first(told & F.col("text").rlike(fixed.PASAL_DEMI)))
-    return d.withColumn("told_pasal", _first(told & F.col("text").rlike(fixed.PASAL_ANYWHERE)))
+    """Clean lines with the places of the anchors (null: none), body start and end, n and has_pasal.
+
+    A document's few lines with anchors and its blank lines are gathered once; all bounds are worked out on those."""
+    line, kind = F.col("text"), F.col("m.kind")
+    plain_next = F.coalesce((F.lead("text").over(by_doc().orderBy("idx")) != "") & (F.lead("m.kind").over(by_doc().orderBy("idx")) == "none"), F.lit(False))
+    marked = lines.withColumn("_plain", plain_next)
+    places = lambda condition: F.sort_array(F.collect_list(F.when(condition, F.col("idx"))))
+    found = {name: places(text.starts(line, letters) & line.rlike(pattern)) for name, (pattern, letters) in (_ANCHORS | _TOLD).items()}
+    found |= {"lampiran": F.min(F.when(text.starts(line, "L") & line.rlike(fixed.LAMPIRAN), F.col("idx"))), "blank": places(line == ""), "opened": places(kind.isin("bab", "pasal", "diktum"))}
+    # what follows a line matters for lines of a decision only
+    decides = text.starts(line, "Mm") & (line.rlike(fixed.MENETAPKAN) | line.rlike(fixed.MEMUTUSKAN)) & F.col("_plain")
+    by = marked.groupBy("doc_id").agg(F.count("*").alias("total"), *[v.alias(f"_{k}") for k, v in found.items()], places(decides).alias("_goes_on"))
+
+    def first(name: str, *conditions) -> Column:
+        return F.array_min(F.filter(f"_{name}", lambda i: (i < F.col("n")) & F.coalesce(*[c(i) for c in conditions], F.lit(False)) if conditions else i < F.col("n")))
+
+    blank_after = lambda at: F.coalesce(F.array_min(F.filter("_blank", lambda i: (i > F.col(at)) & (i < F.col("n")))), F.col("n"))
+    wrap = lambda at: F.when(F.array_contains("_goes_on", F.col(at)) & (F.col(at) + 1 < F.col("n")), blank_after(at)).otherwise(F.col(at) + 1)
+    d = by.withColumn("lampiran", F.col("_lampiran")).withColumn("n", F.coalesce("lampiran", "total"))
+    d = d.withColumns({name: first(name) for name in ("menimbang", "mengingat", "memperhatikan", "memutuskan", "penjelasan", "opened")})
+    d = d.withColumn("has_pasal", F.size("_told_pasal") > 0)
+    d = d.withColumns({"menetapkan": first("menetapkan", lambda i: i >= F.coalesce("memutuskan", F.lit(0))), "last_opening": F.greatest("menimbang", "mengingat", "memperhatikan")})
+    start = F.when(F.col("menetapkan").isNotNull(), wrap("menetapkan")).when(F.col("memutuskan").isNotNull(), wrap("memutuskan"))
+    start = start.otherwise(F.coalesce(F.col("opened"), F.when(F.col("last_opening").isNotNull(), blank_after("last_opening"))))
+    told = lambda i: i >= F.col("penjelasan")
+    d = d.withColumns({"body": start, "body_end": F.coalesce("penjelasan", "n"), **{name: first(name, told) for name in _TOLD}})
+    kept = ["doc_id", "total", "n", "has_pasal", "menimbang", "mengingat", "memperhatikan", "memutuskan", "menetapkan", "opened", "penjelasan", "lampiran", "body", "body_end", *_TOLD]
+    return lines.join(d.select(kept), "doc_id")
 
 
 def ranges() -> Column:

@@ -54,6 +54,21 @@ def d01_status(spark, sf_dir):
     return lint.verdicts(nodes.nodes(segments.segment_lines(bounded)).persist(), segments.section_warnings(bounded))
 
 
+def d01_issues(spark, sf_dir):
+    """Every issue with its code and message."""
+    bounded = _bounded(spark, sf_dir)
+    return lint.issues(nodes.nodes(segments.segment_lines(bounded)).persist(), segments.section_warnings(bounded))
+
+
+def v01_flags(spark, sf_dir):
+    """Flags of issues and of nodes with loose text, and of a model that confirms every second of the latter."""
+    bounded = _bounded(spark, sf_dir)
+    found = nodes.nodes(segments.segment_lines(bounded)).persist()
+    loose = found.where("orphan is not null")
+    answers = loose.select("doc_id", "node_idx", F.lit("orphan_review").alias("about"), (F.col("doc_id") % 2 == 0).alias("problem"), F.concat(F.lit("tinjau "), F.col("node_idx")).alias("explanation"))
+    return store.review_flags(lint.issues(found, segments.section_warnings(bounded)), found, answers)
+
+
 def t01_parents(spark, sf_dir):
     return nodes.parents(_nodes(spark, sf_dir)).select("doc_id", "node_idx", "section", "node_type", "parent_idx", "label")
 
@@ -145,15 +160,28 @@ relations AS (SELECT * FROM firsts f WHERE r = 1 AND NOT (type = 'disebut' AND E
 _WARNED = """SELECT doc_id, m AS message FROM (SELECT p.doc_id, unnest([CASE WHEN menimbang IS NULL AND has_pasal THEN 'a' END, CASE WHEN mengingat IS NULL AND has_pasal THEN 'b' END,
 CASE WHEN memutuskan IS NULL AND has_pasal THEN 'c' END, CASE WHEN NOT coalesce(body < body_end, false) AND coalesce(body, menimbang, mengingat, memperhatikan, memutuskan, menetapkan) IS NOT NULL THEN 'd' END]) AS m
 FROM placed p JOIN (SELECT doc_id, bool_or(""" + has("text", fixed.PASAL_ANYWHERE) + """) AS has_pasal FROM clean GROUP BY 1) USING (doc_id)) WHERE m IS NOT NULL"""
+_TOLD = f""", stats AS ({_STATS}) {_PASAL_GAP} {_AYAT_GAP.replace("numbers", "verses").replace("pairs", "verse_pairs").replace("missing AS (", "verse_missing AS (").replace("FROM missing", "FROM verse_missing")},
+issued AS (SELECT doc_id, 'DOC_WARNING' AS code, CASE message WHEN 'a' THEN 'Section ''Menimbang'' tidak ditemukan' WHEN 'b' THEN 'Section ''Mengingat'' tidak ditemukan' WHEN 'c' THEN 'Section ''MEMUTUSKAN/Menetapkan'' tidak ditemukan' ELSE 'Batang tubuh (Pasal-pasal) tidak terdeteksi' END AS message FROM ({_WARNED})
+  UNION ALL SELECT doc_id, 'NODE_WARNINGS', node_warnings || ' node memiliki warning (mis. teks tak terstruktur/orphan)' FROM stats WHERE node_warnings > 0
+  UNION ALL SELECT doc_id, 'NO_PASAL', 'Tidak ada satupun Pasal maupun Diktum terdeteksi di batang tubuh' FROM stats WHERE pasal = 0 AND diktum = 0 AND narasi = 0
+  UNION ALL SELECT doc_id, 'PASAL_GAP', 'Pasal tidak berurutan, kemungkinan hilang: ' || missing FROM pasal_gap
+  UNION ALL SELECT doc_id, 'AYAT_GAP', 'Pasal ' || pasal || ': Ayat tidak berurutan, kemungkinan hilang: ' || missing FROM ayat_gap
+  UNION ALL SELECT doc_id, 'PENJELASAN_ORPHAN', 'Penjelasan menyebut Pasal ' || pasal || ' yang tidak ada di batang tubuh' FROM ({_UNKNOWN})
+  UNION ALL SELECT doc_id, 'EMPTY_PASAL', 'Pasal ' || pasal || ' tidak memiliki teks, ayat, maupun huruf (kemungkinan gagal parse)' FROM ({_EMPTY})
+  UNION ALL SELECT doc_id, 'ANCHOR_LEAK', 'Node [' || section || '/' || node_type || '] memuat penanda section ("' || found || '") di tengah teksnya' FROM ({_LEAK}))"""
 _ISSUES = f""", stats AS ({_STATS}) {_PASAL_GAP} {_AYAT_GAP.replace("numbers", "verses").replace("pairs", "verse_pairs").replace("missing AS (", "verse_missing AS (").replace("FROM missing", "FROM verse_missing")},
 issues AS (SELECT doc_id FROM ({_WARNED}) UNION ALL SELECT doc_id FROM stats WHERE node_warnings > 0 UNION ALL SELECT doc_id FROM stats WHERE pasal = 0 AND diktum = 0 AND narasi = 0
   UNION ALL SELECT doc_id FROM pasal_gap UNION ALL SELECT doc_id FROM ayat_gap UNION ALL SELECT doc_id FROM ({_UNKNOWN}) UNION ALL SELECT doc_id FROM ({_EMPTY}) UNION ALL SELECT doc_id FROM ({_LEAK}))"""
 
 QUERIES = {
     f.__name__: f
-    for f in (w18_pasal_gap, d03_ayat_gap, d04_orphan_refs, d05_anchor_leak, d06_empty_pasal, a03_statistics, d01_status, t01_parents, t03_cascade, t06_tree_json, t07_outline, r01_citations, r03_relations, j15_resolve, p06_gate, x16_errors)
+    for f in (w18_pasal_gap, d03_ayat_gap, d04_orphan_refs, d05_anchor_leak, d06_empty_pasal, a03_statistics, d01_status, d01_issues, v01_flags, t01_parents, t03_cascade, t06_tree_json, t07_outline, r01_citations, r03_relations, j15_resolve, p06_gate, x16_errors)
 }
 ORACLE_SQL = {
+    "d01_issues": oracle.nodes("SELECT doc_id, code, message FROM issued", _TOLD),
+    "v01_flags": oracle.nodes("""SELECT doc_id AS document_id, CAST(-1 AS BIGINT) AS node_idx, 'diagnose' AS source, code, 'needs_review' AS severity, message FROM issued
+      UNION ALL SELECT doc_id, node_idx, 'parser_warning', 'NODE_WARNING', 'needs_review', 'Teks tidak dikenali struktur; perlu tinjauan / kemungkinan sisip baris' FROM nodes WHERE orphan IS NOT NULL
+      UNION ALL SELECT doc_id, node_idx, 'model_orphan_review', 'ORPHAN_REVIEW', 'needs_review', 'tinjau ' || node_idx FROM nodes WHERE orphan IS NOT NULL AND doc_id % 2 = 0""", _TOLD),
     "x16_errors": "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 0 THEN 'empty_input' WHEN o_orderkey % 3 = 2 AND o_orderkey % 4 > 0 THEN 'not_legal' END AS error FROM orders",
     "w18_pasal_gap": oracle.nodes("SELECT * FROM pasal_gap", _PASAL_GAP),
     "d03_ayat_gap": oracle.nodes("SELECT * FROM ayat_gap", _AYAT_GAP),

@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: (k, s, page, text, condition) for each order.
+#: Kinds of documents, by the order's key; the others are of the first.
+KINDS = ["QANUN ACEH", "PERATURAN BUPATI ACEH BARAT", "KEPUTUSAN WALI KOTA BANDA ACEH", "UNDANG-UNDANG REPUBLIK INDONESIA", "PERATURAN DPRK SABANG", "INSTRUKSI GUBERNUR ACEH", "SURAT EDARAN MENTERI DALAM NEGERI"]
+KIND_OF = "case " + " ".join(f"when d % 13 = {k} then '{name}'" for k, name in enumerate(KINDS) if k) + f" else '{KINDS[0]}' end"
+#: Documents without any structure, and those that decide in dictums.
+NARRATIVE, DECISION = "d % 31 = 0", "d % 29 = 0 and d % 31 <> 0"
+#: (k, s, page, text, condition) for each order; conditions of lines of regulations are completed below.
 ORDER_LINES = [
-    (0, 0, 1, "'QANUN ACEH'", "true"),
-    (0, 1, 1, "'NOMOR ' || cast(d as string) || ' TAHUN ' || cast(y as string)", "true"),
+    (0, 0, 1, KIND_OF, "true"),
+    (0, 1, 1, "'NOMOR ' || cast(d as string) || case when d % 19 = 0 then '/' || cast(y as string) else ' TAHUN ' || cast(y as string) end", "true"),
     (0, 2, 1, "'TENTANG'", "true"),
     (0, 3, 1, "case when g = '2' then 'PERUBAHAN ATAS QANUN CONTOH' else '**CONTOH  PENGELOLAAN**' end", "true"),
     (0, 4, 1, "''", "true"),
@@ -26,6 +31,9 @@ ORDER_LINES = [
     (0, 12, 1, "'Menetapkan : QANUN TENTANG CONTOH'", "true"),
     (0, 13, 1, "'BAB I KETENTUAN UMUM'", "g in ('1', '5')"),
     (0, 14, 1, "'Bagian Kesatu Umum'", "g = '1'"),
+    (0, 15, 1, "'Paragraf 1 Ruang Lingkup'", "g = '1' and d % 3 = 0"),
+    (0, 16, 1, "'Bagian Kedua Belas Tugas'", "g = '5'"),
+    (0, 17, 1, "'Paragraf 2'", "g = '5' and d % 3 = 0"),
     (96, 0, 5, "'- 5 -'", "true"),
     (97, 0, 5, "'Ketentuan penutup berla'", "true"),
     (98, 0, 6, "'Ketentuan penutup berlaku sejak tanggal diundangkan.'", "true"),
@@ -50,6 +58,20 @@ ORDER_LINES = [
     (101, 2, 8, "'A. Daftar isi'", "s = 'O'"),
     (101, 3, 8, "'isi lampiran'", "s = 'O'"),
 ]
+ORDER_LINES = [(k, s, page, text, f"({w}) and not ({NARRATIVE})") for k, s, page, text, w in ORDER_LINES]
+ORDER_LINES += [
+    (1, 0, 1, "'SURAT KETERANGAN'", NARRATIVE),
+    (1, 1, 1, "''", NARRATIVE),
+    (1, 2, 1, "'Dengan ini kami terangkan hal ' || cast(d as string) || '.'", NARRATIVE),
+    (1, 3, 1, "'1. rincian satu'", NARRATIVE),
+    (1, 4, 1, "'sambungan rincian'", NARRATIVE),
+    (1, 5, 1, "''", NARRATIVE),
+    (1, 6, 1, "'Demikian agar maklum.'", NARRATIVE),
+    (1, 7, 2, "'KESATU : Menetapkan hal pertama.'", DECISION),
+    (1, 8, 2, "'a. butir diktum'", DECISION),
+    (1, 9, 2, "'KEDUA : Keputusan ini berlaku.'", DECISION),
+    (1, 10, 2, "'Pasal 8'", "d % 23 = 0 and d % 29 <> 0 and d % 31 <> 0"),
+]
 #: (s, text, condition) for each line number p of an order; k is p, three numbers to a page from page 2.
 ITEM_LINES = [
     (0, "'- salinan ' || cast(d as string) || ' -'", "p in (1, 4, 7)"),
@@ -60,6 +82,8 @@ ITEM_LINES = [
     (5, "'1. rincian'", "c > 1 and f = 'A'"),
     (6, "'sambungan  kalimat'", "f = 'N'"),
 ]
+#: Only regulations that decide in articles have lines of line numbers; those on page 1 come before.
+ITEM_LINES = [(s, text, f"({w}) and not ({NARRATIVE}) and not ({DECISION})") for s, text, w in ITEM_LINES]
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

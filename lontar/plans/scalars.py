@@ -179,11 +179,17 @@ def _page_sql(page: int) -> str:
 
 _HEAD = lambda n: f"regexp_extract(raw, {quoted(identity.DATED)}, {n})"
 _SQUEEZED = lambda c: stripped(f"regexp_replace({c}, '\\s+', ' ', 'g')")
-_IDENTITY = f"""{_page_sql(1)}, r AS (SELECT doc_id, regexp_replace(page, {quoted("(?s)" + fixed.MENIMBANG + ".*")}, '') AS raw FROM p),
-h AS (SELECT doc_id, {_SQUEEZED(f"upper({_HEAD(1)})")} AS jenis, {_TIDY(_HEAD(2))} AS area, {stripped(_HEAD(3))} AS nomor, {_HEAD(4)} AS tahun,
-  {stripped("array_to_string(list_transform(string_split(regexp_replace(" + _HEAD(5) + r", '(?s)\r?\n\s*\r?\n.*', ''), chr(10)), lambda x: " + stripped("x") + "), ' ')")} AS tentang FROM r),
-w AS (SELECT *, {_ACEH("area")} AS wilayah FROM h)
-SELECT doc_id, jenis, wilayah, nomor, coalesce(TRY_CAST(nullif(regexp_extract(nomor, '[0-9]+', 0), '') AS INT), 0) AS nomor_urut, tahun, tentang, jenis || '|' || wilayah || '|' || nomor || '|' || tahun AS canonical_key,
+_BARE = lambda n: f"regexp_extract(raw, {quoted(identity.UNDATED)}, {n})"
+_EITHER = lambda a, b: f"CASE WHEN dated THEN {_HEAD(a)} ELSE {_BARE(b)} END"
+_IDENTITY = f"""{_page_sql(1)}, q AS (SELECT doc_id, regexp_replace(page, {quoted("(?s)" + fixed.MENIMBANG + ".*")}, '') AS raw, regexp_matches(page, {quoted(fixed.MENIMBANG)}) AS opened FROM p),
+r AS (SELECT doc_id, CASE WHEN opened THEN raw ELSE '' END AS raw, opened AND regexp_matches(raw, {quoted(identity.DATED)}) AS dated FROM q),
+h AS (SELECT doc_id, {_SQUEEZED(f"upper({_EITHER(1, 1)})")} AS jenis, {_TIDY(_EITHER(2, 2))} AS area, {stripped(_EITHER(3, 3))} AS nomor,
+  CASE WHEN dated THEN {_HEAD(4)} ELSE coalesce(regexp_extract_all({_BARE(3)}, {quoted(identity.YEAR)})[-1], '') END AS tahun,
+  {stripped("array_to_string(list_transform(string_split(regexp_replace(" + _EITHER(5, 4) + r", '(?s)\r?\n\s*\r?\n.*', ''), chr(10)), lambda x: " + stripped("x") + "), ' ')")} AS tentang FROM r),
+w AS (SELECT *, CASE jenis WHEN 'UNDANG-UNDANG' THEN 'NASIONAL' WHEN 'SURAT EDARAN MENTERI' THEN 'NASIONAL' WHEN 'PERATURAN BUPATI' THEN 'KABUPATEN ACEH BARAT' WHEN 'KEPUTUSAN WALI KOTA' THEN 'KOTA BANDA ACEH'
+  WHEN 'PERATURAN DPRK' THEN 'KOTA SABANG' WHEN '' THEN '' ELSE 'PEMERINTAH ACEH' END AS wilayah FROM h)
+SELECT doc_id, jenis, wilayah, nomor, coalesce(TRY_CAST(nullif(regexp_extract(nomor, '[0-9]+', 0), '') AS INT), 0) AS nomor_urut, tahun, tentang,
+  CASE WHEN jenis <> '' AND wilayah <> '' AND nomor <> '' AND tahun <> '' THEN jenis || '|' || wilayah || '|' || nomor || '|' || tahun END AS canonical_key,
   list_contains([{", ".join(quoted(k) for k in fixed.KINDS)}], jenis) AND list_contains({_AREA_LIST}, wilayah) AND nomor <> '' AND tahun <> '' AND tentang <> '' AS accepted FROM w"""
 _PLACE = lambda pattern, n: _SQUEEZED(f"regexp_replace(regexp_extract(page, {quoted(pattern)}, {n}), '^[ \\t\\r\\n,.:]+|[ \\t\\r\\n,.:]+$', '', 'g')")
 _SIGNING = f"""{_page_sql(6)}, s AS (SELECT doc_id, page, regexp_extract_all(page, {quoted(identity.SIGNER)}, 1) AS offices,

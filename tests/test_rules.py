@@ -1,5 +1,6 @@
 """Rules of lines, sections, nodes and records on hand-written cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,57 @@ def test_recognition(spark):
     assert [r.text for r in recognition.clamp_lines(lines_).orderBy("at").collect()] == ["a", "a", "a", "", "", "b"]
     dumps = spark.createDataFrame([(1, 5, 3, "x\fy\f")], "doc_id long, from_page int, n_pages int, raw string")
     assert [(r.page, r.text) for r in recognition.form_feed_pages(dumps).orderBy("page").collect()] == [(5, "x"), (6, "y"), (7, "")]
+
+
+def test_large_images_and_dirt():
+    """Measures of large images by their definition, and crops that pass over dirt."""
+    rnd = np.random.default_rng(3)
+    for shape in ((640, 700), (641, 701), (650, 641), (8, 8), (3, 9), (2, 9)):
+        g, step = rnd.integers(0, 65536, shape), 2 if shape[0] * shape[1] > 400_000 else 1
+        f = g.astype(float)
+        lap = [f[y - step, x] + f[y + step, x] + f[y, x - step] + f[y, x + step] - 4 * f[y, x] for y in range(step, shape[0] - step, step) for x in range(step, shape[1] - step, step)]
+        want = float(np.var(lap)) if lap and min(shape) >= 3 else 0.0
+        assert abs(images.blur_score(g) - want) <= 1e-9 * max(1.0, want)
+    page = np.full((1000, 800), 65535)
+    page[400:440, 300:500] = 0
+    page[2, 3] = 0
+    assert images.crop(page) == (388, 452, 288, 512)
+    page[:200:7, 10:14] = 0
+    assert images.crop(page)[0] == 0 and images.crop(page)[2] == 0
+    dot = np.full((100, 100), 65535)
+    dot[0, 0] = 0
+    assert images.crop(dot) == (0, 100, 0, 100) and images.crop(np.full((30, 90), 0)) == (0, 30, 0, 90)
+
+
+def test_area_of_kind(spark):
+    for jenis, instansi, want in (("PERATURAN BUPATI", "Aceh Barat", "KABUPATEN ACEH BARAT"), ("KEPUTUSAN WALI KOTA", "BANDA ACEH", "KOTA BANDA ACEH"), ("UNDANG-UNDANG", "REPUBLIK INDONESIA", "NASIONAL"), ("PERATURAN DPRK", "LANGSA", "KOTA LANGSA"), ("QANUN", "ACEH", "PEMERINTAH ACEH"), ("QANUN", "KABUPATEN PIDIE", "KABUPATEN PIDIE")):
+        assert one(spark, identity.area_of_kind, jenis, instansi) == want
+
+
+def test_parse_is_written_once(spark):
+    from lontar.operators import store
+
+    documents = spark.createDataFrame([(1, "ocr_done", None, None)], "id long, status string, parse_status string, parsed_at timestamp")
+    snapshots = spark.createDataFrame([], "document_id long, status string, report string, parsed_at timestamp")
+    nodes = spark.createDataFrame([(1, 0, -1, "bab"), (1, 1, 0, "pasal")], "document_id long, node_idx long, parent_idx long, node_type string")
+    flags = spark.createDataFrame([(1, 1, "parser_warning", "NODE_WARNING", "needs_review", "x"), (1, -1, "diagnose", "Y", "needs_review", "y")], "document_id long, node_idx long, source string, code string, severity string, message string")
+    results = spark.createDataFrame([(1, "SUCCESS", "{}")], "document_id long, status string, report string")
+    out = store.insert_parse(documents, snapshots, results, nodes, flags, F.current_timestamp())
+    assert out["documents"].first().status == "parsed"
+    ids = {r.node_type: (r.id, r.parent_id) for r in out["nodes"].collect()}
+    assert ids["bab"][1] is None and ids["pasal"][1] == ids["bab"][0]
+    assert {r.code: r.node_id for r in out["review_flags"].collect()} == {"NODE_WARNING": ids["pasal"][0], "Y": None}
+    for again in ((out["parse_snapshots"], results), (snapshots, results.union(results))):
+        with pytest.raises(ValueError):
+            store.insert_parse(documents, again[0], again[1], nodes, flags, F.current_timestamp())
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
+    where, state, out = (f"file://{tmp_path}/{x}" for x in ("in", "state", "out"))
+    spark.range(10).write.parquet(where)
+    stream = spark.readStream.schema("id long").parquet(where)
+    assert queue.drain(stream, out, state).count() == 10
+    import shutil
+
+    shutil.rmtree(tmp_path / "state" / "commits")
+    assert queue.drain(stream, out, state).count() == 10
