@@ -139,6 +139,8 @@ def keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["_a", "_b"]).join(chosen, ["_a", "_b"], "left_semi").select("_row.*")
 
 
+#: Edges that one task contracts at the end (16 bytes each).
+LAST_EDGES = 1_000_000
 #: Keys with more rows than a share of all, and than this, are joined from a broadcast: at most HEAVY_KEYS of them.
 HEAVY_ROWS, HEAVY_KEYS = 64, 4096
 
@@ -199,8 +201,8 @@ def _contract(batches):
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a long, b long) edges to (node, root): root is the smallest node of the component, roots themselves left out.
 
-    Alternating large-star and small-star steps on DataFrames, each round checkpointed and the one before it deleted.
-    Tasks contract what they hold before the first shuffle. The minimum of a node's neighbours is a partial aggregate, and
+    Tasks contract what they hold; up to LAST_EDGES edges are then contracted by one task. More go through alternating
+    large-star and small-star steps on DataFrames, each round checkpointed and the one before it deleted. The minimum of a node's neighbours is a partial aggregate, and
     hubs get theirs from a broadcast of bounded size, so a hub's edges are never dealt to one task. No edges: an empty
     result."""
     spark = edges.sparkSession
@@ -208,6 +210,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen, n = None, edges.count()
     if not n:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if n <= LAST_EDGES:
+        return checkpoint(edges.coalesce(1).mapInArrow(_contract, "a long, b long")).select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(max_rounds):
         limit = max(HEAVY_ROWS, 2 * n // HEAVY_KEYS)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

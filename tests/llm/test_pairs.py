@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 from conftest_llm import ODD, make_docs  # noqa: F401
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ def grouped(links, nodes):
     return {n: root(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [0, 1_000_000])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr(common, "LAST_EDGES", last)
     rnd = random.Random(5)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2040)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
