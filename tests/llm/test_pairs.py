@@ -211,6 +211,23 @@ def test_line_recall(spark):
         assert len(seen) == len(some)
 
 
+def test_removed_lines_of_the_query(spark):
+    """All but the first occurrence of each group go, by doc_id and line."""
+    from conftest import SMALL
+
+    from lontar.llm import catalog
+
+    found = lines.occurrences(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    first, want = {}, {}
+    for r in sorted(found, key=lambda r: (r.doc_id, r.line)):
+        first.setdefault(r.group, (r.doc_id, r.line))
+    for r in sorted(found, key=lambda r: (r.doc_id, r.line)):
+        n, gone = want.get(r.doc_id, (0, []))
+        want[r.doc_id] = n + 1, gone + [str(r.line)] * (first[r.group] != (r.doc_id, r.line))
+    got = {r.doc_id: (r.n_lines, r.removed_lines.split(",") if r.removed_lines else []) for r in catalog.QUERIES["op7_fuzzy_lines"](spark, SMALL).collect()}
+    assert got == want and any(gone for _, gone in want.values())
+
+
 def test_similar():
     rnd = random.Random(13)
     made = list(changed_lines())

@@ -260,6 +260,34 @@ def test_toxicity(spark):
     assert toxicity.spans(docs, model).where("doc_id % 6 = 0").count() >= 80 and toxicity.spans(docs, model).where("doc_id % 6 > 0").count() == 0
 
 
+def test_scores_by_definition(spark):
+    """Scores of the query's texts worked out word by word, with segments by their definition; the stage keeps by them."""
+    import math
+    import re
+
+    import corpus_pipeline
+    from conftest import SMALL
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: (r.text, r.toxic_score) for r in toxicity.score(docs, model).collect()}
+    compared = 0
+    for text, score in got.values():
+        words = re.findall(r"\w+", (text or "").lower())
+        if len(words) > 400:
+            continue
+        scores = [max([model.score.get(f, 0.0) for f in [w, *(w[:n] + "-" for n in range(3, min(9, len(w))))]]) or model.rest for w in words]
+        evidence = 0.0
+        for a, b in _maximal(scores, 0, len(words)):
+            x = sum(scores[a : b + 1]) - math.log(model.k * len(words))
+            evidence += x if x > -math.log(toxicity.MAX_E) else 0.0
+        assert abs(score - 1 / (1 + math.exp(-(model.a + model.b * evidence)))) < 1e-9
+        compared += 1
+    assert compared > 100
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, SMALL).collect()}
+    assert kept == {i for i, (_, score) in got.items() if score < toxicity.THRESHOLD}
+
+
 def secret_docs():
     rnd = random.Random(11)
     hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
