@@ -136,7 +136,8 @@ def nodes(segment_lines: DataFrame) -> DataFrame:
     numbered = lambda kind: F.when((F.col("node_type") == "item") & (F.col("m.kind") == kind), item)
     opening = F.struct("idx", "sub", section.alias("section"), "node_type", *[keep(c) for c in ("bab", "bagian", "paragraf", "pasal", "ayat", "diktum")], numbered("huruf").alias("huruf"), numbered("angka").alias("angka"))
     folded = F.aggregate(F.sort_array(F.collect_list(F.struct("idx", "sub", "between", "piece"))), F.lit(""), lambda a, x: F.when(x["piece"] == "", a).when(a == "", x["piece"]).otherwise(F.concat(a, x["between"], x["piece"])))
-    loose = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "sub", "text"))), lambda x: x["text"]), "\n")
+    # only lines before the first node are loose; those of other nodes are not gathered a second time
+    loose = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("node_no") == 0, F.struct("idx", "sub", "text")))), lambda x: x["text"]), "\n")
     made = d.groupBy("doc_id", "seg", "node_no").agg(F.min(opening).alias("o"), folded.alias("content"), loose.alias("loose"), F.min("page").alias("start_page"), F.max("page").alias("end_page"))
     whole = Window.partitionBy("doc_id", "seg")
     before = F.max(F.when(F.col("node_no") == 0, F.col("loose"))).over(whole)
