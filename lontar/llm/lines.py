@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint, components, forget, join_counted, packed, released_shuffles
 
-SIMILARITY, WORDS, BLOCKS, SHARED = 0.8, 4, 8, 0.75
+SIMILARITY, WORDS, BLOCKS = 0.8, 4, 8
 #: Keys of lines that meet others, and of linked ones with their groups, are broadcast up to so many (8 and 16 bytes
 #: each), beyond that joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Lines a task remembers so as to send their blocks once.
 SEEN = 300_000
+#: Lines of companies that are compared together, and pairs a company asks for at once.
+COMPANIES, ASKED = 20_000, 4096
 _MASK = (1 << 63) - 1
 _LAST_ID = (1 << 63) - 1
 #: The eight bits of a byte in a byte each.
@@ -87,12 +89,8 @@ def _parts(x: list[str], y: list[str]):
     yield a[: len(a) - n], b[: len(b) - n]
 
 
-def similar(a: str, b: str, least: float) -> bool:
-    """Whether the edit similarity is at least `least`. An alignment of words often shows it; else it is worked out."""
-    longer = max(len(a), len(b))
-    most = (1 - least) * longer + 1e-9
-    if abs(len(a) - len(b)) > most:
-        return False
+def _shown(a: str, b: str, most: float) -> bool:
+    """Whether an alignment of words shows a distance of `most` or less. False proves nothing."""
     parts = [(" ".join(p), " ".join(q)) for p, q in _parts(a.split(" "), b.split(" "))]
     # a run of words takes a space with it where the other side has none
     costs = [max(len(p), len(q)) + (not p or not q) for p, q in parts]
@@ -100,9 +98,124 @@ def similar(a: str, b: str, least: float) -> bool:
         return True
     if sum(costs) <= 2 * most and len(parts) > 1:
         exact = sum(c if not p or not q else round((1 - edit_similarity(p, q)) * max(len(p), len(q))) for c, (p, q) in zip(costs, parts))
-        if exact <= most:
-            return True
-    return edit_similarity(a, b, least) >= least
+        return exact <= most
+    return False
+
+
+def _alike(a: str, b: str) -> bool:
+    """Whether an alignment of words may show anything: of lines with few words in common it would not."""
+    x, y = set(a.split(" ")), set(b.split(" "))
+    return min(len(x), len(y)) < 3 * WORDS or 2 * len(x & y) > min(len(x), len(y))
+
+
+def similar(a: str, b: str, least: float) -> bool:
+    """Whether the edit similarity is at least `least`. An alignment of words often shows it; else it is worked out."""
+    most = (1 - least) * max(len(a), len(b)) + 1e-9
+    if abs(len(a) - len(b)) > most:
+        return False
+    return _shown(a, b, most) or edit_similarity(a, b, least) >= least
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def all_similar(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
+    """edit_similarity(a, b, least) >= least for many pairs at once: the same bits as there, a word of 64 for each pair in
+    an array."""
+    pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
+    out = np.array([a == b for a, b in pairs], bool)
+    order = sorted((p for p, (a, b) in enumerate(pairs) if a != b and b), key=lambda p: (len(pairs[p][0]), len(pairs[p][1])))
+    at = 0
+    while at < len(order):
+        words = len(pairs[order[at]][0]) + 63 >> 6
+        most = words * 5 // 4 << 6
+        end = at + 1
+        while end < len(order) and end - at < 2048 and len(pairs[order[end]][0]) <= most:
+            end += 1
+        which, at = order[at:end], end
+        # a few pairs, and lines of many words, are quicker one by one
+        if words > 64 or len(which) < 20 + 5 * words:
+            for p in which:
+                out[p] = edit_similarity(*pairs[p], least) >= least
+            continue
+        alphabet = np.unique(np.concatenate([_codes(t) for p in which for t in pairs[p]]))
+        # 8 MB of letters' masks and of text each
+        step = max(1, (1 << 20) // max((len(alphabet) + 1) * words * 5 // 4, most))
+        for lo in range(0, len(which), step):
+            some = which[lo : lo + step]
+            out[some] = _all_within([pairs[p] for p in some], least, alphabet)
+    return out
+
+
+def _all_within(pairs: list[tuple[str, str]], least: float, alphabet: np.ndarray) -> np.ndarray:
+    """all_similar() of pairs (longer, shorter) of about the same length. Only words that a path of few enough edits can
+    touch are worked on; what lies beyond counts as more distant, which it is. Pairs that cannot reach `least` any more
+    are dropped on the way."""
+    n, letters = len(pairs), len(alphabet) + 1
+    size, other = (np.array([len(t) for t in side]) for side in zip(*pairs))
+    own, words = size - 1 >> 6, int(size.max()) + 63 >> 6
+    owner = np.repeat(np.arange(n), size)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    masks = np.zeros((words, n * letters), np.uint64)
+    np.bitwise_or.at(masks, (place >> 6, owner * letters + np.searchsorted(alphabet, np.concatenate([_codes(a) for a, _ in pairs]))), np.uint64(1) << (place & 63).astype(np.uint64))
+    # beyond the end of a line: the letter that no line has
+    text = np.full((int(other.max()), n), letters - 1)
+    owner = np.repeat(np.arange(n), other)
+    text[np.arange(len(owner)) - np.repeat(np.cumsum(other) - other, other), owner] = np.searchsorted(alphabet, np.concatenate([_codes(b) for _, b in pairs]))
+    text += np.arange(n) * letters
+
+    most = (1 - least) * size + 1e-9
+    out, left = np.zeros(n, bool), np.arange(n)
+    score, end = size.copy(), (size - 1 & 63).astype(np.uint64)
+    plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    one, top, far, shortest, first = np.uint64(1), np.uint64(63), int(most.max()) + 1, int(other.min()), int(own.min())
+    for at in range(len(text)):
+        up_in, down_in = one, None
+        for w in range(max(0, at - far) >> 6, min(words, (at + far >> 6) + 1)):
+            p, m, eq = plus[w], minus[w], masks[w].take(text[at])
+            x = eq | m
+            if down_in is not None:
+                eq |= down_in
+            d = eq & p
+            d += p
+            d ^= p
+            d |= eq
+            up = d | p
+            np.invert(up, out=up)
+            up |= m
+            d &= p
+            up_out, down_out = up >> top, d >> top
+            if w < first:
+                change = up_out, down_out
+            else:
+                # the score is that of a line's last letter, or of the last row worked on
+                by = np.where(own == w, end, top)
+                here = (up >> by & one, d >> by & one)
+                change = here if w == first else tuple(np.where(own >= w, new, old) for new, old in zip(here, change))
+            up <<= one
+            up |= up_in
+            d <<= one
+            if down_in is not None:
+                d |= down_in
+            np.bitwise_and(up, x, out=m)
+            x |= up
+            np.invert(x, out=x)
+            np.bitwise_or(d, x, out=p)
+            up_in, down_in = up_out, down_out
+        step = change[0].view(np.int64) - change[1].view(np.int64)
+        score += step if at < shortest else np.where(at < other, step, 0)
+        if at & 7 == 7 or at == len(text) - 1:
+            rest = np.maximum(other - 1 - at, 0)
+            going = (score - rest <= most) & (rest > 0)
+            ended = rest == 0
+            out[left[ended]] = 1 - score[ended] / size[ended] >= least
+            if not going.any():
+                break
+            if going.sum() < 0.8 * len(left):
+                left, size, other, own, most, score, end = (v[going] for v in (left, size, other, own, most, score, end))
+                plus, minus, text = plus[:, going], minus[:, going], text[:, going]
+    return out
 
 
 def _majority(lanes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -300,60 +413,113 @@ def _met(batches):
 
 def _letters(texts: list[str]) -> np.ndarray:
     """How often each class of letters occurs in each text."""
-    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) for t in texts]).astype(np.int32)
-
-
-def _connect(texts: list[str], least: float):
-    """Pairs (i, j) that connect all texts at least so similar. Lines of 12 words and more are compared if they share
-    SHARED of their words; those that do not have misprints all over, if they are similar at all. Neighbours in alphabetical order come first, then those
-    not connected yet whose letters allow it: a distance is at least the letters one has more than the other."""
-    label = np.arange(len(texts))
-    words = [set(t.split(" ")) for t in texts]
-
-    def link(i: int, j: int) -> bool:
-        if label[i] == label[j]:
-            return False
-        fewer = min(len(words[i]), len(words[j]))
-        if fewer >= 3 * WORDS and len(words[i] & words[j]) < SHARED * fewer or not similar(texts[i], texts[j], least):
-            return False
+    return np.stack([np.bincount(_codes(t) & 63, minlength=64) for t in texts]).astype(np.int32)
+
+
+def _company(texts: list[str], least: float):
+    """Pairs (i, j) that connect all texts at least so similar. Asks for comparisons: yields lists of pairs of positions
+    and is sent which of them are similar.
+
+    First come pairs that an alignment of words may show to be similar: neighbours in alphabetical order, then lines and
+    those nearest by letters. Then all are compared that are not connected yet and whose letters allow it: a distance is
+    at least the letters one has more than the other."""
+    label, links = np.arange(len(texts)), []
+
+    def link(i: int, j: int) -> None:
         label[label == label[i]] = label[j]
-        return True
+        links.append((i, j))
+
+    def shown(i: int, j: int) -> bool:
+        most = (1 - least) * max(len(texts[i]), len(texts[j])) + 1e-9
+        return abs(len(texts[i]) - len(texts[j])) <= most and _alike(texts[i], texts[j]) and _shown(texts[i], texts[j], most)
 
     order = sorted(range(len(texts)), key=texts.__getitem__)
     for i, j in zip(order, order[1:]):
-        if link(i, j):
-            yield i, j
-    if len(texts) < 3 or (label == label[0]).all():
-        return
+        if shown(i, j):
+            link(i, j)
+    if (label == label[0]).all():
+        return links
     counts, length = _letters(texts), np.array([len(t) for t in texts])
     # the largest part need not be compared with itself
     parts, sizes = np.unique(label, return_counts=True)
-    for i in np.flatnonzero(label != parts[sizes.argmax()]).tolist():
+    outside = label != parts[sizes.argmax()]
+    asked: list[tuple[int, int]] = []
+
+    def open_pairs() -> list[tuple[int, int]]:
+        return [(i, j) for i, j in asked if label[i] != label[j]]
+
+    for i in np.flatnonzero(outside).tolist():
         for at in range(0, len(texts), 4096):
-            apart = counts[at : at + 4096] - counts[i]
+            to = slice(at, at + 4096)
+            # of two outside, the first is compared with the second
+            near = np.flatnonzero((label[to] != label[i]) & ~(outside[to] & (np.arange(at, at + len(label[to])) < i))) + at
+            apart = counts[near] - counts[i]
             bound = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
-            near = np.flatnonzero((bound <= (1 - least) * np.maximum(length[at : at + 4096], length[i]) + 1e-9) & (label[at : at + 4096] != label[i])) + at
+            may = bound <= (1 - least) * np.maximum(length[near], length[i]) + 1e-9
+            near = near[may][np.argsort(bound[may])]
+            failed = 0
             for j in near.tolist():
-                if link(i, j):
-                    yield i, j
+                if label[i] != label[j]:
+                    if failed < 2 and shown(i, j):
+                        link(i, j)
+                    else:
+                        failed += 1
+                        asked.append((i, j))
+        if len(asked) >= ASKED:
+            asked = open_pairs()
+        if len(asked) >= ASKED:
+            for (x, y), yes in zip(asked, (yield asked)):
+                if yes and label[x] != label[y]:
+                    link(x, y)
+            asked = []
+    if asked := open_pairs():
+        for (x, y), yes in zip(asked, (yield asked)):
+            if yes and label[x] != label[y]:
+                link(x, y)
+    return links
+
+
+def _connect_all(companies: list[list[str]], least: float) -> list[list[tuple[int, int]]]:
+    """The links of each company; the comparisons they ask for are made together."""
+    links: list[list[tuple[int, int]]] = [[] for _ in companies]
+    runs, answers = {c: _company(texts, least) for c, texts in enumerate(companies)}, dict.fromkeys(range(len(companies)))
+    while runs:
+        asked = {}
+        for c in list(runs):
+            try:
+                asked[c] = runs[c].send(answers[c])
+            except StopIteration as end:
+                links[c] = end.value
+                del runs[c]
+        pairs = {(companies[c][i], companies[c][j]): False for c, some in asked.items() for i, j in some}
+        pairs = dict(zip(pairs, all_similar(list(pairs), least).tolist()))
+        answers = {c: [pairs[companies[c][i], companies[c][j]] for i, j in some] for c, some in asked.items()}
+    return links
+
+
+def _connect(texts: list[str], least: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) that connect all texts at least so similar, whatever words they share."""
+    return _connect_all([texts], least)[0]
 
 
 def _verified(least: float):
     """(company, key, text) sorted by company, to links between keys."""
 
     def run(batches):
-        out, held = [], 0
+        held, n = [], 0
+
+        def links():
+            found = [(keys[i], keys[j]) for (keys, _), some in zip(held, _connect_all([t for _, t in held], least)) if some for i, j in [map(list, zip(*some))]]
+            return [_links(found)] if found else []
+
         for _, keys, texts in _groups(batches):
-            pairs = list(_connect(texts.tolist(), least))
-            if pairs:
-                i, j = (list(x) for x in zip(*pairs))
-                out.append((keys[i], keys[j]))
-                held += len(i)
-            if held > 50_000:
-                yield _links(out)
-                out, held = [], 0
-        if out:
-            yield _links(out)
+            held.append((keys, texts.tolist()))
+            n += len(keys)
+            if n >= COMPANIES:
+                yield from links()
+                held, n = [], 0
+        if held:
+            yield from links()
 
     return run
 

@@ -243,6 +243,60 @@ def test_connect():
     assert grouped(lines._connect(texts, 0.8), range(len(texts))) == grouped(links, range(len(texts)))
 
 
+def misspelt(words, share, rnd):
+    """The words joined, one letter changed in a share of them."""
+    words = list(words)
+    for at in rnd.sample(range(len(words)), round(share * len(words))):
+        k = rnd.randrange(len(words[at]))
+        words[at] = words[at][:k] + "z" + words[at][k + 1 :]
+    return " ".join(words)
+
+
+def test_lines_with_misprints_all_over(spark):
+    """Similar lines are linked however few of their words are the same."""
+    rnd = random.Random(15)
+    made = [["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(rnd.choice([12, 16, 30, 60]))] for _ in range(40)]
+    for words in made:
+        for share in (0.3, 0.5, 0.9):
+            texts = [" ".join(words), misspelt(words, share, rnd)]
+            assert lines.edit_similarity(*texts) >= 0.8 and list(lines._connect(texts, 0.8))
+    # of 20 words 14 are the same, and a block
+    made = [["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(20)] for _ in range(100)]
+    pairs = [(" ".join(w), misspelt(w, 0.3, rnd)) for w in made]
+    met = [(a, b) for a, b in pairs if line_blocks(a) & line_blocks(b)]
+    group = {r.text: r.group for r in occurred(spark, [t for p in met for t in p])}
+    assert len(met) > 5 and all(group[a] == group[b] for a, b in met) and len(set(group.values())) == len(met)
+
+
+def line_blocks(text):
+    import numpy as np
+    import xxhash
+
+    words = set(text.encode().split())
+    return set(lines.blocks(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), np.array([len(words)]))[1].tolist())
+
+
+def test_all_similar():
+    """Many comparisons at once say what each says, at the threshold, too."""
+    rnd = random.Random(16)
+    pairs = []
+    for size in [0, 1, 4, 5, 9, 10, 63, 64, 65, 100, 127, 128, 129, 130, 190, 200, 250, 640, 5000]:
+        letters = rnd.choice(["ab ", "abcdefgh ", "añ漢😀 "])
+        for _ in range(6 if size > 1000 else 60):
+            a = "".join(rnd.choice(letters) for _ in range(size + rnd.randrange(3)))
+            b = list(a)
+            for _ in range(max(0, len(a) // 5 + rnd.randrange(-2, 3))):
+                at, what = rnd.randrange(len(b) + 1), rnd.randrange(4)
+                b[at : at + (what > 0)] = [] if what == 1 else [rnd.choice("xyz")]
+            pairs.append((a, "".join(b)) if rnd.random() < 0.8 else (a, "".join(rnd.choice(letters) for _ in a)))
+    want = [lines.edit_similarity(a, b) >= 0.8 for a, b in pairs]
+    assert 200 < sum(want) < len(want) - 200
+    assert lines.all_similar(pairs, 0.8).tolist() == want
+    assert lines.all_similar(pairs * 4, 0.8).tolist() == want * 4
+    assert lines.all_similar(pairs * 4, 0.65).tolist() == [lines.edit_similarity(a, b, 0.65) >= 0.65 for a, b in pairs] * 4
+    assert lines.all_similar([], 0.8).tolist() == []
+
+
 def test_edit_similarity():
     rnd = random.Random(1)
 
