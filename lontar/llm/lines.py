@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -36,6 +37,10 @@ _LAST_ID = (1 << 63) - 1
 #: The eight bits of a byte in a byte each.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
+#: White space, and what letters and places in a word count in its hash.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUES, _FACTORS = (np.random.default_rng(7 + k).integers(0, 1 << 64, 1 << size, np.uint64) | np.uint64(1) for k, size in enumerate((8, 12)))
+
 
 def normalised(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
@@ -192,7 +197,7 @@ def _all_within(pairs: list[tuple[str, str]], least: float, alphabet: np.ndarray
                 # the score is that of a line's last letter, or of the last row worked on
                 by = np.where(own == w, end, top)
                 here = (up >> by & one, d >> by & one)
-                change = here if w == first else tuple(np.where(own >= w, new, old) for new, old in zip(here, change))
+                change = here if w == first or down_in is None else tuple(np.where(own >= w, new, old) for new, old in zip(here, change))
             up <<= one
             up |= up_in
             d <<= one
@@ -283,52 +288,98 @@ def _dealt(hashes: np.ndarray, counts: np.ndarray, salt: int) -> tuple[np.ndarra
     return np.concatenate(lines), np.concatenate(found)
 
 
+def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(starts of words, their lines, hashes of words, lines normalised) of text in lower case. Lines are those with
+    words, words of a line follow each other; hashes serve blocks only, so they need not be strong."""
+    raw = np.frombuffer(data, np.uint8)
+    solid = ~_SPACE[raw]
+    if not solid.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), []
+    edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    size, letter = ends - starts, raw[solid]
+    factors = _FACTORS if size.max() <= len(_FACTORS) else np.resize(_FACTORS, size.max())
+    hashes, total, done = np.empty(len(size), np.uint64), np.cumsum(size), 0
+    while done < len(size):
+        # about a million letters at a time
+        base = total[done] - size[done]
+        to = max(done + 1, int(np.searchsorted(total, base + (1 << 20))))
+        first, part = total[done:to] - size[done:to] - base, letter[base : total[to - 1]]
+        hashes[done:to] = np.add.reduceat(_VALUES[part] * factors[np.arange(len(part)) - np.repeat(first, size[done:to])], first)
+        done = to
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> np.uint64(32)
+    number = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    new = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    last = np.append(new[1:], len(number)) - 1
+    # in normal form already: only single spaces between words
+    gaps = np.append(starts[1:], len(raw)) - ends == 1
+    gaps &= raw[np.minimum(ends, len(raw) - 1)] == 32
+    gaps[last] = True
+    plain = np.logical_and.reduceat(gaps, new)
+    texts = [data[lo:hi] if ok else b" ".join(data[lo:hi].split()) for lo, hi, ok in zip(starts[new].tolist(), ends[last].tolist(), plain.tolist())]
+    return number[new], np.repeat(np.arange(len(new)), last - new + 1), hashes, texts
+
+
+def _distinct(line: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words by line and hash, each once."""
+    order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
+    line, hashes = line[order], hashes[order]
+    keep = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1]))[: len(line)]
+    return line[keep], hashes[keep]
+
+
+def _pieces(batch: pa.RecordBatch):
+    """Slices of 512 rows at most, and of about a megabyte of text or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) >> 20
+    cuts = np.union1d(np.flatnonzero(size[1:] != size[:-1]) + 1, np.arange(0, batch.num_rows, 512))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+        yield batch.slice(lo, hi - lo)
+
+
 def _lines(batches):
     """Lines with words: (key, doc_id, text, at, line, blocks); blocks where the task meets the line for the first time."""
-    number, seen = (TaskContext.get().partitionId() << 40) - 1, set()
+    number, seen = TaskContext.get().partitionId() << 40, set()
     for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            keys, docs, texts, ats, numbers, words, counts, owners = [], [], [], [], [], [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                number += 1
-                text = text or b""
-                digest = int.from_bytes(xxhash.xxh64_digest(text, 42), "big", signed=True)
-                for k, line in enumerate(text.lower().split(b"\n")):
-                    if w := line.split():
-                        whole = b" ".join(w)
-                        key = xxhash.xxh64_intdigest(whole) & _MASK
-                        if key not in seen:
-                            if len(seen) > SEEN:
-                                seen.clear()
-                            seen.add(key)
-                            if len(once := set(w)) > 1:
-                                words += once
-                                counts.append(len(once))
-                                owners.append(len(keys))
-                            if len(once) < 4:
-                                letters = {b"\0" + whole[i : i + 2] for i in range(max(1, len(whole) - 1))}
-                                words += letters
-                                counts.append(len(letters))
-                                owners.append(len(keys))
-                        keys.append(key)
-                        docs.append(doc)
-                        texts.append(digest)
-                        ats.append(number)
-                        numbers.append(k)
+        for part in _pieces(batch):
+            rows = [text or b"" for text in part.column(1).cast(pa.binary()).to_pylist()]
+            digests = np.array([int.from_bytes(xxhash.xxh64_digest(text, 42), "big", signed=True) for text in rows], np.int64)
+            at, of, hashes, texts = _split(b"\n".join(rows).lower())
+            # the first line of each row, among the lines of all
+            first = np.cumsum([0] + [text.count(b"\n") + 1 for text in rows])
+            row = np.searchsorted(first, at, "right") - 1
+            keys = [xxhash.xxh64_intdigest(text) & _MASK for text in texts]
             if keys:
-                found, of = np.empty(0, np.uint64), np.empty(0, np.int64)
-                if counts:
-                    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                    of, found = blocks(hashes, np.array(counts, np.int64))
-                    of = np.array(owners)[of]
-                order = np.argsort(of, kind="stable")
-                ends = np.cumsum(np.bincount(of, minlength=len(keys)))
+                new = np.zeros(len(keys), bool)
+                for k, key in enumerate(keys):
+                    if key not in seen:
+                        if len(seen) > SEEN:
+                            seen.clear()
+                        seen.add(key)
+                        new[k] = True
+                asked = new[of]
+                of, hashes = _distinct(of[asked], hashes[asked])
+                counts = np.bincount(of, minlength=len(keys))
+                owners = np.flatnonzero(counts > 1)
+                hashes, counted = hashes[counts[of] > 1], counts[owners]
+                # of lines with few words, pairs of letters
+                pairs = [(k, {b"\0" + texts[k][i : i + 2] for i in range(max(1, len(texts[k]) - 1))}) for k in np.flatnonzero(new & (counts < 4)).tolist()]
+                if pairs:
+                    hashes = np.append(hashes, np.fromiter((xxhash.xxh64_intdigest(x) for _, some in pairs for x in some), np.uint64))
+                    owners, counted = np.append(owners, [k for k, _ in pairs]), np.append(counted, [len(some) for _, some in pairs])
+                found, line = np.empty(0, np.uint64), np.empty(0, np.int64)
+                if len(counted):
+                    line, found = blocks(hashes, counted)
+                    line = owners[line]
+                order = np.argsort(line, kind="stable")
+                ends = np.cumsum(np.bincount(line, minlength=len(keys)))
                 listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found[order].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(ats, pa.int64()), pa.array(numbers, pa.int32()), listed],
+                    [pa.array(keys, pa.int64()), part.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(digests[row]), pa.array(number + row), pa.array((at - first[row]).astype(np.int32)), listed],
                     names=["key", "doc_id", "text", "at", "line", "blocks"],
                 )
+            number += part.num_rows
 
 
 def _texts(batches):

@@ -270,10 +270,25 @@ def test_lines_with_misprints_all_over(spark):
 
 def line_blocks(text):
     import numpy as np
-    import xxhash
 
-    words = set(text.encode().split())
-    return set(lines.blocks(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), np.array([len(words)]))[1].tolist())
+    _, words = lines._distinct(*lines._split(text.encode())[1:3])
+    return set(lines.blocks(words, np.array([len(words)]))[1].tolist())
+
+
+def test_split():
+    """Words, lines and their normal form, as Python splits them."""
+    rnd = random.Random(17)
+    made = ["", " ", "\n", "a", " a b \x0b c\t\td\n\n x  y ", "\r\n\r\n", "\x1c a \x1f b\x85", "a" * 9000 + " " + "b" * 5000, "é è\nê " * 300_000]
+    made += ["".join(rnd.choice(" ab\n\t\r\x0bé") for _ in range(rnd.randrange(40))) for _ in range(300)]
+    of_words = {}
+    for text in made:
+        plain = [line.split() for line in text.encode().split(b"\n")]
+        at, of, hashes, texts = lines._split(text.encode())
+        assert texts == [b" ".join(w) for w in plain if w] and at.tolist() == [k for k, w in enumerate(plain) if w]
+        assert of.tolist() == [k for k, w in enumerate(w for w in plain if w) for _ in w]
+        for h, w in zip(hashes.tolist(), (w for some in plain for w in some)):
+            assert of_words.setdefault(w, h) == h
+    assert len(set(of_words.values())) == len(of_words) > 80
 
 
 def test_all_similar():
@@ -295,6 +310,12 @@ def test_all_similar():
     assert lines.all_similar(pairs * 4, 0.8).tolist() == want * 4
     assert lines.all_similar(pairs * 4, 0.65).tolist() == [lines.edit_similarity(a, b, 0.65) >= 0.65 for a, b in pairs] * 4
     assert lines.all_similar([], 0.8).tolist() == []
+    near = []
+    for size in range(200, 320):
+        a = "".join(rnd.choice("abcdefgh ") for _ in range(size))
+        near += [(a, a[: size // 2] + "x" * n + a[size // 2 + rnd.randrange(4) :]) for n in (1, size // 20, size // 20 + 1)]
+    want = [lines.edit_similarity(a, b) >= 0.95 for a, b in near]
+    assert 50 < sum(want) < len(want) - 50 and lines.all_similar(near, 0.95).tolist() == want
 
 
 def test_edit_similarity():
