@@ -144,31 +144,38 @@ def all_similar(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
             for p in which:
                 out[p] = edit_similarity(*pairs[p], least) >= least
             continue
-        alphabet = np.unique(np.concatenate([_codes(t) for p in which for t in pairs[p]]))
+        codes = _codes("".join(t for p in which for t in pairs[p]))
+        used = np.zeros(int(codes.max()) + 1, bool)
+        used[codes] = True
+        # numbers of the letters that occur, from 0
+        place, letters = np.cumsum(used) - 1, int(used.sum())
         # 8 MB of letters' masks and of text each
-        step = max(1, (1 << 20) // max((len(alphabet) + 1) * words * 5 // 4, most))
+        step = max(1, (1 << 20) // max((letters + 1) * words * 5 // 4, most))
         for lo in range(0, len(which), step):
             some = which[lo : lo + step]
-            out[some] = _all_within([pairs[p] for p in some], least, alphabet)
+            out[some] = _all_within([pairs[p] for p in some], least, place, letters)
     return out
 
 
-def _all_within(pairs: list[tuple[str, str]], least: float, alphabet: np.ndarray) -> np.ndarray:
-    """all_similar() of pairs (longer, shorter) of about the same length. Only words that a path of few enough edits can
-    touch are worked on; what lies beyond counts as more distant, which it is. Pairs that cannot reach `least` any more
-    are dropped on the way."""
-    n, letters = len(pairs), len(alphabet) + 1
+def _all_within(pairs: list[tuple[str, str]], least: float, numbers: np.ndarray, letters: int) -> np.ndarray:
+    """all_similar() of pairs (longer, shorter) of about the same length; numbers of their letters by code. Only words
+    that a path of few enough edits can touch are worked on; what lies beyond counts as more distant, which it is. Pairs
+    that cannot reach `least` any more are dropped on the way, and the last few are compared one by one."""
+    n = len(pairs)
     size, other = (np.array([len(t) for t in side]) for side in zip(*pairs))
     own, words = size - 1 >> 6, int(size.max()) + 63 >> 6
     owner = np.repeat(np.arange(n), size)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    masks = np.zeros((words, n * letters), np.uint64)
-    np.bitwise_or.at(masks, (place >> 6, owner * letters + np.searchsorted(alphabet, np.concatenate([_codes(a) for a, _ in pairs]))), np.uint64(1) << (place & 63).astype(np.uint64))
-    # beyond the end of a line: the letter that no line has
-    text = np.full((int(other.max()), n), letters - 1)
-    owner = np.repeat(np.arange(n), other)
-    text[np.arange(len(owner)) - np.repeat(np.cumsum(other) - other, other), owner] = np.searchsorted(alphabet, np.concatenate([_codes(b) for _, b in pairs]))
-    text += np.arange(n) * letters
+    letter = numbers[_codes("".join(a for a, _ in pairs))]
+    # letter `letters`, which no line has, stands beyond the end of a line
+    letters += 1
+    masks = np.zeros(words * n * letters, np.uint64)
+    np.bitwise_or.at(masks, ((place >> 6) * n + owner) * letters + letter, np.uint64(1) << (place & 63).astype(np.uint64))
+    masks = masks.reshape(words, -1)
+    text = np.full((n, int(other.max())), letters - 1)
+    text[np.arange(text.shape[1]) < other[:, None]] = numbers[_codes("".join(b for _, b in pairs))]
+    text += np.arange(n)[:, None] * letters
+    text = np.ascontiguousarray(text.T)
 
     most = (1 - least) * size + 1e-9
     out, left = np.zeros(n, bool), np.arange(n)
@@ -215,7 +222,9 @@ def _all_within(pairs: list[tuple[str, str]], least: float, alphabet: np.ndarray
             going = (score - rest <= most) & (rest > 0)
             ended = rest == 0
             out[left[ended]] = 1 - score[ended] / size[ended] >= least
-            if not going.any():
+            if going.sum() < 4 * words:
+                for k in left[going].tolist():
+                    out[k] = edit_similarity(*pairs[k], least) >= least
                 break
             if going.sum() < 0.8 * len(left):
                 left, size, other, own, most, score, end = (v[going] for v in (left, size, other, own, most, score, end))
@@ -382,17 +391,27 @@ def _lines(batches):
             number += part.num_rows
 
 
-def _texts(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            seen: dict[int, bytes] = {}
-            for text in part.column(0).cast(pa.binary()).to_pylist():
-                for line in (text or b"").split(b"\n"):
-                    if t := normalised(line):
-                        seen[xxhash.xxh64_intdigest(t) & _MASK] = t
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary()).cast(pa.string())], names=["key", "line_text"])
+def _texts(wanted=None):
+    """Rows of text to (key, line_text) of their lines; wanted: a broadcast of the sorted keys of those to tell."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                seen: dict[int, bytes] = {}
+                for text in part.column(0).cast(pa.binary()).to_pylist():
+                    for line in (text or b"").split(b"\n"):
+                        if t := normalised(line):
+                            seen[xxhash.xxh64_intdigest(t) & _MASK] = t
+                keys, told = np.fromiter(seen, np.int64, len(seen)), list(seen.values())
+                if wanted is not None and len(keys):
+                    known = wanted.value
+                    asked = np.flatnonzero(known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys) if len(known) else []
+                    keys, told = keys[asked], [told[k] for k in asked]
+                if told:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(told, pa.binary()).cast(pa.string())], names=["key", "line_text"])
+
+    return run
 
 
 def _groups(batches):
@@ -495,9 +514,19 @@ def _company(texts: list[str], least: float):
     parts, sizes = np.unique(label, return_counts=True)
     outside = label != parts[sizes.argmax()]
     asked: list[tuple[int, int]] = []
-
-    def open_pairs() -> list[tuple[int, int]]:
-        return [(i, j) for i, j in asked if label[i] != label[j]]
+    different: set[tuple[int, int]] = set()
+
+    def settle():
+        # the nearest of each line first, as many others are connected by them
+        for some in ({i: (i, j) for i, j in reversed(asked)}.values(), asked):
+            some = [(i, j) for i, j in some if label[i] != label[j] and (i, j) not in different]
+            for (i, j), yes in zip(some, (yield some) if some else []):
+                if not yes:
+                    different.add((i, j))
+                elif label[i] != label[j]:
+                    link(i, j)
+        asked.clear()
+        different.clear()
 
     for i in np.flatnonzero(outside).tolist():
         for at in range(0, len(texts), 4096):
@@ -517,16 +546,8 @@ def _company(texts: list[str], least: float):
                         failed += 1
                         asked.append((i, j))
         if len(asked) >= ASKED:
-            asked = open_pairs()
-        if len(asked) >= ASKED:
-            for (x, y), yes in zip(asked, (yield asked)):
-                if yes and label[x] != label[y]:
-                    link(x, y)
-            asked = []
-    if asked := open_pairs():
-        for (x, y), yes in zip(asked, (yield asked)):
-            if yes and label[x] != label[y]:
-                link(x, y)
+            yield from settle()
+    yield from settle()
     return links
 
 
@@ -590,8 +611,12 @@ def occurrences(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         dealt = found.select(F.explode("blocks").alias("block"), "key").repartition("block").sortWithinPartitions("block")
         met = checkpoint(dealt.mapInArrow(_met, "company long, key long").distinct())
         again = checkpoint(met.select("key").distinct())
-        few = again.count() <= BROADCAST_KEYS
-        told = docs.select("text").mapInArrow(_texts, "key long, line_text string").join(F.broadcast(again) if few else again, "key").groupBy("key").agg(F.min("line_text").alias("line_text"))
+        if again.count() <= BROADCAST_KEYS:
+            wanted = spark.sparkContext.broadcast(np.sort(again.toArrow().column("key").to_numpy()))
+            told = docs.select("text").mapInArrow(_texts(wanted), "key long, line_text string")
+        else:
+            told = docs.select("text").mapInArrow(_texts(), "key long, line_text string").join(again, "key")
+        told = told.groupBy("key").agg(F.min("line_text").alias("line_text"))
         asked = met.join(told, "key").select("company", "key", "line_text").repartition("company").sortWithinPartitions("company")
         roots = checkpoint(components(asked.mapInArrow(_verified(similarity), "a long, b long")))
         joined = F.broadcast(roots) if roots.count() <= BROADCAST_KEYS else roots

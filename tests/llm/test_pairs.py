@@ -313,7 +313,7 @@ def test_all_similar():
     near = []
     for size in range(200, 320):
         a = "".join(rnd.choice("abcdefgh ") for _ in range(size))
-        near += [(a, a[: size // 2] + "x" * n + a[size // 2 + rnd.randrange(4) :]) for n in (1, size // 20, size // 20 + 1)]
+        near += [(a, a[: size // 2] + "x" * n + a[size // 2 + rnd.randrange(4) :]) for n in (1, size // 20, size // 20 + 1, size // 15)]
     want = [lines.edit_similarity(a, b) >= 0.95 for a, b in near]
     assert 50 < sum(want) < len(want) - 50 and lines.all_similar(near, 0.95).tolist() == want
 
