@@ -5,7 +5,8 @@ occur. A node's SimHash is made in blocks: each distinct word votes in one block
 word reaches its own block and that of its substitute, and by the pigeonhole principle lines that differ in few words
 agree in a block. The number of blocks follows the number of words (WORDS to twice as many words a block); of long lines
 BLOCKS of them are used. Lines of middling length have blocks by a second deal, short lines all their words but one,
-very short ones vote with pairs of letters.
+very short ones vote with pairs of letters. Lines of up to SHORT letters also have a block for each way to leave out as
+many letters as similar lines may differ in, so none of their links is lost.
 
 Lines are joined on equal blocks; lines that meet are compared with their texts and linked if their edit similarity
 reaches the threshold. Of each connected group the first occurrence stays. Where lines meet in several blocks in the
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint, components, forget, join_counted, packed, released_shuffles
 
 SIMILARITY, WORDS, BLOCKS = 0.8, 4, 8
+#: Similar lines of up to so many letters meet for sure, by all ways to leave out letters.
+SHORT = 14
 #: Keys of lines that meet others, and of linked ones with their groups, are broadcast up to so many (8 and 16 bytes
 #: each), beyond that joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
@@ -347,6 +350,17 @@ def _pieces(batch: pa.RecordBatch):
         yield batch.slice(lo, hi - lo)
 
 
+def _shortened(text: str) -> set[int]:
+    """Hashes of a short line with one or two letters left out, or none: lines one edit apart share one of up to one, two
+    edits apart one of up to two. By SIMILARITY that is what lines of up to 9 and up to 14 letters may differ in; the
+    shorter of a pair has 4 and 8 at least."""
+    once = {text[:i] + text[i + 1 :] for i in range(len(text))} | {text}
+    made = {b"\1" + x.encode("utf-8", "replace") for x in once} if 4 <= len(text) <= 9 else set()
+    if 8 <= len(text) <= SHORT:
+        made |= {b"\2" + y.encode("utf-8", "replace") for x in once for y in [x, *(x[:i] + x[i + 1 :] for i in range(len(x)))] if len(y) >= len(text) - 2}
+    return {xxhash.xxh64_intdigest(x) for x in made}
+
+
 def _lines(batches):
     """Lines with words: (key, doc_id, text, at, line, blocks); blocks where the task meets the line for the first time."""
     number, seen = TaskContext.get().partitionId() << 40, set()
@@ -381,6 +395,9 @@ def _lines(batches):
                 if len(counted):
                     line, found = blocks(hashes, counted)
                     line = owners[line]
+                short = [(k, x) for k in np.flatnonzero(new).tolist() if len(texts[k]) <= 4 * SHORT for x in _shortened(texts[k].decode("utf-8", "replace"))]
+                if short:
+                    line, found = np.append(line, [k for k, _ in short]), np.append(found, np.array([x for _, x in short], np.uint64))
                 order = np.argsort(line, kind="stable")
                 ends = np.cumsum(np.bincount(line, minlength=len(keys)))
                 listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found[order].view(np.int64)))

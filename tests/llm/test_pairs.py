@@ -268,6 +268,21 @@ def test_lines_with_misprints_all_over(spark):
     assert len(met) > 5 and all(group[a] == group[b] for a, b in met) and len(set(group.values())) == len(met)
 
 
+def test_short_lines(spark):
+    """Of lines of up to 14 letters every link is found."""
+    rnd = random.Random(18)
+    texts = {"doie.", "die.", "and!! ornd.", "and ornd.", "eding enin.", "eding in.", "la, ra.", "la, ja.", "héé", "hé", "é漢字ab", "é漢ab"}
+    for _ in range(60):
+        a = "".join(rnd.choice("abcdefghé ") for _ in range(rnd.randint(3, 14)))
+        texts |= {a, a[:-1], a[1:], a[1:-1], "x" + a[:13], a[:3] + "y" + a[4:], a[:2] + "q" + a[2:6] + a[7:]}
+    texts = sorted({" ".join(t.split()) for t in texts} - {""})
+    texts = [t for t in texts if len(t) <= 14]
+    group = {r.text: r.group for r in occurred(spark, texts)}
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if lines.edit_similarity(texts[i], texts[j]) >= 0.8]
+    assert len(links) > 100 and all(group[texts[i]] == group[texts[j]] for i, j in links)
+    assert len(set(group.values())) == len(set(grouped(links, range(len(texts))).values()))
+
+
 def line_blocks(text):
     import numpy as np
 
