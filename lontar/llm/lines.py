@@ -10,8 +10,8 @@ many letters as similar lines may differ in, so none of their links is lost.
 
 Lines are joined on equal blocks; lines that meet are compared with their texts and linked if their edit similarity
 reaches the threshold. Of each connected group the first occurrence stays. Where lines meet in several blocks in the
-same company they are compared once, and within a company lines that are connected already are not compared again, so
-a large group costs links, not pairs."""
+same company they are compared once; within a company, and from one company to the next of the same first line, lines
+that are connected already are not compared again, so a large group costs links, not pairs."""
 
 from __future__ import annotations
 
@@ -35,6 +35,10 @@ BROADCAST_KEYS = 2_000_000
 SEEN = 300_000
 #: Lines of companies that are compared together, and pairs a company asks for at once.
 COMPANIES, ASKED = 20_000, 4096
+#: Lines of companies that are dealt with others of the same first line, at most.
+CHAINED = 1000
+#: Letters of a piece of a line at most, and pieces that are looked for together.
+PIECE, PIECES = 64, 8192
 _MASK = (1 << 63) - 1
 _LAST_ID = (1 << 63) - 1
 #: The eight bits of a byte in a byte each.
@@ -58,24 +62,33 @@ def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
         a, b = b, a
     if not b or len(b) < least * len(a) - 1e-9:
         return 0.0
-    at: dict[str, int] = {}
+    letters: dict[str, int] = {}
     for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = full, 0, len(a)
+        letters[c] = letters.get(c, 0) | 1 << i
     most = (1 - least) * len(a) + 1e-9  # as it is rounded
-    for n, c in enumerate(b):
-        if not n & 63 and score - (len(b) - n) > most:
+    # rows that a path of few enough edits can touch, before and after the diagonal
+    before, after = (int(most) + len(b) - len(a)) // 2, (int(most) + len(a) - len(b)) // 2
+    # low is the distance of the rows left behind, the bits are the steps from there
+    plus = minus = base = rows = low = 0
+    for n in range(0, len(b), 64):
+        if n and low + plus.bit_count() - minus.bit_count() + len(a) - rows - (len(b) - n) > most:
             return 0.0  # even if all that is left matches
-        eq = at.get(c, 0)
-        x = eq | minus
-        d = ((((eq & plus) + plus) ^ plus) | x) & full
-        up = (minus | ~(d | plus)) & full
-        down = plus & d
-        score += bool(up & top) - bool(down & top)
-        up = (up << 1 | 1) & full
-        plus = ((down << 1) | (~(x | up) & full)) & full
-        minus = up & x
+        to, drop, base = min(len(a), n + 64 + after), max(0, n - before) - base, max(0, n - before)
+        # rows that come in count one edit each
+        plus |= (1 << to - rows) - 1 << rows - base + drop
+        gone, rows = (1 << drop) - 1, to
+        low += (plus & gone).bit_count() - (minus & gone).bit_count()
+        plus, minus, full = plus >> drop, minus >> drop, (1 << rows - base) - 1
+        at = {c: v >> base & full for c, v in letters.items()} if rows - base < len(a) else letters
+        some = b[n : n + 64]
+        low += len(some)
+        for c in some:
+            eq = at.get(c, 0)
+            d = (((eq & plus) + plus) ^ plus) | eq | minus
+            up = ((minus | full & ~(d | plus)) << 1 | 1) & full
+            plus = ((plus & d) << 1 | ~(d | up)) & full
+            minus = up & d
+    score = low + plus.bit_count() - minus.bit_count()
     return 1 - score / len(a)
 
 
@@ -128,12 +141,95 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def _far(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
+    """Which pairs (longer, shorter) pieces show to be less similar; False proves nothing.
+
+    An alignment of few enough edits puts each piece of the longer line opposite some run of the shorter one, shifted by
+    no more than the edits before and after the piece allow. So the least distances of the pieces to any run of what they
+    can reach add up to no more than the distance of the lines. A piece is a word of bits; letters count by 64 classes,
+    which only makes distances smaller."""
+    texts = {t: i for i, t in enumerate({t: None for pair in pairs for t in pair})}
+    codes = (_codes("".join(texts)) & 63).astype(np.int64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(size) - size
+    a, b = (np.fromiter((texts[t] for t in side), np.int64, len(pairs)) for side in zip(*pairs))
+    most = ((1 - least) * size[a] + 1e-9).astype(np.int64)
+    apart = size[b] - size[a]
+    low, high = (apart - most) // 2, (apart + most + 1) // 2
+    n = -(-size[a] // PIECE)
+    found = np.zeros(len(pairs), np.int64)
+    # half of the pieces tell most pairs
+    for part in range(2):
+        left = np.flatnonzero((found <= most) & (n > part))
+        ends = np.cumsum((n[left] + 1 - part) // 2)
+        at = 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECES, "right")))
+            some, at = left[at:to], to
+            lanes = (n[some] + 1 - part) // 2
+            owner = np.repeat(some, lanes)
+            number = 2 * (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) + part
+            first, last = (size[a[owner]] * k // n[owner] for k in (number, number + 1))
+            start, end = np.maximum(first + low[owner], 0), np.minimum(last + high[owner], size[b[owner]])
+            found += np.bincount(owner, _nearest(codes, begin[a[owner]] + first, last - first, begin[b[owner]] + start, np.maximum(end - start, 0)), len(found)).astype(np.int64)
+    return found > most
+
+
+def _nearest(codes: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """For each piece codes[first : first + size] its least distance to any run of codes[start : start + width]. A piece
+    ends at its word's highest bit; the bits below it match any letter."""
+    order = np.argsort(-width, kind="stable")
+    first, size, at, width = first[order], size[order], start[order], width[order]
+    n, free = len(order), (PIECE - size).astype(np.uint64)
+    one, all_bits, sign = np.uint64(1), ~np.uint64(0), np.uint64(63)
+    owner = np.repeat(np.arange(n), size)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    masks = np.repeat((one << free) - one, 64)
+    np.bitwise_or.at(masks, owner * 64 + codes[first[owner] + place], one << (place.astype(np.uint64) + free[owner]))
+    plus, minus, row = all_bits << free, np.zeros(n, np.uint64), np.arange(n) * 64
+    score, best = size.copy(), size.copy()
+    for left in np.searchsorted(-width, -np.arange(width[0]), "left").tolist() if n else []:
+        p, m, here = plus[:left], minus[:left], at[:left]
+        eq = codes.take(here)
+        eq += row[:left]
+        eq = masks.take(eq)
+        here += 1
+        x = eq | m
+        d = eq & p
+        d += p
+        d ^= p
+        d |= eq
+        up = d | p
+        np.invert(up, out=up)
+        up |= m
+        d &= p
+        now = score[:left]
+        now += (up >> sign).view(np.int64)
+        now -= (d >> sign).view(np.int64)
+        np.minimum(best[:left], now, out=best[:left])
+        up <<= one
+        d <<= one
+        np.bitwise_and(up, x, out=m)
+        x |= up
+        np.invert(x, out=x)
+        np.bitwise_or(d, x, out=p)
+    out = np.empty(n, np.int64)
+    out[order] = best
+    return out
+
+
 def all_similar(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
     """edit_similarity(a, b, least) >= least for many pairs at once: the same bits as there, a word of 64 for each pair in
-    an array."""
+    an array. Pairs of long lines that their pieces tell apart are not compared."""
     pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
     out = np.array([a == b for a, b in pairs], bool)
-    order = sorted((p for p, (a, b) in enumerate(pairs) if a != b and b), key=lambda p: (len(pairs[p][0]), len(pairs[p][1])))
+    order = np.array([p for p, (a, b) in enumerate(pairs) if a != b and b and len(b) >= least * len(a) - 1e-9], np.int64)
+    long = np.array([len(pairs[p][0]) > PIECE for p in order.tolist()], bool)
+    if long.any():
+        far = np.zeros(len(order), bool)
+        far[long] = _far([pairs[p] for p in order[long].tolist()], least)
+        order = order[~far]
+    order = sorted(order.tolist(), key=lambda p: (len(pairs[p][0]), len(pairs[p][1])))
     at = 0
     while at < len(order):
         words = len(pairs[order[at]][0]) + 63 >> 6
@@ -184,7 +280,7 @@ def _all_within(pairs: list[tuple[str, str]], least: float, numbers: np.ndarray,
     out, left = np.zeros(n, bool), np.arange(n)
     score, end = size.copy(), (size - 1 & 63).astype(np.uint64)
     plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
-    one, top, far, shortest, first = np.uint64(1), np.uint64(63), int(most.max()) + 1, int(other.min()), int(own.min())
+    one, top, far, shortest, first = np.uint64(1), np.uint64(63), int((most + size - other).max()) // 2 + 1, int(other.min()), int(own.min())
     for at in range(len(text)):
         up_in, down_in = one, None
         for w in range(max(0, at - far) >> 6, min(words, (at + far >> 6) + 1)):
@@ -261,24 +357,26 @@ def _dealt(hashes: np.ndarray, counts: np.ndarray, salt: int) -> tuple[np.ndarra
     """(line, block): a block is the SimHash of the words whose hashes share their leading bits, as many bits as the level
     of the line; near the step to its level a line also has the blocks of the level below."""
     line = np.repeat(np.arange(len(counts)), counts)
-    order = np.argsort((line.astype(np.uint64) << np.uint64(16)) | (hashes >> np.uint64(48)), kind="stable")
-    h, n = hashes[order], counts[line]
+    place = (line.astype(np.uint64) << np.uint64(16)) | (hashes >> np.uint64(48))
+    h, n = hashes if (place[1:] >= place[:-1]).all() else hashes[np.argsort(place)], counts[line]
     level = np.minimum(14, np.floor(np.log2(np.maximum(1, counts // WORDS)))).astype(np.int64)
     below = (level > 0) & (counts < 1.3 * WORDS * 2.0**level)
     # words of blocks that are not used, at either level, need not vote
     used = np.flatnonzero((h >> np.uint64(48)) >> (16 - level[line]).astype(np.uint64) < 2 * BLOCKS)
-    h, n, line = h[used], n[used], line[used]
+    if len(used) < len(h):
+        h, n, line = h[used], n[used], line[used]
     lanes = _LANES[h.view(np.uint8)].reshape(-1, 8)
     lines, found = [], []
 
     def take(level: np.ndarray, which: np.ndarray) -> None:
-        at = np.flatnonzero(which[line])
-        if not len(at):
+        at = slice(None) if which.all() else np.flatnonzero(which[line])
+        own = line[at]
+        if not len(own):
             return
-        part = (h[at] >> np.uint64(48)) >> (16 - level[line[at]]).astype(np.uint64)
-        new = np.flatnonzero(np.append(True, (line[at][1:] != line[at][:-1]) | (part[1:] != part[:-1])))
-        sizes = np.diff(np.append(new, len(at)))
-        owner = line[at][new]
+        part = (h[at] >> np.uint64(48)) >> (16 - level[own]).astype(np.uint64)
+        new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (part[1:] != part[:-1])))
+        sizes = np.diff(np.append(new, len(own)))
+        owner = own[new]
         # two words are often two common ones; whole lines may have two
         keep = (sizes > np.where(level[owner] > 0, 2, 1)) & (part[new] < BLOCKS)
         lines.append(owner[keep])
@@ -458,8 +556,9 @@ def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _met(batches):
-    """(block, key) sorted by block, to (company, key): the lines of each block with several, named by those lines."""
-    names, keys, held = [], [], 0
+    """(block, key) sorted by block, to (company, first, key): the lines of each block with several, named by those lines.
+    first is the company's smallest key, by which companies that share lines go to one task; large companies go alone."""
+    names, firsts, keys, held = [], [], [], 0
     pending, last = None, None
 
     def close():
@@ -468,11 +567,12 @@ def _met(batches):
             some = np.unique(np.concatenate(pending))
             if len(some) > 1:
                 names.append(np.full(len(some), xxhash.xxh64_intdigest(some.tobytes()), np.uint64).view(np.int64))
+                firsts.append(np.full(len(some), some[0]) if len(some) <= CHAINED else names[-1])
                 keys.append(some)
                 held += len(some)
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(keys))], names=["company", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, firsts, keys)], names=["company", "first", "key"])
 
     for batch in batches:
         block, key = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -492,7 +592,7 @@ def _met(batches):
                 pending, last = [key[lo:hi]], block[lo]
         if held > 50_000:
             yield out()
-            names, keys, held = [], [], 0
+            names, firsts, keys, held = [], [], [], 0
     close()
     if names:
         yield out()
@@ -503,14 +603,16 @@ def _letters(texts: list[str]) -> np.ndarray:
     return np.stack([np.bincount(_codes(t) & 63, minlength=64) for t in texts]).astype(np.int32)
 
 
-def _company(texts: list[str], least: float):
-    """Pairs (i, j) that connect all texts at least so similar. Asks for comparisons: yields lists of pairs of positions
-    and is sent which of them are similar.
+def _company(texts: list[str], least: float, label: np.ndarray):
+    """Pairs (i, j) that connect all texts at least so similar; texts of equal labels are connected already. Asks for
+    comparisons: yields lists of pairs of texts and is sent which of them are similar.
 
     First come pairs that an alignment of words may show to be similar: neighbours in alphabetical order, then lines and
     those nearest by letters. Then all are compared that are not connected yet and whose letters allow it: a distance is
     at least the letters one has more than the other."""
-    label, links = np.arange(len(texts)), []
+    links: list[tuple[int, int]] = []
+    if (label == label[0]).all():
+        return links
 
     def link(i: int, j: int) -> None:
         label[label == label[i]] = label[j]
@@ -522,7 +624,7 @@ def _company(texts: list[str], least: float):
 
     order = sorted(range(len(texts)), key=texts.__getitem__)
     for i, j in zip(order, order[1:]):
-        if shown(i, j):
+        if label[i] != label[j] and shown(i, j):
             link(i, j)
     if (label == label[0]).all():
         return links
@@ -537,7 +639,7 @@ def _company(texts: list[str], least: float):
         # the nearest of each line first, as many others are connected by them
         for some in ({i: (i, j) for i, j in reversed(asked)}.values(), asked):
             some = [(i, j) for i, j in some if label[i] != label[j] and (i, j) not in different]
-            for (i, j), yes in zip(some, (yield some) if some else []):
+            for (i, j), yes in zip(some, (yield [(texts[i], texts[j]) for i, j in some]) if some else []):
                 if not yes:
                     different.add((i, j))
                 elif label[i] != label[j]:
@@ -568,10 +670,31 @@ def _company(texts: list[str], least: float):
     return links
 
 
-def _connect_all(companies: list[list[str]], least: float) -> list[list[tuple[int, int]]]:
-    """The links of each company; the comparisons they ask for are made together."""
+def _chain(companies: list[list[str]], least: float):
+    """_company() of one company after the other; what is connected in one is so in the next."""
+    above: dict[str, str] = {}
+
+    def top(t: str) -> str:
+        while (up := above.get(t, t)) is not t:
+            above[t] = t = above.get(up, up)
+        return t
+
     links: list[list[tuple[int, int]]] = [[] for _ in companies]
-    runs, answers = {c: _company(texts, least) for c, texts in enumerate(companies)}, dict.fromkeys(range(len(companies)))
+    for c in sorted(range(len(companies)), key=lambda c: -len(companies[c])):
+        texts, known = companies[c], {}
+        label = np.array([known.setdefault(top(t), i) for i, t in enumerate(texts)]) if above else np.arange(len(texts))
+        links[c] = yield from _company(texts, least, label)
+        if len(companies) > 1:
+            for i, j in links[c]:
+                if (a := top(texts[i])) != (b := top(texts[j])):
+                    above[a] = b
+    return links
+
+
+def _connect_all(chains: list[list[list[str]]], least: float) -> list[list[list[tuple[int, int]]]]:
+    """The links of each company of each chain; the comparisons that chains ask for are made together."""
+    links: list[list[list[tuple[int, int]]]] = [[] for _ in chains]
+    runs, answers = {c: _chain(companies, least) for c, companies in enumerate(chains)}, dict.fromkeys(range(len(chains)))
     while runs:
         asked = {}
         for c in list(runs):
@@ -580,34 +703,38 @@ def _connect_all(companies: list[list[str]], least: float) -> list[list[tuple[in
             except StopIteration as end:
                 links[c] = end.value
                 del runs[c]
-        pairs = {(companies[c][i], companies[c][j]): False for c, some in asked.items() for i, j in some}
+        pairs = {pair: False for some in asked.values() for pair in some}
         pairs = dict(zip(pairs, all_similar(list(pairs), least).tolist()))
-        answers = {c: [pairs[companies[c][i], companies[c][j]] for i, j in some] for c, some in asked.items()}
+        answers = {c: [pairs[pair] for pair in some] for c, some in asked.items()}
     return links
 
 
 def _connect(texts: list[str], least: float) -> list[tuple[int, int]]:
     """Pairs (i, j) that connect all texts at least so similar, whatever words they share."""
-    return _connect_all([texts], least)[0]
+    return _connect_all([[texts]], least)[0][0]
 
 
 def _verified(least: float):
-    """(company, key, text) sorted by company, to links between keys."""
+    """(company, first, key, text) sorted by first and company, to links between keys."""
 
     def run(batches):
-        held, n = [], 0
+        chains, last, n = [], None, 0
 
         def links():
-            found = [(keys[i], keys[j]) for (keys, _), some in zip(held, _connect_all([t for _, t in held], least)) if some for i, j in [map(list, zip(*some))]]
+            found = _connect_all([[texts for _, texts in chain] for chain in chains], least)
+            found = [(keys[i], keys[j]) for chain, parts in zip(chains, found) for (keys, _), some in zip(chain, parts) if some for i, j in [map(list, zip(*some))]]
             return [_links(found)] if found else []
 
-        for _, keys, texts in _groups(batches):
-            held.append((keys, texts.tolist()))
+        for _, first, keys, texts in _groups(batches):
+            if not chains or first[0] != last:
+                chains.append([])
+                last = first[0]
+            chains[-1].append((keys, texts.tolist()))
             n += len(keys)
             if n >= COMPANIES:
                 yield from links()
-                held, n = [], 0
-        if held:
+                chains, n = [], 0
+        if chains:
             yield from links()
 
     return run
@@ -626,7 +753,7 @@ def occurrences(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         found = checkpoint(docs.mapInArrow(_lines, "key long, doc_id long, text long, at long, line int, blocks array<long>"))
         place = F.struct(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("d"), F.col("doc_id").isNull().alias("n"), F.col("text").alias("t"), F.col("line").alias("l"), F.col("at").alias("a"))
         dealt = found.select(F.explode("blocks").alias("block"), "key").repartition("block").sortWithinPartitions("block")
-        met = checkpoint(dealt.mapInArrow(_met, "company long, key long").distinct())
+        met = checkpoint(dealt.mapInArrow(_met, "company long, first long, key long").distinct())
         again = checkpoint(met.select("key").distinct())
         if again.count() <= BROADCAST_KEYS:
             wanted = spark.sparkContext.broadcast(np.sort(again.toArrow().column("key").to_numpy()))
@@ -634,7 +761,7 @@ def occurrences(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         else:
             told = docs.select("text").mapInArrow(_texts(), "key long, line_text string").join(again, "key")
         told = told.groupBy("key").agg(F.min("line_text").alias("line_text"))
-        asked = met.join(told, "key").select("company", "key", "line_text").repartition("company").sortWithinPartitions("company")
+        asked = met.join(told, "key").select("company", "first", "key", "line_text").repartition("first").sortWithinPartitions("first", "company")
         roots = checkpoint(components(asked.mapInArrow(_verified(similarity), "a long, b long")))
         joined = F.broadcast(roots) if roots.count() <= BROADCAST_KEYS else roots
         grouped = found.drop("blocks").join(joined, found.key == roots.node, "left").drop("node").withColumn("group", F.coalesce("root", "key")).drop("root")

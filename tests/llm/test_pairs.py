@@ -358,3 +358,49 @@ def test_range_number(spark):
     cuts = np.array([5, 9, 9, 14, 70, 71, 200])
     got = spark.createDataFrame([(i,) for i in [None, *range(0, 210, 3), 5, 9, 14, 70, 71, 200]], "i long").select("i", common.range_number(F.col("i"), cuts).alias("n")).collect()
     assert all(r.n == (len(cuts) + 1 if r.i is None else int(np.searchsorted(cuts, r.i))) for r in got)
+
+
+def test_pieces_tell_long_lines_apart(monkeypatch):
+    """Long lines that differ all over are told apart by their pieces, without a comparison; similar ones never are."""
+    rnd = random.Random(18)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randrange(3, 9))) for _ in range(n))
+    apart = [(line(n), line(n)) for n in (40, 90, 250) for _ in range(20)]
+    near = []
+    for size in (65, 128, 129, 300, 900):
+        for least in (0.65, 0.8, 0.95) * 40:
+            a = [rnd.choice(rnd.choice(["ab", "abcdefgh ", "añ漢😀 "])) for _ in range(size)]
+            b = list(a)
+            for _ in range(rnd.randrange(int((1 - least) * size) + 2)):
+                at, what = rnd.randrange(len(b) + 1), rnd.randrange(3)
+                b[at : at + (what > 0)] = [] if what == 1 else [rnd.choice("abx")]
+            # all that is left out in one place, too
+            near += [("".join(a), "".join(b), least), ("".join(a), "".join(a[rnd.randrange(int((1 - least) * size) + 1) :]), least)]
+    for least in (0.65, 0.8, 0.95):
+        pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b, asked in near if asked == least]
+        alike = [lines.edit_similarity(a, b) >= least for a, b in pairs]
+        assert sum(alike) > 100 and not any(yes and far for yes, far in zip(alike, lines._far(pairs, least)))
+    asked = []
+    monkeypatch.setattr(lines, "edit_similarity", lambda *x: asked.append(x) or 0.0)
+    monkeypatch.setattr(lines, "_all_within", lambda pairs, *_: asked.extend(pairs) or [False] * len(pairs))
+    assert not lines.all_similar(apart, 0.8).any() and not asked
+
+
+def test_companies_of_a_chain(monkeypatch):
+    """What is connected in one company is not compared again in the next; the groups are those of each by itself."""
+    rnd = random.Random(19)
+    texts = sorted(set(changed_lines()))[:200]
+    companies = [texts[k : k + 60] for k in range(0, 200, 45)] + [rnd.sample(texts, 30) for _ in range(6)]
+    of = lambda found: [(texts.index(c[i]), texts.index(c[j])) for c, some in zip(companies, found) for i, j in some]
+    alone = of([lines._connect(c, 0.8) for c in companies])
+    chained = of(lines._connect_all([companies], 0.8)[0])
+    assert grouped(chained, range(len(texts))) == grouped(alone, range(len(texts)))
+    compared = []
+    shown, many = lines._shown, lines.all_similar
+    monkeypatch.setattr(lines, "_shown", lambda *x: compared.append(x) or shown(*x))
+    monkeypatch.setattr(lines, "all_similar", lambda pairs, least: compared.extend(pairs) or many(pairs, least))
+    words = max(texts, key=len).split()
+    near = [" ".join(words[:k] + words[k + 1 :]) for k in range(20)]
+    lines._connect(near, 0.8)
+    once = len(compared)
+    found = lines._connect_all([[near, near[5:], near[:9]]], 0.8)[0]
+    assert len(found[0]) == 19 and not any(found[1:]) and len(compared) == 2 * once > 0
