@@ -335,3 +335,15 @@ def test_secret_features(spark):
         assert all(abs(a - b) < 1e-9 for a, b in zip(want, have)), (v, want, have)
         seen += 1
     assert seen >= 60
+
+
+def test_capitals_in_texts_with_special_letters():
+    """Ids are those of the tokenizer for capitals beside the letters that special tokens begin with, with and without others."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    special = min(tokenids.WordCoder(path).starts)
+    for texts in ([f"Hello {special} World"], [f"HELLO, WORLD. {special}x"], [f"Hello {special} Wörld É"], ["Hello World. É", f"{special}Hello World", "", "hello"]):
+        (ids, n), (want, m) = (c(path).encode(pa.array(texts), 2) for c in (tokenids.WordCoder, tokenids.TextCoder))
+        assert ids.tolist() == want.tolist() and n.tolist() == m.tolist()
