@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lontar.functions import fixed, text
+from lontar.functions.rules import FIELD_LINE, HEAD, VERSE_WORD
 
-#: A numbered head of explanations and appendices, and a verse in words.
-HEAD, VERSE_WORD = r"^([IVXLCDM]+|[A-Z])\.\s+(.+)$", r"^(?i:ayat)\s*\(\s*([0-9]+\s*[a-zA-Z]?)\s*\)\s*(.*)$"
-FIELD_LINE = r"(?i)^(NOMOR\b|TENTANG$)"
 FLAT = ["menimbang", "mengingat", "memperhatikan"]
 BODY = ["batang_tubuh", "penjelasan_pasal"]
 STEP = 1000

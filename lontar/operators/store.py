@@ -196,6 +196,15 @@ def review_flags(issues: DataFrame, nodes: DataFrame, answers: DataFrame | None
     return found.unionByName(told)
 
 
+def answered_flags(found: DataFrame) -> DataFrame:
+    """review_flags in one pass over flags that follow from a parse (doc_id, node_idx, source, code, message), each with
+    the answer (about, explanation) of a model that confirms a problem of its node, else null."""
+    flag = F.struct("source", "code", "message")
+    told = F.when(F.col("answer").isNotNull(), F.struct(F.concat(F.lit("model_"), "answer.about").alias("source"), F.upper("answer.about").alias("code"), F.col("answer.explanation").alias("message")))
+    each = found.select(F.col("doc_id").alias("document_id"), "node_idx", F.explode(F.array_compact(F.array(flag, told))).alias("x"))
+    return each.select("document_id", "node_idx", "x.source", "x.code", F.lit("needs_review").alias("severity"), "x.message")
+
+
 #: What a full reset empties, in the order of their dependence.
 RESET = ["node_embeddings", "nodes", "parse_snapshots", "review_flags", "relations", "document_pages", "documents"]
 

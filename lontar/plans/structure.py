@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lontar.operators import lines, nodes, segments
+from lontar.operators import lines, nodes, parse, segments
 
 from . import corpus, oracle
 
