@@ -26,7 +26,7 @@ def f05_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x02_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.segments(segments.bounds(lines.stitch(corpus.lines(spark, sf_dir)))).select("doc_id", "seg", "section", "start", "end")
+    return parse.segments(corpus.documents(spark, sf_dir))
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
