@@ -35,7 +35,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x09_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir)
+    return parse.nodes(corpus.documents(spark, sf_dir))
 
 
 _LINE = "SELECT doc_id, idx, page, line_no, text, kind, label, title, rest FROM clean"
