@@ -12,7 +12,7 @@ M = ["m.kind", "m.label", "m.title", "m.text as rest"]
 
 
 def x01_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.stitch(corpus.lines(spark, sf_dir)).selectExpr("doc_id", "idx", "page", "line_no", "text", *M)
+    return parse.clean_lines(corpus.documents(spark, sf_dir))
 
 
 def a02_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
