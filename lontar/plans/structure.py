@@ -16,8 +16,7 @@ def x01_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a02_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.boilerplate(lines.classified(corpus.lines(spark, sf_dir).repartition("doc_id")))
-    return found.where("boiler").select("doc_id", "text", "on_pages", "n_pages").distinct()
+    return parse.boilerplate(corpus.documents(spark, sf_dir))
 
 
 def f05_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
