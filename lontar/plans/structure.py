@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lontar.operators import lines, nodes, parse, segments
+from lontar.operators import parse
 
 from . import corpus, oracle
 
-M = ["m.kind", "m.label", "m.title", "m.text as rest"]
-
 
 def x01_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.clean_lines(corpus.documents(spark, sf_dir))
@@ -20,19 +18,13 @@ def a02_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f05_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.classified(corpus.lines(spark, sf_dir))
-    return found.selectExpr("doc_id", "page", "line_no", "text", *M)
+    return parse.marked_lines(corpus.documents(spark, sf_dir))
 
 
 def x02_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.segments(corpus.documents(spark, sf_dir))
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded = segments.bounds(lines.stitch(corpus.lines(spark, sf_dir)))
-    return nodes.nodes(segments.segment_lines(bounded))
-
-
 def x09_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.nodes(corpus.documents(spark, sf_dir))
 
