@@ -153,24 +153,29 @@ def recorded(rows: DataFrame, answers: DataFrame, *keys: str) -> DataFrame:
 
 
 def _field(a: Column, name: str, most: int) -> Column:
-    return F.coalesce(tx.placeholder(tx.cut(a[name], most)), F.lit(""))
+    return F.coalesce(tx.let(tx.cut(a[name], most), tx.placeholder), F.lit(""))
 
 
 def gate_answer(raw: Column) -> Column:
     """struct(ok, reason) of the answer whether a page is of a legal document; null for an answer without JSON."""
-    a = answer(raw, "produk_hukum boolean, alasan string")
-    return F.when(a.isNotNull(), F.struct(F.coalesce(a["produk_hukum"], F.lit(False)).alias("ok"), F.coalesce(tx.cut(a["alasan"], REASON), F.lit("")).alias("reason")))
+    told = lambda a: F.when(a.isNotNull(), F.struct(F.coalesce(a["produk_hukum"], F.lit(False)).alias("ok"), F.coalesce(tx.cut(a["alasan"], REASON), F.lit("")).alias("reason")))
+    return tx.let(answer(raw, "produk_hukum boolean, alasan string"), told)
 
 
 def identity_answer(raw: Column) -> Column:
     """struct of the identity that a model read, with its area, number and year worked out; null without JSON."""
-    a = answer(raw, "jenis string, instansi_tertulis string, nomor string, tahun string, tentang string")
-    office, number = _field(a, "instansi_tertulis", WIDE), _field(a, "nomor", NARROW)
-    told = F.struct(
-        _field(a, "jenis", WIDE).alias("jenis"), office.alias("instansi_tertulis"), identity.area(office).alias("wilayah"), number.alias("nomor"), tx.first_number(number).alias("nomor_urut"),
-        F.coalesce(tx.year_or_empty(tx.cut(a["tahun"], 4)), F.lit("")).alias("tahun"), _field(a, "tentang", LONG).alias("tentang"),
-    )
-    return F.when(a.isNotNull(), told)
+
+    def fields(a: Column) -> Column:
+        return F.when(a.isNotNull(), F.struct(*[_field(a, f, n).alias(f) for f, n in (("jenis", WIDE), ("instansi_tertulis", WIDE), ("nomor", NARROW), ("tentang", LONG))], tx.cut(a["tahun"], 4).alias("tahun")))
+
+    def told(f: Column) -> Column:
+        return F.when(f.isNotNull(), F.struct(
+            f["jenis"].alias("jenis"), f["instansi_tertulis"].alias("instansi_tertulis"), identity.area(f["instansi_tertulis"]).alias("wilayah"), f["nomor"].alias("nomor"), tx.first_number(f["nomor"]).alias("nomor_urut"),
+            F.coalesce(tx.year_or_empty(f["tahun"]), F.lit("")).alias("tahun"), f["tentang"].alias("tentang"),
+        ))
+
+    # the answer is decoded once, and so is each field cut
+    return tx.let(tx.let(answer(raw, "jenis string, instansi_tertulis string, nomor string, tahun string, tentang string"), fields), told)
 
 
 #: Fields of the signing block and the bytes kept of each.
@@ -179,19 +184,20 @@ SIGNING = {"ditetapkan_di": WIDE, "ditetapkan_tanggal": NARROW, "ditetapkan_oleh
 
 def signing_answer(raw: Column) -> Column:
     """struct of the eight fields of a signing block that a model read; null without JSON."""
-    a = answer(raw, ", ".join(f"{f} string" for f in SIGNING))
-    return F.when(a.isNotNull(), F.struct(*[_field(a, f, n).alias(f) for f, n in SIGNING.items()]))
+    fields = lambda a: F.when(a.isNotNull(), F.struct(*[_field(a, f, n).alias(f) for f, n in SIGNING.items()]))
+    return tx.let(answer(raw, ", ".join(f"{f} string" for f in SIGNING)), fields)
 
 
 def merged_signing(certain: Column, model: Column) -> Column:
     """The signing block read by rule, filled up from the model's."""
-    return F.struct(*[F.coalesce(tx.prefer(certain[f], model[f]), F.lit("")).alias(f) for f in SIGNING])
+    both = F.struct(certain.alias("certain"), model.alias("model"))
+    return tx.let(both, lambda b: F.struct(*[F.coalesce(tx.prefer(b["certain"][f], b["model"][f]), F.lit("")).alias(f) for f in SIGNING]))
 
 
 def review_answer(raw: Column) -> Column:
     """struct(problem, explanation) of a review; null without JSON. It never changes what was reviewed."""
-    a = answer(raw, "bermasalah boolean, penjelasan string")
-    return F.when(a.isNotNull(), F.struct(F.coalesce(a["bermasalah"], F.lit(False)).alias("problem"), F.coalesce(tx.cut(a["penjelasan"], LONG), F.lit("")).alias("explanation")))
+    told = lambda a: F.when(a.isNotNull(), F.struct(F.coalesce(a["bermasalah"], F.lit(False)).alias("problem"), F.coalesce(tx.cut(a["penjelasan"], LONG), F.lit("")).alias("explanation")))
+    return tx.let(answer(raw, "bermasalah boolean, penjelasan string"), told)
 
 
 def fetched(responses: DataFrame, followed: DataFrame) -> DataFrame:

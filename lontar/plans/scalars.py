@@ -77,8 +77,7 @@ def f21_signing(spark, sf_dir):
 
 def _pages(spark, sf_dir, page: int) -> DataFrame:
     """Text of one page of each corpus document."""
-    lines = corpus.lines(spark, sf_dir).where(F.col("page") == page)
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("page_text"))
+    return corpus.page_texts(spark, sf_dir, page).select("doc_id", F.col("text").alias("page_text"))
 
 
 def m05_decide(spark, sf_dir):
@@ -135,7 +134,7 @@ def f19_area_of_kind(spark, sf_dir):
 
 def p08_anchors(spark, sf_dir):
     """What stands on each page of the corpus, and whether it looks like one of a legal document."""
-    lines = corpus.lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"))
+    lines = corpus.page_texts(spark, sf_dir).withColumnRenamed("text", "t")
     t = F.col("t")
     return lines.select("doc_id", "page", (text.has_recital(t) | text.has_dictum(t)).alias("recital"), text.has_explanation(t).alias("explanation"), text.has_appendix(t).alias("appendix"), text.looks_legal(t).alias("looks_legal"))
 
