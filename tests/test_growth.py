@@ -16,3 +16,13 @@ ANSWERS = ["m02_identity", "m03_signing"]
 @pytest.mark.parametrize("name", ANSWERS)
 def test_answers_are_decoded_once(spark, name):
     assert plan(spark, name).count("from_json(") == 1
+
+
+PAGES = ["f20_identity"]
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_are_made_where_their_document_is(spark, name):
+    """Orders and line numbers are read and dealt once; the lines of pages are not dealt."""
+    said = plan(spark, name)
+    assert said.count("Relation [") == 2 and said.count("RepartitionByExpression") == 2
