@@ -18,7 +18,7 @@ def test_answers_are_decoded_once(spark, name):
     assert plan(spark, name).count("from_json(") == 1
 
 
-PAGES = ["f20_identity"]
+PAGES = ["f20_identity", "f21_signing"]
 
 
 @pytest.mark.parametrize("name", PAGES)
