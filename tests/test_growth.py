@@ -18,7 +18,7 @@ def test_answers_are_decoded_once(spark, name):
     assert plan(spark, name).count("from_json(") == 1
 
 
-PAGES = ["f20_identity", "f21_signing"]
+PAGES = ["f20_identity", "f21_signing", "w15_tiers"]
 
 
 @pytest.mark.parametrize("name", PAGES)
