@@ -93,15 +93,14 @@ def recognise(pages: DataFrame, engine: Callable[[bytes, int, int], tuple[str, b
 
 def clean_text(raw: Column) -> Column:
     """A recognised text with runs of tokens cut, and, of equal lines in a row, at most three left; blank lines end a run."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"), F.lit(0).alias("run"))
+    kept = F.transform(tx.clamp_lines(F.split(raw, "\n", -1)), lambda x: x["text"])
+    return F.when(tx.strip(raw) == "", raw).otherwise(F.array_join(kept, "\n"))
 
-    def step(acc: Column, line: Column) -> Column:
-        key = tx.strip(line)
-        run = F.when((key == acc["last"]) & (key != ""), acc["run"] + 1).otherwise(0)
-        return F.struct(F.when(run >= fixed.MAX_LINE_RUN, acc["out"]).otherwise(F.array_append(acc["out"], line)).alias("out"), F.when(run > 0, acc["last"]).otherwise(key).alias("last"), run.alias("run"))
 
-    lines = F.transform(F.split(raw, "\n", -1), tx.clamp_tokens)
-    return F.when(tx.strip(raw) == "", raw).otherwise(F.array_join(F.aggregate(lines, start, step)["out"], "\n"))
+def cleaned(raw: Column) -> Column:
+    """struct(text, removed) of clean_text() and removed_lines(), which reads the text once."""
+    count = lambda c: F.size(F.split(c, "\n", -1))
+    return tx.let(clean_text(raw), lambda t: F.struct(t.alias("text"), F.when(tx.strip(raw) == "", 0).otherwise(count(raw) - count(t)).alias("removed")))
 
 
 def removed_lines(raw: Column) -> Column:

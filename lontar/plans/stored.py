@@ -315,7 +315,7 @@ def f33_clean_pages(spark, sf_dir):
     """Line numbers of an order as lines that say themselves several times over."""
     lines = _nodes(spark, sf_dir).groupBy("document_id").agg(F.sort_array(F.collect_list("node_idx")).alias("n"))
     said = F.array_join(F.flatten(F.transform("n", lambda i: F.array_repeat(F.concat(F.lit("baris "), i), (i + 1).cast("int")))), "\n")
-    return lines.select("document_id", engines.clean_text(said).alias("text"), engines.removed_lines(said).alias("removed"))
+    return lines.select("document_id", text.let(said, engines.cleaned).alias("c")).select("document_id", "c.*")
 
 
 def f47_prefer(spark, sf_dir):
