@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lontar.functions import fixed, identity, text, urls
+from lontar.operators import parse
 
 from . import corpus, oracle
 from .oracle import quoted, stripped
@@ -137,9 +138,7 @@ def f19_area_of_kind(spark, sf_dir):
 
 def p08_anchors(spark, sf_dir):
     """What stands on each page of the corpus, and whether it looks like one of a legal document."""
-    lines = corpus.page_texts(spark, sf_dir).withColumnRenamed("text", "t")
-    t = F.col("t")
-    return lines.select("doc_id", "page", (text.has_recital(t) | text.has_dictum(t)).alias("recital"), text.has_explanation(t).alias("explanation"), text.has_appendix(t).alias("appendix"), text.looks_legal(t).alias("looks_legal"))
+    return parse.page_marks(corpus.documents(spark, sf_dir))
 
 
 _URL = stripped("{0}")

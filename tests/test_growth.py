@@ -23,7 +23,7 @@ def test_answers_are_decoded_once(spark, name):
     assert plan(spark, name).count("from_json(") == 1
 
 
-PAGES = ["f20_identity", "f21_signing", "w15_tiers"]
+PAGES = ["f20_identity", "f21_signing", "w15_tiers", "p08_anchors"]
 
 
 @pytest.mark.parametrize("name", PAGES)
