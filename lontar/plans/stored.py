@@ -46,9 +46,14 @@ def _sources(spark) -> DataFrame:
     return spark.range(1, 5).select(F.col("id").cast("int").alias("source_id"), (F.lit(500) - F.col("id") * 100).cast("int").alias("priority"))
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by document into as many parts as shuffles have: few bytes are not put together into a few large tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _nodes(spark, sf_dir) -> DataFrame:
     """Line numbers of an order as the nodes of a document, as a binary tree."""
-    n = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_linenumber") - 1).cast("long").alias("node_idx")).distinct()
+    n = _dealt(_read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_linenumber") - 1).cast("long").alias("node_idx")), "document_id").distinct()
     i = F.col("node_idx")
     return n.select("document_id", "node_idx", F.when(i > 0, F.floor((i - 1) / 2)).otherwise(-1).cast("long").alias("parent_idx"), F.when(i % 3 == 0, "pasal").when(i % 3 == 1, "diktum").otherwise("ayat").alias("node_type"), F.concat(F.lit("isi "), i).alias("content"))
 
@@ -160,10 +165,12 @@ def k17_reset(spark, sf_dir):
 
 
 def _taken_back(spark, sf_dir, hit) -> DataFrame:
-    documents = _documents(spark, sf_dir)
+    documents = _dealt(_documents(spark, sf_dir).select("id", "status", "parsed_at", "struktur"), "id")
     snapshots = documents.where("status = 'parsed'").select(F.col("id").alias("document_id"), F.when(F.col("id") % 3 == 0, "FAIL").otherwise("SUCCESS").alias("status"))
-    again, kept, left = store.reparse(documents, hit(documents, snapshots), snapshots, _nodes(spark, sf_dir))
-    counts = left.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("nodes"))
+    # nodes are counted before they meet the documents: one row a document is sorted and joined
+    counted = _nodes(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("nodes"))
+    again, kept, left = store.reparse(documents, hit(documents, snapshots), snapshots, counted)
+    counts = left.select(F.col("document_id").alias("id"), "nodes")
     return again.select("id", "status", "parsed_at").join(counts, "id", "left").join(kept.select(F.col("document_id").alias("id"), F.lit(True).alias("snapshot")), "id", "left")
 
 
