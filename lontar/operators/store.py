@@ -127,7 +127,12 @@ def interrupted(documents: DataFrame) -> DataFrame:
 def parse_error(lines: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, error) of documents (doc_id, jenis), given their cleaned lines: empty_input without lines, not_legal where
     the gate turns them down and their kind is not let through, else null."""
-    judged = documents.join(gate(lines), "doc_id", "left")
+    return errors(gate(lines), documents)
+
+
+def errors(gated: DataFrame, documents: DataFrame) -> DataFrame:
+    """parse_error() from what the gate says (doc_id, legal)."""
+    judged = documents.join(gated, "doc_id", "left")
     let_through = F.coalesce(F.upper(tx.strip(F.col("jenis"))).isin(NON_REGULATION), F.lit(False))
     return judged.select("doc_id", F.when(F.col("legal").isNull(), "empty_input").when(~F.col("legal") & ~let_through, "not_legal").alias("error"))
 
